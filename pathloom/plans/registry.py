@@ -1,0 +1,4 @@
+"""Every query of the library by name, with its SQL where SQL can express it."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
