@@ -17,5 +17,32 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
-ORACLE_SQL: dict[str, str] = {}
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.exact import exact_duplicates
+
+    return exact_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.mixing import mix
+
+    return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_CALLS = (op1_minhash_near_dedup, op7_best_fit_packing, op9_exact_dedup, op10_source_mix)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _CALLS}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_dedup": f"""
+        WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
+        SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+               doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+        FROM d""",
+}
