@@ -17,6 +17,19 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.pii import find, train
+
+    docs = _read(spark, sf_dir, "documents")
+    return find(docs, train(docs))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.secrets import scan
+
+    return scan(_read(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathloom.llm.packing import pack
 
@@ -35,7 +48,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-_CALLS = (op1_minhash_near_dedup, op7_best_fit_packing, op9_exact_dedup, op10_source_mix)
+_CALLS = (op1_minhash_near_dedup, op3_pii, op4_secrets, op7_best_fit_packing, op9_exact_dedup, op10_source_mix)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _CALLS}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
