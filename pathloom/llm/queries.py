@@ -30,12 +30,32 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.toxicity import score, train
+
+    docs = _read(spark, sf_dir, "documents")
+    return score(docs, train(docs, _read(spark, sf_dir, "labels")))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.urls import judge
+
+    return judge(_read(spark, sf_dir, "pages"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathloom.llm.packing import pack
 
     return pack(_read(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.langid import identify, train
+
+    docs = _read(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathloom.llm.exact import exact_duplicates
 
@@ -48,7 +68,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-_CALLS = (op1_minhash_near_dedup, op3_pii, op4_secrets, op7_best_fit_packing, op9_exact_dedup, op10_source_mix)
+_CALLS = (op1_minhash_near_dedup, op3_pii, op4_secrets, op5_toxicity, op6_url_filter, op7_best_fit_packing, op8_language, op9_exact_dedup, op10_source_mix)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _CALLS}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
