@@ -6,20 +6,43 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pathloom.llm.common import saved, with_ids
+from pathloom.llm.exact import without_duplicates
+from pathloom.llm.minhash import near_duplicates
+from pathloom.llm.mixing import mixed
+from pathloom.llm.packing import pack
+from pathloom.llm.toxicity import train, without_toxic
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    from pathloom.llm.minhash import near_duplicates
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return without_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
+    return without_duplicates(docs)
 
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
     gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     return with_ids(docs, saved(gone), "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixed(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece, with its sequence and place."""
+    return pack(docs)
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("packing", packing)]
+#: SQL can express neither the learned grammar nor the tokenizer; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
