@@ -17,6 +17,12 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathloom.llm.embeddings import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathloom.llm.pii import find, train
 
@@ -68,7 +74,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-_CALLS = (op1_minhash_near_dedup, op3_pii, op4_secrets, op5_toxicity, op6_url_filter, op7_best_fit_packing, op8_language, op9_exact_dedup, op10_source_mix)
+_CALLS = (op1_minhash_near_dedup, op2_embedding_near_dedup, op3_pii, op4_secrets, op5_toxicity, op6_url_filter, op7_best_fit_packing, op8_language, op9_exact_dedup, op10_source_mix)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _CALLS}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
