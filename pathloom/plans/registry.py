@@ -1,4 +1,565 @@
 """Every query of the library by name, with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pathloom import config as C
+from pathloom.functions import geo
+from pathloom.functions import sequences as S
+from pathloom.operators import compare, encoding, graph, match, mining, quality, repeats, similarity, sketch
+from pathloom.plans import oracle as O
+from pathloom.sources import derived as D
+from pathloom.sources import trips as T
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# ---- sequence support
+
+
+@query(f"WITH {O.SEQ}, {O.grams(3, 3)}, {O.SUPPORT} SELECT key, support FROM sup ORDER BY support DESC, key LIMIT 100")
+def seq_ngram_support(spark, sf):
+    s = D.event_sequences(spark, sf).select("id", F.explode(S.ngrams(F.col("seq"), 3)).alias("key"))
+    return s.groupBy("key").agg(F.count("*").alias("support")).orderBy(F.desc("support"), "key").limit(100)
+
+
+BANDS = "(VALUES (2), (3), (4), (5)) b(band)"
+
+
+@query(
+    f"""WITH {O.WSEQ}, {O.grams(2, 6)}, {O.SUPPORT} SELECT CAST(band AS INTEGER) AS band, key, CAST(n AS INTEGER) AS n, support, rank FROM (SELECT band, key, n, support, CAST(row_number() OVER (PARTITION BY band ORDER BY support DESC, n DESC, key) AS INTEGER) AS rank
+ FROM sup, {BANDS} WHERE n >= band AND support >= 2) WHERE rank <= 100"""
+)
+def seq_window_bands(spark, sf):
+    t = mining.token_support(D.event_sequences(spark, sf, weekly=True), 2, 6)
+    return mining.banded_top(t, (2, 3, 4, 5), length="n").select("band", "key", "n", "support", "rank")
+
+
+@query(
+    f"""WITH {O.KMWINDOWS} SELECT CAST(band AS DOUBLE) AS band, key, support, support_entities, round(length_km, 6) AS length_km, CAST(n AS INTEGER) AS n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY band ORDER BY support DESC, round(length_km, 9) DESC, key) AS INTEGER) AS rank
+ FROM ksup, (VALUES (1), (3), (5), (10), (20), (40)) b(band) WHERE length_km >= band AND support >= 2 AND NOT truncated) WHERE rank <= 100"""
+)
+def seq_exact_topk(spark, sf):
+    trips = D.trips(spark, sf)
+    seg = encoding.segments(encoding.encode(trips))
+    # Lengths are sums in another order than an oracle may take; ties are told apart at a millionth of a metre.
+    t = mining.support(mining.km_windows(seg)).filter("not truncated").withColumn("length_km", F.round("length_km", 9))
+    top = mining.banded_top(t)
+    return rounded(top.select("band", "key", "support", "support_entities", "length_km", "n", "rank"), "length_km")
+
+
+@query(f"WITH {O.SUPPLIERS}, {O.grams(2, 3)} SELECT key, CAST(n AS INTEGER) AS n, count(DISTINCT id) AS support, count(DISTINCT entity) AS support_entities FROM grams GROUP BY key, n HAVING count(DISTINCT id) >= 2")
+def supplier_ngrams(spark, sf):
+    return mining.token_support(D.supplier_sequences(spark, sf), 2, 3, entities=True).filter("support >= 2").select("key", "n", "support", "support_entities")
+
+
+# ---- cleaning, features, anomalies
+
+_PARSED = f"""{O.PTS}, t0 AS (SELECT id, entity, min(ts) AS s, array_agg(struct_pack(lon := round(lon, 6), lat := round(lat, 6)) ORDER BY pos) AS p FROM pts GROUP BY id, entity)
+, raw AS (SELECT CAST(id AS VARCHAR) AS trip_id, entity AS taxi_id, ['A', 'B', 'C'][id % 3 + 1] AS call_type, CASE WHEN id % 29 = 0 THEN 'True' ELSE 'False' END AS md, p FROM t0
+ UNION ALL SELECT * FROM (VALUES ('x1', 1, 'A', 'False', []), ('x2', 1, 'A', 'False', NULL), ('x3', 1, 'A', 'False', NULL), ('x4', 1, 'A', 'False', [{{'lon': -8.62e0, 'lat': 41.15e0}}]),
+ ('x5', 1, 'A', 'False', [{{'lon': -8.62e0, 'lat': 41.15e0}}, {{'lon': -9.9e0, 'lat': 41.15e0}}]), ('x6', 1, 'A', 'True', [{{'lon': -8.62e0, 'lat': 41.15e0}}, {{'lon': -8.61e0, 'lat': 41.15e0}}]),
+ ('x7', 1, 'A', 'False', [{{'lon': -8.62e0, 'lat': 41.15e0}}, {{'lon': -8.61e0, 'lat': 41.15e0}}]), ('x7', 1, 'A', 'False', [{{'lon': -8.62e0, 'lat': 41.15e0}}, {{'lon': -8.61e0, 'lat': 41.15e0}}])) v(trip_id, taxi_id, call_type, md, p))
+, par AS (SELECT *, coalesce(len(p), 0) AS n, p[1].lon AS lon1, p[1].lat AS lat1, p[-1].lon AS lon2, p[-1].lat AS lat2 FROM raw)
+, flg AS (SELECT *, lon1 BETWEEN -8.75e0 AND -8.45e0 AND lat1 BETWEEN 41.05e0 AND 41.3e0 AND lon2 BETWEEN -8.75e0 AND -8.45e0 AND lat2 BETWEEN 41.05e0 AND 41.3e0 AS onmap FROM par)
+, val AS (SELECT *, coalesce(md = 'False' AND n >= 2 AND n <= 4000 AND onmap, false) AS ok FROM flg)"""
+
+
+@query(f"WITH {_PARSED} SELECT count(*) AS total, count(*) FILTER (md <> 'False') AS missing, count(*) FILTER (n < 2) AS too_few, count(*) FILTER (n > 4000) AS too_many, count(*) FILTER (NOT onmap) AS off_map, count(*) FILTER (ok) AS valid FROM val")
+def traj_clean_rules(spark, sf):
+    return quality.rejections(quality.flags(quality.parse(D.raw_trips(spark, sf))))
+
+
+@query(f"WITH {_PARSED} SELECT trip_id AS \"TRIP_ID\", any_value(call_type) AS \"CALL_TYPE\", CAST(any_value(n) AS INTEGER) AS n_points, CAST((any_value(n) - 1) * 15 AS INTEGER) AS duration_sec, any_value(lon1) AS start_lon, any_value(lat2) AS end_lat FROM val WHERE ok GROUP BY trip_id")
+def traj_clean(spark, sf):
+    return quality.clean(D.raw_trips(spark, sf)).select("TRIP_ID", "CALL_TYPE", "n_points", "duration_sec", "start_lon", "end_lat")
+
+
+@query(f"WITH {_PARSED} SELECT count(*) - count(DISTINCT trip_id) AS duplicates, count(DISTINCT trip_id) AS written FROM val WHERE ok")
+def traj_dedupe(spark, sf):
+    good = quality.flags(quality.parse(D.raw_trips(spark, sf))).filter("is_valid").select("TRIP_ID", "TIMESTAMP")
+    kept = quality.deduplicated(good).agg(F.count("*").alias("written"))
+    return good.agg(F.count("*").alias("n")).crossJoin(kept).select((F.col("n") - F.col("written")).alias("duplicates"), "written")
+
+
+_F = ["total_distance_km", "straight_line_km", "max_seg_speed_kmh", "avg_speed_kmh", "sinuosity", "min_lon", "max_lon", "min_lat", "max_lat"]
+_FLAGS = ["is_teleport", "is_idle", "is_too_fast", "is_too_short", "is_offgrid"]
+
+
+@query(f"WITH {O.FEATURES} SELECT id, CAST(n AS INTEGER) AS n, {', '.join(f'round({c}, 6) AS {c}' for c in _F)}, {', '.join(_FLAGS)}, {' OR '.join(_FLAGS)} AS is_anomalous FROM feats")
+def traj_features(spark, sf):
+    f = quality.features(D.trips(spark, sf))
+    return rounded(f.select("id", "n", *_F, *_FLAGS, "is_anomalous"), *_F)
+
+
+_P = ["total_distance_km", "straight_line_km", "max_seg_speed_kmh", "avg_speed_kmh", "sinuosity", "seconds"]
+
+
+@query(
+    f"WITH {O.FEATURES}, long AS ({' UNION ALL '.join(f'''SELECT '{c}' AS metric, CAST({c} AS DOUBLE) AS v FROM feats''' for c in _P)}) SELECT metric, count(v) AS n, round(avg(v), 6) AS mean, round(stddev(v), 6) AS stddev, round(min(v), 6) AS \"min\", "
+    + ", ".join(f"round(quantile_cont(v, {q}), 6) AS p{p}" for q, p in ((0.25, 25), (0.5, 50), (0.75, 75), (0.95, 95)))
+    + ', round(max(v), 6) AS "max" FROM long GROUP BY metric'
+)
+def traj_feature_summary(spark, sf):
+    return rounded(quality.profile(quality.features(D.trips(spark, sf)), _P), "mean", "stddev", "min", "p25", "p50", "p75", "p95", "max")
+
+
+@query(f"WITH {O.FEATURES} SELECT count(*) AS trips, {', '.join(f'count(*) FILTER ({c}) AS {c}' for c in _FLAGS)}, count(*) FILTER ({' OR '.join(_FLAGS)}) AS is_anomalous FROM feats")
+def traj_flag_counts(spark, sf):
+    f = quality.features(D.trips(spark, sf))
+    return f.agg(F.count("*").alias("trips"), *[F.count_if(c).alias(c) for c in (*_FLAGS, "is_anomalous")])
+
+
+_FENCES = "fence AS (SELECT quantile_disc(total_distance_km, 0.99) AS fence_km, quantile_disc(sinuosity, 0.99) AS fence_sinuosity FROM feats WHERE NOT coalesce(is_teleport, false) AND NOT coalesce(is_too_fast, false))"
+
+
+@query(f"WITH {O.FEATURES}, {_FENCES} SELECT round(fence_km, 6) AS fence_km, round(fence_sinuosity, 6) AS fence_sinuosity FROM fence")
+def anomaly_fences(spark, sf):
+    return rounded(quality.fences(quality.features(D.trips(spark, sf))), "fence_km", "fence_sinuosity")
+
+
+_SCORES = """sc AS (SELECT id, CAST(coalesce(is_teleport OR is_too_fast, false) AS INTEGER) AS a_speed, CAST(coalesce(is_idle, false) AS INTEGER) AS a_idle, CAST(coalesce(total_distance_km > fence_km, false) AS INTEGER) AS a_distance,
+ CAST(coalesce(sinuosity > fence_sinuosity, false) AS INTEGER) AS a_shape, CAST(coalesce(is_offgrid, false) AS INTEGER) AS a_drift, total_distance_km FROM feats, fence)"""
+
+
+@query(f"WITH {O.FEATURES}, {_FENCES}, {_SCORES} SELECT id, a_speed, a_idle, a_distance, a_shape, a_drift, a_speed + a_idle + a_distance + a_shape + a_drift AS anomaly_score, round(total_distance_km, 6) AS dist_km FROM sc WHERE a_speed + a_idle + a_distance + a_shape + a_drift > 0 ORDER BY anomaly_score DESC, round(sc.total_distance_km, 9) DESC NULLS LAST, id LIMIT 50")
+def anomaly_top50(spark, sf):
+    s = quality.anomaly_scores(quality.features(D.trips(spark, sf))).withColumn("total_distance_km", F.round("total_distance_km", 9))
+    return quality.top_anomalies(s).select("id", "a_speed", "a_idle", "a_distance", "a_shape", "a_drift", "anomaly_score", F.round("total_distance_km", 6).alias("dist_km"))
+
+
+# ---- encoding
+
+
+@query(f"WITH {O.CELLS} SELECT id, cell, CAST(k AS INTEGER) AS k FROM cells")
+def traj_cells(spark, sf):
+    return encoding.encode(D.trips(spark, sf)).select("id", F.posexplode("cells").alias("k", "cell")).select("id", "cell", (F.col("k") + 1).alias("k"))
+
+
+@query(f"WITH {O.CELLS} SELECT id, seg, CAST(len(cells) AS INTEGER) AS n, array_to_string(cells, '>') AS key, round(cums[-1], 6) AS km FROM segs")
+def traj_gap_segments(spark, sf):
+    s = encoding.segments(encoding.encode(D.trips(spark, sf)))
+    return s.select("id", "seg", F.size("cells").alias("n"), F.array_join("cells", S.SEP).alias("key"), F.round(F.element_at("cum", -1), 6).alias("km"))
+
+
+@query(f"WITH {O.CELLS} SELECT id, CAST(count(*) AS INTEGER) AS n_cells, round(coalesce(sum(km), 0), 6) AS encoded_len_km, round(coalesce(max(km), 0), 6) AS max_hop_km FROM hopkm GROUP BY id")
+def traj_hops(spark, sf):
+    return rounded(encoding.encode(D.trips(spark, sf)).select("id", "n_cells", "encoded_len_km", "max_hop_km"), "encoded_len_km", "max_hop_km")
+
+
+@query(
+    f"""WITH {O.CELLS}, per AS (SELECT id, count(*) AS n, sum(km) AS km, max(km) AS hop FROM hopkm GROUP BY id), r AS (SELECT id, count(*) AS raw FROM rawc GROUP BY id)
+ SELECT count(*) AS trips, round(avg(raw), 6) AS avg_raw, round(avg(n), 6) AS avg_cells, round(avg(CAST(raw AS DOUBLE) / n), 6) AS avg_ratio, round(max(coalesce(hop, 0)), 6) AS worst_hop_km, count(*) FILTER (hop > {C.MAX_HOP_KM!r}) AS over_bound FROM per JOIN r USING (id)"""
+)
+def encoding_summary(spark, sf):
+    return rounded(encoding.encoding_summary(encoding.encode(D.trips(spark, sf))), "avg_raw", "avg_cells", "avg_ratio", "worst_hop_km")
+
+
+
+
+@query(
+    f"""WITH {O.FEATURES}, parts AS (SELECT id, CASE WHEN km > {geo.cell_step_km() / 8!r}::DOUBLE AND km <= {C.MAX_HOP_KM!r}::DOUBLE THEN CAST(ceil(km / {geo.cell_step_km() / 8!r}::DOUBLE) AS BIGINT) ELSE 1 END AS k FROM hop)
+ SELECT id, CAST(sum(k) AS BIGINT) AS n_filled FROM parts GROUP BY id"""
+)
+def traj_densify(spark, sf):
+    """The first point counts as one part, as every other step counts its parts."""
+    t = D.trips(spark, sf)
+    return t.select("id", F.size(geo.densify(F.col("points"), geo.cell_step_km() / 8, C.MAX_HOP_KM)).cast("long").alias("n_filled"))
+
+
+@query(f"WITH {O.CELLS}, c AS (SELECT id, cell, count(*) AS n FROM cells GROUP BY id, cell) SELECT id, max(n) <= 2 AS ok FROM c GROUP BY id")
+def revisit_guard(spark, sf):
+    return encoding.encode(D.trips(spark, sf)).select("id", S.revisits_ok(F.col("cells")).alias("ok"))
+
+
+@query(
+    f"""WITH {O.CELLS}, st AS (SELECT pc2 AS f, cell AS t, count(*) AS c FROM hops WHERE pc2 IS NOT NULL GROUP BY pc2, cell)
+, br AS (SELECT f, c, degrees(atan2(sin(radians(lo2 - lo1)) * cos(radians(la2)), cos(radians(la1)) * sin(radians(la2)) - sin(radians(la1)) * cos(radians(la2)) * cos(radians(lo2 - lo1)))) AS d
+ FROM (SELECT f, c, {O.centre('f')[0]} AS lo1, {O.centre('f')[1]} AS la1, {O.centre('t')[0]} AS lo2, {O.centre('t')[1]} AS la2 FROM st))
+, sec AS (SELECT f, CAST(floor((CASE WHEN d < 0 THEN d + 360 ELSE d END) / 45) AS BIGINT) AS s, sum(c) AS c FROM br GROUP BY 1, 2), tot AS (SELECT f, sum(c) AS n FROM sec GROUP BY f)
+ SELECT f AS cell, CAST(n AS BIGINT) AS n, round(abs(-sum(c / n * log2(c / n))), 6) AS entropy FROM sec JOIN tot USING (f) GROUP BY f, n"""
+)
+def grid_entropy(spark, sf):
+    e = encoding.cell_entropy(encoding.encode(D.trips(spark, sf)))
+    return e.select("cell", "n", F.round(F.abs("entropy"), 6).alias("entropy"))
+
+
+@query()
+def grid_compare(spark, sf):
+    return rounded(encoding.grid_comparison(D.trips(spark, sf)), "avg_cells", "avg_ratio")
+
+
+@query()
+def geohash_cells(spark, sf):
+    p = D.trip_points(spark, sf)
+    return p.groupBy(geo.geohash(F.col("lon"), F.col("lat"), 6).alias("cell")).agg(F.count("*").alias("n"))
+
+
+# ---- closed, maximal, floors, holes
+
+_GRAMS = f"{O.WSEQ}, {O.grams(2, 8)}, {O.SUPPORT}, {O.EXT}"
+_EXT_COLS = "key, CAST(n AS INTEGER) AS n, support, best_right, best_left"
+
+
+def _weekly(spark, sf):
+    return mining.token_support(D.event_sequences(spark, sf, weekly=True), 2, 8)
+
+
+@query(f"WITH {_GRAMS} SELECT {_EXT_COLS} FROM ext WHERE greatest(best_right, best_left) < support")
+def closed_ngrams(spark, sf):
+    return mining.closed(_weekly(spark, sf)).select("key", "n", "support", "best_right", "best_left")
+
+
+@query(f"WITH {_GRAMS} SELECT {_EXT_COLS} FROM ext WHERE support >= 10 AND greatest(best_right, best_left) < 10")
+def maximal_ngrams(spark, sf):
+    return mining.maximal(_weekly(spark, sf), 10).select("key", "n", "support", "best_right", "best_left")
+
+
+@query(
+    f"""WITH {_GRAMS}, fl AS (SELECT f FROM (VALUES {', '.join(f'({f})' for f in C.SUPPORT_FLOORS)}) v(f) WHERE f <= (SELECT count(*) FROM seqs))
+, cnt AS (SELECT band, f, (SELECT count(*) FROM ext WHERE support >= f AND greatest(best_right, best_left) < f AND n >= band) AS routes FROM fl, (VALUES (2), (3), (4), (6)) b(band))
+ SELECT CAST(band AS DOUBLE) AS band, CAST(f AS INTEGER) AS floor, routes, f = coalesce(max(CASE WHEN routes >= 100 THEN f END) OVER (PARTITION BY band), min(f) OVER (PARTITION BY band)) AS chosen FROM cnt"""
+)
+def floor_calibration(spark, sf):
+    n = D.event_sequences(spark, sf, weekly=True).count()
+    return mining.calibrate(mining.extensions(_weekly(spark, sf)), n, (2, 3, 4, 6))
+
+
+@query(
+    f"""WITH {_GRAMS}, fl AS (SELECT greatest(2, CAST(ceil(0.005e0 * count(*)) AS BIGINT)) AS f FROM seqs), best AS (SELECT key, support FROM ext, fl WHERE support >= f AND greatest(best_right, best_left) < f ORDER BY support DESC, n DESC, key LIMIT 5)
+ SELECT key, support, child, child_support FROM (SELECT b.key, b.support, k.key AS child, k.support AS child_support, row_number() OVER (PARTITION BY b.key ORDER BY k.support DESC NULLS LAST, k.key) AS r FROM best b
+ LEFT JOIN sup k ON regexp_extract(k.key, '^(.*)>[^>]*$', 1) = b.key) WHERE r <= 3"""
+)
+def support_holes(spark, sf):
+    n = D.event_sequences(spark, sf, weekly=True).count()
+    return mining.holes(_weekly(spark, sf), n).select("key", "support", "child", "child_support")
+
+
+# ---- suffix repeats
+
+
+def _repeat_sql(base: str, least: int) -> str:
+    return f"""{base}, {O.grams(3, None)}, rep AS (SELECT key, n, count(DISTINCT id) AS support, count(DISTINCT entity) AS support_entities FROM grams GROUP BY key, n
+ HAVING count(DISTINCT id) >= {least} AND count(*) > 1 AND (count(DISTINCT nxt) > 1 OR count(*) FILTER (nxt IS NULL) > 0))
+, lft AS (SELECT key, max(c) AS m FROM (SELECT key, prev, count(DISTINCT id) AS c FROM grams WHERE prev IS NOT NULL GROUP BY key, prev) GROUP BY key)
+, rgt AS (SELECT a.key, max(b.support) AS m FROM rep a JOIN rep b ON starts_with(b.key, a.key || '>') GROUP BY a.key)
+, repeats AS (SELECT rep.key, support, support_entities, CAST(n AS INTEGER) AS n, coalesce(rgt.m, 0) AS best_right, coalesce(lft.m, 0) AS best_left FROM rep LEFT JOIN rgt USING (key) LEFT JOIN lft USING (key))"""
+
+
+@query(f"WITH {_repeat_sql(O.WSEQ, 3)} SELECT * FROM repeats")
+def suffix_repeats(spark, sf):
+    return repeats.mine(D.event_sequences(spark, sf, weekly=True), 3)
+
+
+@query(f"WITH {_repeat_sql(O.WSEQ, 3)} SELECT * FROM repeats WHERE support >= 5 AND greatest(best_right, best_left) < 5")
+def suffix_maximal(spark, sf):
+    return repeats.maximal_at(repeats.mine(D.event_sequences(spark, sf, weekly=True), 3), 5)
+
+
+@query(f"WITH {_repeat_sql(O.SUPPLIERS, 2)} SELECT key, support, support_entities FROM repeats")
+def repeat_entities(spark, sf):
+    return repeats.mine(D.supplier_sequences(spark, sf), 2).select("key", "support", "support_entities")
+
+
+def _bucket_sql(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN hour({c}) >= {a} AND hour({c}) < {b} THEN '{n}'" for n, a, b in C.TIME_BUCKETS) + " END"
+
+
+@query(
+    f"""WITH {O.EV}, st AS (SELECT wid AS id, {_bucket_sql('min(ts)')} AS bucket FROM ev GROUP BY wid), tok AS (SELECT wid AS id, entity, event_type AS tok, row_number() OVER (PARTITION BY wid ORDER BY ts, event_id) AS pos FROM ev)
+, seqs AS (SELECT id, entity, list(tok ORDER BY pos) AS seq FROM tok GROUP BY id, entity), {O.grams(3, 3)}
+ SELECT bucket, key, count(DISTINCT id) AS support FROM grams JOIN st USING (id) GROUP BY bucket, key HAVING count(DISTINCT id) >= 2"""
+)
+def temporal_support(spark, sf):
+    """Support by the hour bucket in which a sequence starts."""
+    start = D.table(spark, sf, "events").groupBy(D.week_id().alias("id")).agg(F.min("ts").alias("s"))
+    seq = D.event_sequences(spark, sf, weekly=True).join(start, "id").select("id", compare.hour_bucket(F.hour("s")).alias("bucket"), F.explode(S.ngrams(F.col("seq"), 3)).alias("key"))
+    return seq.groupBy("bucket", "key").agg(F.count("*").alias("support")).filter("support >= 2")
+
+
+@query()
+def temporal_overlap(spark, sf):
+    """A row a bucket: maximal repeats of its sequences matched against all-time ones, and the verdict."""
+    seq = D.event_sequences(spark, sf, weekly=True)
+    start = D.table(spark, sf, "events").groupBy(D.week_id().alias("id")).agg(F.min("ts").alias("s"))
+    seq = seq.join(start, "id").withColumn("bucket", compare.hour_bucket(F.hour("s")))
+    top = lambda df, least: repeats.maximal_at(repeats.mine(df, least), least).orderBy(F.desc("support"), "key").limit(100).select(F.split("key", S.SEP).alias("tokens"))
+    every, out = top(seq, 3), None
+    for name, *_ in C.TIME_BUCKETS:
+        own = top(seq.filter(F.col("bucket") == name), 2)
+        row = similarity.set_match_share(own, every).select(F.lit(name).alias("bucket"), "matched", "total", F.round("share", 6).alias("share"))
+        out = row if out is None else out.unionByName(row)
+    return out.withColumn("verdict", F.when(F.col("share") >= 0.8, "stable").when(F.col("share") >= 0.5, "partly").otherwise("different"))
+
+
+# ---- graph
+
+
+@query(f"WITH {O.CELLTOK}, {O.EDGES} SELECT f, t, w FROM edges")
+def transition_edges(spark, sf):
+    return graph.edges(_cells(spark, sf))
+
+
+def _cells(spark, sf):
+    return encoding.encode(D.trips(spark, sf)).select("id", "entity", F.col("cells").alias("seq"))
+
+
+_RANK = """nodes AS (SELECT f AS node FROM edges UNION SELECT t FROM edges), outw AS (SELECT f, sum(w) AS ow FROM edges GROUP BY f), nn AS (SELECT count(*) AS c FROM nodes), r0 AS (SELECT node, 1e0 / c AS pr FROM nodes, nn)"""
+for _i in range(1, C.PAGERANK_ITERATIONS + 1):
+    _RANK += f""", d{_i} AS MATERIALIZED (SELECT coalesce(sum(pr), 0) AS lost FROM r{_i - 1} WHERE node NOT IN (SELECT f FROM outw)), r{_i} AS MATERIALIZED (SELECT node, 0.15e0 / c + 0.85e0 * lost / c + 0.85e0 * coalesce(s, 0) AS pr FROM nodes CROSS JOIN nn CROSS JOIN d{_i} LEFT JOIN
+ (SELECT t, sum(pr * w / ow) AS s FROM edges JOIN outw USING (f) JOIN r{_i - 1} ON node = f GROUP BY t) x ON x.t = node)"""
+
+
+@query(f"WITH {O.CELLTOK}, {O.EDGES}, {_RANK} SELECT node, round(pr, 9) AS rank FROM r{C.PAGERANK_ITERATIONS}")
+def pagerank(spark, sf):
+    return rounded(graph.pagerank(graph.edges(_cells(spark, sf))), "rank", digits=9)
+
+
+@query(
+    f"""WITH {O.CELLTOK}, {O.EDGES}, {_RANK} SELECT node, round(pr, 9) AS rank, CAST(coalesce((SELECT sum(w) FROM edges WHERE t = node), 0) AS BIGINT) AS in_traffic, (SELECT count(DISTINCT entity) FROM tok WHERE tok = node) AS entities
+ FROM r{C.PAGERANK_ITERATIONS} ORDER BY round(pr, 12) DESC, node LIMIT 50"""
+)
+def activity_zones(spark, sf):
+    c = _cells(spark, sf)
+    z = graph.activity_zones(graph.edges(c), c.select(F.explode("seq").alias("node"), "entity"))
+    return rounded(z.select("node", "rank", "in_traffic", "entities"), "rank", digits=9)
+
+
+@query(f"WITH {O.CELLTOK}, {O.EDGES} SELECT DISTINCT t AS node FROM edges WHERE t NOT IN (SELECT f FROM edges)")
+def dangling_nodes(spark, sf):
+    return graph.dangling(graph.edges(_cells(spark, sf)))
+
+
+@query()
+def heavy_paths(spark, sf):
+    """Dominant-flow paths that whole trips follow, with their support."""
+    c = _cells(spark, sf)
+    e = graph.edges(c).withColumn("km", geo.cell_hop_km(F.col("f"), F.col("t")))
+    paths = graph.heavy_paths(e)
+    return match.containment_support(c, match.as_patterns(paths)).filter("support > 0").withColumnRenamed("pattern_id", "key")
+
+
+# ---- containment, mixes, hold-out
+
+
+
+@query("WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') || ' ' AS t FROM documents), b AS (SELECT item_id, ' ' || trim(regexp_replace(lower(text), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') || ' ' AS p FROM benchmark) SELECT doc_id, item_id FROM d JOIN b ON contains(t, p) AND p <> '  '")
+def pattern_containment(spark, sf):
+    words = lambda c: F.expr(f"filter(split(lower({c}), '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x <> '')")
+    docs = D.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), words("text").alias("seq"))
+    pats = D.table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("pattern_id"), words("text").alias("tokens"))
+    return match.matches(docs, pats).select(F.col("id").alias("doc_id"), F.col("pattern_id").cast("long").alias("item_id"))
+
+
+@query(
+    f"""WITH {O.WSEQ}, {O.grams(3, 3)}, {O.SUPPORT}, top AS (SELECT key FROM sup ORDER BY support DESC, key LIMIT 20), hit AS (SELECT DISTINCT id FROM grams JOIN top USING (key)), lab AS (SELECT id, ['A', 'B', 'C'][id % 3 + 1] AS call FROM seqs)
+ SELECT call, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round((SELECT count(*) FROM lab l2 WHERE l2.call = lab.call) / (SELECT count(*) FROM lab)::DOUBLE, 6) AS base_share FROM hit JOIN lab USING (id) GROUP BY call"""
+)
+def call_mix(spark, sf):
+    seq = D.event_sequences(spark, sf, weekly=True)
+    top = mining.token_support(seq, 3, 3).orderBy(F.desc("support"), "key").limit(20)
+    hit = match.matches(seq, match.as_patterns(top)).select(F.lit(1).alias("band"), "id")
+    labels = seq.select("id", F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("id") % 3 + 1).cast("int")).alias("call"))
+    return rounded(compare.mix(hit, labels, "call").select("call", "n", "share", "base_share"), "share", "base_share")
+
+
+@query(
+    f"""WITH {O.WSEQ}, {O.grams(4, 4)}, tr AS (SELECT key FROM grams WHERE id % 5 <> 0 GROUP BY key ORDER BY count(DISTINCT id) DESC, key LIMIT 50), hit AS (SELECT DISTINCT id FROM grams JOIN tr USING (key) WHERE id % 5 = 0)
+ SELECT (SELECT count(*) FROM seqs WHERE id % 5 = 0) AS segments, (SELECT count(*) FROM hit) AS matched, round((SELECT count(*) FROM hit) / (SELECT count(*) FROM seqs WHERE id % 5 = 0)::DOUBLE, 6) AS coverage"""
+)
+def holdout_coverage(spark, sf):
+    """How many unseen sequences (every fifth id) hold one of the 50 best patterns of the others."""
+    seq = D.event_sequences(spark, sf, weekly=True)
+    best = mining.token_support(seq.filter("id % 5 <> 0"), 4, 4).orderBy(F.desc("support"), "key").limit(50)
+    return rounded(compare.coverage(seq.filter("id % 5 = 0"), match.as_patterns(best)), "coverage")
+
+
+@query()
+def holdout_lift(spark, sf):
+    """Coverage against random walks of the same lengths on the observed steps."""
+    seq = D.event_sequences(spark, sf, weekly=True)
+    seen, unseen = seq.filter("id % 5 <> 0"), seq.filter("id % 5 = 0")
+    best = mining.token_support(seen, 4, 4).orderBy(F.desc("support"), "key").limit(50)
+    own = compare.coverage(unseen, match.as_patterns(best)).select(F.col("coverage").alias("own"))
+    null = compare.coverage(unseen, compare.null_walks(graph.edges(seen), [4] * 50)).select(F.col("coverage").alias("random"))
+    return own.crossJoin(null).withColumn("lift", F.when(F.col("random") > 0, F.col("own") / F.col("random")).otherwise(float("inf")))
+
+
+# ---- similarity
+
+_SHINGLES = f"{O.WSEQ}, {O.grams(2, 2)}, sh AS (SELECT DISTINCT id, key FROM grams), sz AS (SELECT id, count(*) AS c FROM sh GROUP BY id)"
+
+
+@query(f"WITH {_SHINGLES}, ix AS (SELECT x.id AS a, y.id AS b, count(*) AS i FROM sh x JOIN sh y ON x.key = y.key AND x.id < y.id GROUP BY x.id, y.id) SELECT a, b, round(i / (p.c + q.c - i)::DOUBLE, 6) AS jaccard FROM ix JOIN sz p ON p.id = a JOIN sz q ON q.id = b WHERE i / (p.c + q.c - i)::DOUBLE >= 0.7")
+def jaccard_pairs_exact(spark, sf):
+    return rounded(similarity.jaccard_pairs(similarity.shingled(D.event_sequences(spark, sf, weekly=True)), 0.7), "jaccard")
+
+
+@query()
+def lsh_pairs(spark, sf):
+    return similarity.lsh_pairs(similarity.shingled(D.event_sequences(spark, sf, weekly=True)))
+
+
+@query()
+def star_clusters(spark, sf):
+    pairs = similarity.jaccard_pairs(similarity.shingled(D.event_sequences(spark, sf, weekly=True)), 0.6)
+    return similarity.star_clusters(pairs)
+
+
+@query()
+def shared_runs(spark, sf):
+    seq = D.event_sequences(spark, sf, weekly=True)
+    return similarity.shared_runs(similarity.star_clusters(similarity.jaccard_pairs(similarity.shingled(seq), 0.6)), seq)
+
+
+# ---- sketches
+
+
+def _grams(spark, sf, low=2, high=4):
+    return D.event_sequences(spark, sf, weekly=True).select("id", F.explode(S.windows_up_to(F.col("seq"), low, high)).alias("w")).select("id", "w.key", "w.n")
+
+
+@query(f"WITH {O.WSEQ}, {O.grams(2, 4)}, {O.SUPPORT} SELECT key, support FROM sup ORDER BY support DESC, key LIMIT 50")
+def topk_sketch(spark, sf):
+    """Candidates from the sketch, recounted exactly, the best 50."""
+    rows = _grams(spark, sf)
+    c = sketch.heavy_hitters(rows, k=200)
+    return sketch.recounted(c, rows).orderBy(F.desc("support"), "key").limit(50).select("key", "support")
+
+
+@query()
+def topk_sketch_bands(spark, sf):
+    return sketch.heavy_hitters_by_band(_grams(spark, sf), (2, 3, 4))
+
+
+@query()
+def cms_estimates(spark, sf):
+    rows = _grams(spark, sf)
+    top = rows.groupBy("key").agg(F.count("*").alias("support")).orderBy(F.desc("support"), "key").limit(100)
+    return sketch.count_min_estimates(top, sketch.count_min(rows)).join(top, "key")
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS exact FROM events GROUP BY event_type")
+def distinct_exact(spark, sf):
+    return sketch.distinct_counts(D.table(spark, sf, "events"), "event_type", "user_id").select("event_type", "exact")
+
+
+@query()
+def hll_vs_exact(spark, sf):
+    return sketch.distinct_counts(D.table(spark, sf, "lineitem"), "l_suppkey", "l_orderkey")
+
+
+@query("SELECT 0.25e0 AS quantile, quantile_disc(l_extendedprice, 0.25) AS value FROM lineitem UNION ALL SELECT 0.5e0, quantile_disc(l_extendedprice, 0.5) FROM lineitem UNION ALL SELECT 0.75e0, quantile_disc(l_extendedprice, 0.75) FROM lineitem")
+def quantile_sketch(spark, sf):
+    return quality.approximate_quantiles(D.table(spark, sf, "lineitem"), "l_extendedprice", (0.25, 0.5, 0.75), error=1e-6)
+
+
+@query()
+def sketch_accuracy(spark, sf):
+    rows = _grams(spark, sf)
+    exact = rows.groupBy("key").agg(F.count("*").alias("support")).orderBy(F.desc("support"), "key").limit(100)
+    return sketch.accuracy(sketch.heavy_hitters(rows, k=100), exact)
+
+
+# ---- comparisons
+
+
+def _two(spark, sf):
+    seq = D.event_sequences(spark, sf, weekly=True)
+    t = mining.token_support(seq, 3, 3)
+    return t.orderBy(F.desc("support"), "key").limit(40), mining.token_support(seq.filter("id % 2 = 0"), 3, 3).orderBy(F.desc("support"), "key").limit(40)
+
+
+_TWO = f"{O.WSEQ}, {O.grams(3, 3)}, a AS (SELECT key, count(DISTINCT id) AS support FROM grams GROUP BY key ORDER BY 2 DESC, 1 LIMIT 40), b AS (SELECT key, count(DISTINCT id) AS support FROM grams WHERE id % 2 = 0 GROUP BY key ORDER BY 2 DESC, 1 LIMIT 40)"
+
+
+@query(
+    f"""WITH {_TWO}, m AS (SELECT a.key FROM a WHERE EXISTS (SELECT 1 FROM b WHERE len(list_intersect(string_split(a.key, '>'), string_split(b.key, '>'))) / len(list_distinct(list_concat(string_split(a.key, '>'), string_split(b.key, '>'))))::DOUBLE >= 0.5))
+ SELECT (SELECT count(*) FROM m) AS matched, (SELECT count(*) FROM a) AS total, (SELECT count(*) FROM m) / (SELECT count(*) FROM a)::DOUBLE AS share"""
+)
+def method_overlap(spark, sf):
+    a, b = (x.select(F.split("key", S.SEP).alias("tokens")) for x in _two(spark, sf))
+    return similarity.set_match_share(a, b)
+
+
+@query(f"WITH {_TWO} SELECT count(*) AS total, count(b.key) AS found, count(*) FILTER (b.support <> a.support) AS mismatched, count(b.key) / count(*)::DOUBLE AS recall FROM a LEFT JOIN b USING (key)")
+def exact_recall(spark, sf):
+    return compare.exact_recall(*_two(spark, sf))
+
+
+@query(f"WITH {O.SUPPLIERS}, {O.grams(2, 2)}, s AS (SELECT key, count(DISTINCT id) AS p, count(DISTINCT entity) AS e FROM grams GROUP BY key) SELECT count(*) AS routes, round(avg(p / e::DOUBLE), 6) AS per_entity, count(*) FILTER (e = 1) AS single_entity FROM s")
+def entity_diversity(spark, sf):
+    return rounded(compare.entity_diversity(mining.token_support(D.supplier_sequences(spark, sf), 2, 2, entities=True)), "per_entity")
+
+
+@query(f"WITH {O.WSEQ}, s AS (SELECT entity, len(seq) AS n FROM seqs) SELECT entity, CAST(list_sort(list(n))[count(*) // 2 + 1] AS INTEGER) AS median FROM s GROUP BY entity")
+def upper_medians(spark, sf):
+    return compare.upper_median(D.event_sequences(spark, sf, weekly=True).select("entity", F.size("seq").alias("n")), ["entity"], "n")
+
+
+@query("WITH c AS (SELECT l_suppkey, count(*) AS x, sum(l_quantity) AS y FROM lineitem GROUP BY l_suppkey) SELECT round(exp(regr_intercept(ln(y), ln(x))), 6) AS a, round(regr_slope(ln(y), ln(x)), 6) AS b, round(regr_r2(ln(y), ln(x)), 6) AS r2, count(*) AS n FROM c")
+def powerlaw_fit(spark, sf):
+    c = D.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("x"), F.sum("l_quantity").alias("y"))
+    return rounded(compare.power_law(c), "a", "b", "r2")
+
+
+_RUNS = [("r2", 2, 100.0, 312.0), ("r5", 5, 80.0, 140.0), ("r10", 10, 70.0, 90.0), ("r16", 16, 70.0, 60.0)]
+_RUN_ROWS = [(r, w, s, t) for r, w, a, b in _RUNS for s, t in (("one", a), ("two", b))] + [("part", 10, "one", 5.0)]
+
+
+@query(
+    f"""WITH runs(run_id, workers, stage, wall_s) AS (VALUES {', '.join(f"('{r}', {w}, '{s}', {t}e0)" for r, w, s, t in _RUN_ROWS)}), p AS (SELECT run_id, workers, count(DISTINCT stage) AS st, sum(wall_s) AS total FROM runs GROUP BY ALL), w AS (SELECT * FROM p WHERE st = (SELECT max(st) FROM p))
+, b AS (SELECT workers AS w0, total AS t0 FROM w ORDER BY workers, run_id LIMIT 1), j AS (SELECT run_id, workers, total, t0 / total AS speedup, workers / w0::DOUBLE AS ratio FROM w, b)
+, k AS (SELECT *, CASE WHEN ratio > 1 THEN (1 / speedup - 1 / ratio) / (1 - 1 / ratio) END AS sf FROM j)
+ SELECT run_id, workers, total, round(speedup, 6) AS speedup, round(speedup / ratio, 6) AS efficiency, round(CASE WHEN sf BETWEEN 0 AND 1 THEN sf END, 6) AS serial_fraction, round((workers + 1) * 0.1942e0 * total / 3600, 6) AS usd FROM k"""
+)
+def karp_flatt(spark, sf):
+    runs = spark.createDataFrame(_RUN_ROWS, "run_id string, workers int, stage string, wall_s double")
+    return rounded(compare.scaling(runs), "speedup", "efficiency", "serial_fraction", "usd")
+
+
+@query(f"WITH {O.WSEQ}, {O.grams(2, 4)}, {O.SUPPORT}, r AS (SELECT 'windows' AS method, b.band, sup.* FROM sup, (VALUES (2), (3)) b(band) WHERE n >= band) SELECT method, CAST(band AS INTEGER) AS band, count(*) AS routes, max(support) AS top_support, CAST(max(n) AS INTEGER) AS longest FROM r GROUP BY method, band")
+def method_summary(spark, sf):
+    t = mining.token_support(D.event_sequences(spark, sf, weekly=True), 2, 4)
+    rows = t.select("*", F.explode(F.filter(F.array(F.lit(2), F.lit(3)), lambda b: F.col("n") >= b)).alias("band"), F.lit("windows").alias("method"))
+    return compare.method_summary(rows)
+
+
+@query()
+def run_difference(spark, sf):
+    t = mining.token_support(D.event_sequences(spark, sf), 3, 3)
+    return compare.run_difference(t, mining.token_support(D.event_sequences(spark, sf).repartition(5), 3, 3))
+
+
+@query()
+def geojson_routes(spark, sf):
+    seg = encoding.segments(encoding.encode(D.trips(spark, sf)))
+    top = mining.banded_top(mining.support(mining.km_windows(seg)), (1.0,), k=25)
+    points = top.withColumn("p", F.transform(F.split("key", S.SEP), lambda c: geo.hex_centre(c)))
+    return T.geojson_lines(points, "p", ["rank", "support", "n"])
+
+
+@query("SELECT count(*) AS n FROM events")
+def sampled_rows(spark, sf):
+    """The deterministic sampler, at its full size."""
+    e = D.table(spark, sf, "events")
+    return T.sample_rows(e, e.count(), "event_id").agg(F.count("*").alias("n"))
