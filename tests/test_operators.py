@@ -1,0 +1,249 @@
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from pathloom import config as C
+from pathloom.operators import compare, graph, match, mining, quality, repeats, similarity, sketch
+from pathloom.sources import trips as T
+
+
+def corpus(spark, seqs, entity=None):
+    rows = [(i, entity(i) if entity else i, s) for i, s in enumerate(seqs)]
+    return spark.createDataFrame(rows, "id long, entity long, seq array<string>")
+
+
+def random_seqs(seed, n=40, most=12, letters="abc"):
+    r = random.Random(seed)
+    return [[r.choice(letters) for _ in range(r.randint(0, most))] for _ in range(n)]
+
+
+def brute_support(seqs, low, high):
+    c = Counter()
+    for s in seqs:
+        c.update({tuple(s[i : i + n]) for n in range(low, high + 1) for i in range(len(s) - n + 1)})
+    return {">".join(k): v for k, v in c.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("parts", [1, 7])
+def test_support_closed_maximal(spark, seed, parts):
+    seqs = random_seqs(seed)
+    t = mining.token_support(corpus(spark, seqs).repartition(parts), 1, 6)
+    sup = {r["key"]: r["support"] for r in t.collect()}
+    assert sup == brute_support(seqs, 1, 6)
+    best = defaultdict(int)
+    for k, v in sup.items():
+        toks = k.split(">")
+        for p in (toks[1:], toks[:-1]):
+            best[">".join(p)] = max(best[">".join(p)], v)
+    assert {r["key"] for r in mining.closed(t).collect()} == {k for k, v in sup.items() if best[k] < v}
+    assert {r["key"] for r in mining.maximal(t, 4).collect()} == {k for k, v in sup.items() if v >= 4 and best[k] < 4}
+    assert {r["key"] for r in mining.maximal(t, 4).collect()} <= {r["key"] for r in mining.closed(t).collect()}
+
+
+def test_calibration(spark):
+    seqs = random_seqs(3)
+    ext = mining.extensions(mining.token_support(corpus(spark, seqs), 1, 6)).cache()
+    rows = mining.calibrate(ext, len(seqs), (1, 3), floors=(2, 5, 10, 1000), k=3).collect()
+    assert {r["floor"] for r in rows} == {2, 5, 10}
+    for b in (1.0, 3.0):
+        own = {r["floor"]: (r["routes"], r["chosen"]) for r in rows if r["band"] == b}
+        good = [f for f, (n, _) in own.items() if n >= 3]
+        assert [f for f, (_, c) in own.items() if c] == [max(good) if good else 2]
+    assert mining.calibrate(ext, 1, (1,), floors=(2,)).count() == 0
+
+
+def test_exact_guard(spark):
+    with pytest.raises(C.LimitExceeded):
+        mining.exact_top(None, 10, limit=5)
+
+
+def brute_intervals(strings):
+    s = sorted(strings)
+    out = set()
+    for l in range(len(s)):
+        for r in range(l + 1, len(s)):
+            h = 0
+            while all(len(x) > h for x in s[l : r + 1]) and len({x[h] for x in s[l : r + 1]}) == 1:
+                h += 1
+            p = s[l][:h]
+            if h and (l == 0 or s[l - 1][:h] != p) and (r == len(s) - 1 or s[r + 1][:h] != p):
+                out.add((h, l, r))
+    return out
+
+
+@pytest.mark.parametrize("strings", [["aa", "aa"], ["aaaa", "aaab", "aab"], ["abc"], ["abc", "abd", "bcd"], ["a", "ab", "abc"], ["abab", "ab", "ba", "bab"], ["x", "y"], []])
+def test_lcp_intervals(strings):
+    s = sorted(strings)
+    lcp = [0] * len(s)
+    for i in range(1, len(s)):
+        while lcp[i] < min(len(s[i - 1]), len(s[i])) and s[i - 1][lcp[i]] == s[i][lcp[i]]:
+            lcp[i] += 1
+    assert set(repeats.lcp_intervals(lcp, len(s))) == brute_intervals(strings)
+
+
+def brute_repeats(seqs, least, depth=3):
+    occ = defaultdict(list)
+    for i, s in enumerate(seqs):
+        for a in range(len(s)):
+            for n in range(depth, len(s) - a + 1):
+                occ[tuple(s[a : a + n])].append((i, s[a - 1] if a else None, s[a + n] if a + n < len(s) else None))
+    kept = {}
+    for k, o in occ.items():
+        ids = {x[0] for x in o}
+        nxt = {x[2] for x in o}
+        if len(ids) >= least and len(o) > 1 and (len(nxt) > 1 or None in nxt):
+            kept[k] = (len(ids), o)
+    out = {}
+    for k, (n, o) in kept.items():
+        right = max((m for q, (m, _) in kept.items() if len(q) > len(k) and q[: len(k)] == k), default=0)
+        before = defaultdict(set)
+        for i, p, _ in o:
+            if p is not None:
+                before[p].add(i)
+        out[">".join(k)] = (n, right, max(map(len, before.values()), default=0))
+    return out
+
+
+@pytest.mark.parametrize("limit", [200_000, 5])
+@pytest.mark.parametrize("seed", [5, 6])
+def test_suffix_repeats_equal_brute_force(spark, seed, limit):
+    seqs = random_seqs(seed, n=30, most=10, letters="ab")
+    got = repeats.mine(corpus(spark, seqs, entity=lambda i: i % 7), 2, bucket_limit=limit).collect()
+    assert len({r["key"] for r in got}) == len(got)
+    mine = {r["key"]: r["support"] for r in got}
+    want = brute_repeats(seqs, 2)
+    assert mine == {k: v[0] for k, v in want.items()}
+    assert all(r["support_entities"] <= r["support"] for r in got)
+    if limit > 5:
+        assert {r["key"]: (r["support"], r["best_right"], r["best_left"]) for r in got} == want
+
+
+def test_automaton_equals_brute_force():
+    r = random.Random(11)
+    for _ in range(400):
+        pats = [tuple(r.choice("abcde") for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 5))]
+        text = [r.choice("abcde") for _ in range(r.randint(0, 15))]
+        want = {i for i, p in enumerate(pats) if any(tuple(text[a : a + len(p)]) == p for a in range(len(text)))}
+        assert match.Automaton(pats).matches(text) == want
+
+
+def test_containment_support(spark):
+    c = corpus(spark, [["a", "b", "c"], ["b", "c"], [], ["c", "b"]])
+    p = spark.createDataFrame([("x", ["b", "c"]), ("y", ["z"])], "pattern_id string, tokens array<string>")
+    assert {r["pattern_id"]: r["support"] for r in match.containment_support(c, p).collect()} == {"x": 2}
+
+
+@pytest.mark.parametrize("edges,want", [([(0, 1), (0, 2), (0, 3)], [[0, 1, 2, 3]]), ([(0, 1), (1, 2), (2, 3), (3, 4)], [[1, 0, 2]]), ([(0, 1)], [])])
+def test_star_clusters(spark, edges, want):
+    assert similarity.star_cluster(edges, 3) == want
+    df = spark.createDataFrame([(a, b) for a, b in edges], "a long, b long")
+    got = defaultdict(set)
+    for r in similarity.star_clusters(df).collect():
+        got[r["cid"]].add(r["node"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+
+
+def test_shared_runs_count_members_not_segments(spark):
+    one_trip = [["a", "b", "c"], ["a", "b", "c"], ["a", "b", "c"]]
+    assert similarity.longest_shared_run([one_trip], 2) == ()
+    assert similarity.longest_shared_run([[["x", "a", "b", "c"]], [["a", "b", "c", "y"]], [["q"]]], 2) == ("a", "b", "c")
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_jaccard_pairs_equal_brute_force(spark, seed):
+    r = random.Random(seed)
+    sets = {i: {r.choice("abcdefgh") for _ in range(r.randint(1, 6))} for i in range(25)}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, sh array<string>")
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    assert {(x["a"], x["b"]) for x in similarity.jaccard_pairs(df, 0.6).collect()} == want
+
+
+def test_pagerank_sums_to_one(spark):
+    e = spark.createDataFrame([("a", "b", 3), ("b", "c", 1), ("a", "c", 1), ("d", "a", 2)], "f string, t string, w long")
+    got = {r["node"]: r["rank"] for r in graph.pagerank(e).collect()}
+    rank = dict.fromkeys("abcd", 0.25)
+    for _ in range(15):
+        lost = rank["c"]
+        rank = {n: 0.15 / 4 + 0.85 * lost / 4 + 0.85 * sum(rank[f] * w / {"a": 4, "b": 1, "d": 2}[f] for f, t, w in (("a", "b", 3), ("b", "c", 1), ("a", "c", 1), ("d", "a", 2)) if t == n) for n in "abcd"}
+    assert sum(got.values()) == pytest.approx(1) and got == pytest.approx(rank)
+    assert [r["node"] for r in graph.dangling(e).collect()] == ["c"]
+
+
+def test_heavy_paths_follow_the_flow(spark):
+    e = spark.createDataFrame([("a", "b", 9), ("b", "c", 8), ("b", "x", 5), ("c", "d", 6), ("z", "a", 7), ("q", "r", 1)], "f string, t string, w long")
+    keys = {r["key"] for r in graph.heavy_paths(e).collect()}
+    assert "z>a>b>c>d" in keys and not any("q" in k for k in keys)
+
+
+def test_sketches(spark):
+    rows = spark.createDataFrame([(f"k{i % 7 * (i % 3)}", i % 3 + 1) for i in range(2000)], "key string, n int")
+    exact = rows.groupBy("key").agg(F.count("*").alias("support"))
+    top = sketch.heavy_hitters(rows, k=5)
+    for r in sketch.recounted(top, rows).collect():
+        assert r["estimate"] == r["support"]
+    est = sketch.count_min_estimates(exact, sketch.count_min(rows)).join(exact, "key").collect()
+    assert all(r["estimate"] >= r["support"] for r in est)
+    assert sketch.accuracy(top, exact.orderBy(F.desc("support"), "key").limit(5)).first()["recall"] == 1.0
+
+
+def test_quality_rules_keep_three_valued_logic(spark):
+    raw = spark.createDataFrame([("1", "False", "[]"), ("2", "False", None), ("3", "False", "[[oops"), ("4", "False", "[[-8.6,41.15],[-8.6,41.16]]"), ("5", "True", "[[-8.6,41.15],[-9.9,41.16]]")], "TRIP_ID string, MISSING_DATA string, POLYLINE string").withColumn("TIMESTAMP", F.lit(0).cast("long"))
+    r = quality.rejections(quality.flags(quality.parse(raw))).first().asDict()
+    assert r == {"total": 5, "missing": 1, "too_few": 3, "too_many": 0, "off_map": 1, "valid": 1}
+
+
+def test_features_of_short_trips(spark):
+    t = spark.createDataFrame([(1, [(-8.6, 41.15)]), (2, [(-8.6, 41.15), (-8.6, 41.15)]), (3, [(-8.6, 41.15), (-8.5, 41.15)])], "id long, points array<struct<lon:double,lat:double>>")
+    got = {r["id"]: r for r in quality.features(t).collect()}
+    assert got[1]["total_distance_km"] is None and got[2]["sinuosity"] is None and got[2]["is_too_short"]
+    assert got[3]["is_teleport"] and got[3]["is_too_fast"]
+
+
+def test_anomaly_fences_of_nothing_are_infinite(spark):
+    t = spark.createDataFrame([], "id long, points array<struct<lon:double,lat:double>>")
+    assert quality.fences(quality.features(t)).first()["fence_km"] == float("inf")
+
+
+def test_scaling_and_power_law(spark):
+    runs = spark.createDataFrame([("a", 2, "s", 12 + 150.0), ("b", 4, "s", 12 + 75.0)], "run_id string, workers int, stage string, wall_s double")
+    r = {x["run_id"]: x for x in compare.scaling(runs).collect()}
+    assert r["a"]["serial_fraction"] is None and r["b"]["serial_fraction"] == pytest.approx(12 / 162)
+    p = spark.createDataFrame([(float(x), 3.0 * x**1.5) for x in (1, 2, 4, 8)], "x double, y double")
+    f = compare.power_law(p).first()
+    assert (f["a"], f["b"], f["r2"]) == pytest.approx((3.0, 1.5, 1.0))
+    assert compare.power_law(p.limit(2)).first()["b"] is None
+
+
+def test_buckets_medians_supports(spark):
+    h = {r["h"]: r["b"] for r in spark.range(24).select(F.col("id").alias("h"), compare.hour_bucket(F.col("id")).alias("b")).collect()}
+    assert h[0] == "night" and h[6] == "morning_peak" and h[23] == "evening" and None not in h.values()
+    m = compare.upper_median(spark.createDataFrame([("a", x) for x in (4, 1, 3, 2)], "k string, n int"), ["k"], "n").first()
+    assert m["median"] == 3
+    assert C.min_support_for(0.5, 1000) == 5 and C.min_support_for(0.5, 10) == 2 and C.percent_of(1, 0) == 0.0
+
+
+def test_paths_and_scales():
+    assert C.join_path("gs://b/x/", "y", "z") == "gs://b/x/y/z" and C.join_path("/a", "b") == "/a/b"
+    assert C.data_paths("/d", "mid").clean == "/d/clean_mid"
+    with pytest.raises(ValueError):
+        C.data_paths("/d", "huge")
+
+
+@pytest.mark.parametrize("text", ["plain", "áé → ü", "", "x" * 50_000, "line\n"])
+def test_small_files(spark, tmp_path, text):
+    p = f"file://{tmp_path}/a/b.txt"
+    T.write_text(spark, p, text)
+    assert T.exists(spark, p) and T.read_text(spark, p) == text
+    T.append_jsonl(spark, f"file://{tmp_path}/l.jsonl", {"a": 1})
+    T.append_jsonl(spark, f"file://{tmp_path}/l.jsonl", {"a": 2})
+    assert T.read_text(spark, f"file://{tmp_path}/l.jsonl").count("\n") == 2
+
+
+def test_sampling_does_not_depend_on_layout(spark):
+    df = spark.range(1000).withColumnRenamed("id", "TRIP_ID")
+    a = {r[0] for r in T.sample_rows(df, 50).collect()}
+    assert a == {r[0] for r in T.sample_rows(df.repartition(9), 50).collect()} and len(a) == 50
+    assert 60 < T.sample_share(df, 100, 1000).count() < 140 and T.sample_share(df, 2000, 1000).count() == 1000
