@@ -83,7 +83,7 @@ _CANDIDATE = re.compile(
 )
 _LENGTHS = (6, 9, 13, 16, 20)
 #: Strength of a skip edge between equal and between similar keys, rounds of messages, and the gain over "none" a span needs.
-SAME, SIMILAR, ROUNDS, GAIN = 3.0, 1.0, 8, 0.0
+SAME, SIMILAR, ROUNDS, GAIN = 8.0, 6.0, 8, 0.0
 
 
 def features(t: str, s: int, e: int) -> list[str]:
