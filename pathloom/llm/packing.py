@@ -25,8 +25,9 @@ from pathloom.llm.tokens import encoder, ids_of_long
 
 CAPACITY = 4096
 END = 1
-#: Steps of one search for fillings, fillings tried at a step, and steps back of the whole search.
-FILL_STEPS, WIDTH, BACK = 600, 3, 2000
+#: Steps of one search for fillings, fillings tried at a step, steps back of the whole search, and pieces left below
+#: which a filling is used once at a time.
+FILL_STEPS, WIDTH, BACK, FEW = 600, 50, 800, 200
 _LONG = 1 << 20
 
 
@@ -76,45 +77,53 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tup
     best: list[tuple[tuple[int, ...], int]] | None = None
     best_n, back = total + 1, 0
     lengths = [int(x) for x in np.flatnonzero(count)]
-    path: list[tuple[tuple[int, ...], int, list[tuple[int, ...]]]] = []
-    used, waste = 0, 0
+    #: (sequence, times, other fillings to try; None: not yet looked for)
+    path: list[tuple[tuple[int, ...], int, list[tuple[int, ...]] | None]] = []
+    used, waste, left = 0, 0, int(count.sum())
+
+    def put(pattern: tuple[int, ...], times: int) -> None:
+        """Takes the pieces of `times` such sequences; a negative number gives them back."""
+        nonlocal used, waste, left
+        for x in set(pattern):
+            had = count[x]
+            count[x] -= times * pattern.count(x)
+            if had and not count[x]:
+                del lengths[bisect.bisect_left(lengths, x)]
+            elif count[x] and not had:
+                bisect.insort(lengths, x)
+        used += times
+        waste += times * (capacity - sum(pattern))
+        left -= times * len(pattern)
+
+    def around(big: int, width: int) -> list[tuple[int, ...]]:
+        count[big] -= 1
+        found = [(big, *o) for o in fillings(capacity - big, lengths, count, width)]
+        count[big] += 1
+        return found
 
     while True:
         if lengths:
-            big = lengths[-1]
-            count[big] -= 1
-            options = fillings(capacity - big, lengths, count, 1 if best is None else WIDTH)
-            count[big] += 1
-            options = [(big, *o) for o in options]
-        elif used < best_n:
-            best, best_n, options = [(p, t) for p, t, _ in path], used, []
+            options: list[tuple[int, ...]] | None = around(lengths[-1], 1)
+            fresh = True
         else:
-            options = []
+            if used < best_n:
+                best, best_n = [(p, t) for p, t, _ in path], used
+            options, fresh = [], False
         if best is not None and (best_n <= bound or back > BACK):
             return best
         while not options or (best is not None and waste > (best_n - 1) * capacity - total):
-            if not path:
+            if not path or back > BACK:
                 return best or []
             pattern, times, options = path.pop()
-            for x in set(pattern):
-                had = count[x]
-                count[x] += times * pattern.count(x)
-                if not had:
-                    bisect.insort(lengths, x)
-            used -= times
-            waste -= times * (capacity - sum(pattern))
+            put(pattern, -times)
+            if options is None:
+                options = [o for o in around(pattern[0], WIDTH) if o != pattern]
+            fresh = False
             back += 1
-            if back > BACK:
-                return best or []
-        pattern, rest = options[0], options[1:]
-        times = int(min(count[x] // pattern.count(x) for x in set(pattern)))
-        for x in set(pattern):
-            count[x] -= times * pattern.count(x)
-            if not count[x]:
-                del lengths[bisect.bisect_left(lengths, x)]
-        used += times
-        waste += times * (capacity - sum(pattern))
-        path.append((pattern, times, rest))
+        pattern = options[0]
+        times = 1 if left <= FEW else int(min(count[x] // pattern.count(x) for x in set(pattern)))
+        put(pattern, times)
+        path.append((pattern, times, None if fresh else options[1:]))
 
 
 def layout(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
