@@ -99,3 +99,24 @@ KMWINDOWS = CELLS + f""", ij AS (SELECT *, unnest(generate_series(i + 1, len(cel
 , ksup AS (SELECT key, count(DISTINCT id) AS support, count(DISTINCT entity) AS support_entities, max(km) AS length_km, max(n) AS n, bool_or(tr) AS truncated FROM okwin GROUP BY key)"""
 EDGES = """steps AS (SELECT id, tok AS f, lead(tok) OVER (PARTITION BY id ORDER BY pos) AS t FROM tok), edges AS (SELECT f, t, count(DISTINCT id) AS w FROM steps WHERE t IS NOT NULL GROUP BY f, t)"""
 CELLTOK = CELLS + """, tok AS (SELECT id, entity, cell AS tok, k AS pos FROM cells)"""
+
+
+def geohash(lon: str, lat: str, precision: int = 6) -> str:
+    bits = 5 * precision
+    nx, ny = (bits + 1) // 2, bits // 2
+    ix = f"least(greatest(CAST(floor(({lon} + 180e0) / 360e0 * {1 << nx}) AS BIGINT), 0), {(1 << nx) - 1})"
+    iy = f"least(greatest(CAST(floor(({lat} + 90e0) / 180e0 * {1 << ny}) AS BIGINT), 0), {(1 << ny) - 1})"
+    chars = []
+    for c in range(precision):
+        terms = []
+        for k in range(5 * c, 5 * c + 5):
+            axis, at = ("gx", nx - 1 - k // 2) if k % 2 == 0 else ("gy", ny - 1 - k // 2)
+            terms.append(f"(({axis} >> {at}) & 1) * {1 << (4 - k % 5)}")
+        chars.append(f"substr('{geo.GEOHASH_ALPHABET}', CAST({' + '.join(terms)} + 1 AS BIGINT), 1)")
+    return f"(SELECT {' || '.join(chars)} FROM (SELECT {ix} AS gx, {iy} AS gy))"
+
+
+def grid_stats(name: str, cell: str) -> str:
+    """One row of the grid comparison, over the points table."""
+    return f"""SELECT '{name}' AS grid, (SELECT count(DISTINCT id) FROM pts) AS trips, avg(kept) AS avg_cells, avg(raw / kept::DOUBLE) AS avg_ratio, (SELECT count(DISTINCT c) FROM (SELECT {cell} AS c FROM pts)) AS cells
+ FROM (SELECT id, count(*) AS raw, count(*) FILTER (p IS NULL OR p <> c) AS kept FROM (SELECT id, c, lag(c) OVER (PARTITION BY id ORDER BY pos) AS p FROM (SELECT id, pos, {cell} AS c FROM pts)) GROUP BY id)"""

@@ -203,12 +203,15 @@ def grid_entropy(spark, sf):
     return e.select("cell", "n", F.round(F.abs("entropy"), 6).alias("entropy"))
 
 
-@query()
+_GRIDS = [(f"hex_{e}", O.hex_cell("lon", "lat", e)) for e in (0.461, 0.174, 0.066)] + [(f"geohash_{k}", O.geohash("lon", "lat", k)) for k in (6, 7)]
+
+
+@query(f"WITH {O.PTS} SELECT grid, trips, round(avg_cells, 6) AS avg_cells, round(avg_ratio, 6) AS avg_ratio, cells FROM ({' UNION ALL '.join(O.grid_stats(n, c) for n, c in _GRIDS)})")
 def grid_compare(spark, sf):
     return rounded(encoding.grid_comparison(D.trips(spark, sf)), "avg_cells", "avg_ratio")
 
 
-@query()
+@query(f"WITH {O.PTS} SELECT {O.geohash('lon', 'lat', 6)} AS cell, count(*) AS n FROM pts GROUP BY 1")
 def geohash_cells(spark, sf):
     p = D.trip_points(spark, sf)
     return p.groupBy(geo.geohash(F.col("lon"), F.col("lat"), 6).alias("cell")).agg(F.count("*").alias("n"))
