@@ -78,7 +78,25 @@ _CALLS = (op1_minhash_near_dedup, op2_embedding_near_dedup, op3_pii, op4_secrets
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _CALLS}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The smallest node reachable over links (a, b), both ways, for each node of a table nodes.
+_REACH = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT id, id AS r FROM nodes UNION SELECT reach.id, b FROM reach JOIN both_ways ON a = r)
+        , comp AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)"""
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents)
+        , s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS sh FROM w)
+        , n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)
+        , shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL)
+        , links AS (SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 75 * (p.n + q.n - i))
+        , nodes AS (SELECT doc_id AS id FROM documents), {_REACH}
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN comp ON id = doc_id""",
+    "op2_embedding_near_dedup": f"""
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
+        , ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0)
+        , links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.93)
+        , nodes AS (SELECT vec_id AS id FROM v), {_REACH}, deg AS (SELECT a AS id, count(*) AS n FROM both_ways GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN comp ON comp.id = vec_id LEFT JOIN deg ON deg.id = vec_id""",
     "op9_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
