@@ -111,8 +111,10 @@ def transitions(seq: Column) -> Column:
 
 
 def shingles(seq: Column) -> Column:
-    """Distinct directed bigrams "a>b"."""
-    return ngrams(seq, 2)
+    """Distinct directed bigrams "a>b".  No lambda refers to seq, which is worked out a few times, not once an element."""
+    n = F.size(seq)
+    pairs = F.zip_with(F.slice(seq, F.lit(1), n - 1), F.slice(seq, F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(SEP), b))
+    return F.when(n < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
 
 
 def parent_left(key: Column) -> Column:

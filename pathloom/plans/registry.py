@@ -419,18 +419,18 @@ def jaccard_pairs_exact(spark, sf):
 
 @query()
 def lsh_pairs(spark, sf):
-    return similarity.lsh_pairs(similarity.shingled(D.event_sequences(spark, sf, weekly=True)))
+    return similarity.lsh_pairs(similarity.shingled(D.word_sequences(spark, sf)))
 
 
 @query()
 def star_clusters(spark, sf):
-    pairs = similarity.jaccard_pairs(similarity.shingled(D.event_sequences(spark, sf, weekly=True)), 0.6)
+    pairs = similarity.jaccard_pairs(similarity.shingled(D.word_sequences(spark, sf)), 0.6)
     return similarity.star_clusters(pairs)
 
 
 @query()
 def shared_runs(spark, sf):
-    seq = D.event_sequences(spark, sf, weekly=True)
+    seq = D.word_sequences(spark, sf)
     return similarity.shared_runs(similarity.star_clusters(similarity.jaccard_pairs(similarity.shingled(seq), 0.6)), seq)
 
 
