@@ -141,26 +141,29 @@ def _stems_of(word: str) -> Iterator[str]:
 
 def fit(rows: list[tuple[str, int]]) -> Model:
     """Stems by log rate ratio of toxic to clean words, then the logistic curve, on the same bounded rows."""
-    docs: list[Counter] = [Counter(), Counter()]
-    uses: list[Counter] = [Counter(), Counter()]
+    by_word: list[Counter] = [Counter(), Counter()]
     total = [1, 1]
-    held: list[tuple[list[str], int]] = []
     for text, y in rows:
         tokens = Counter(_TOKEN.findall(text.lower()))
         n = sum(tokens.values())
         total[y] += n
         most = 2 + n // 50  # one word repeated over a text is one observation
-        uses[y].update({w: min(c, most) for w, c in tokens.items()})
-        held.append((list(tokens), y))
-    by_word, uses = uses, [Counter(), Counter()]
-    for y in (0, 1):
-        for w, c in by_word[y].items():
-            for s in _stems_of(w):
-                uses[y][s] += c
+        by_word[y].update({w: min(c, most) for w, c in tokens.items()})
+    uses: list[Counter] = [Counter(), Counter()]
+    for w, c in by_word[1].items():
+        for s in _stems_of(w):
+            uses[1][s] += c
+    often = {s for s, c in uses[1].items() if c >= LEAST}
+    for w, c in by_word[0].items():
+        for s in _stems_of(w):
+            if s in often:
+                uses[0][s] += c
+    del by_word
     rate = lambda s, y: (uses[y][s] + 0.5) / total[y]
-    maybe = {s for s, c in uses[1].items() if c >= LEAST and math.log(rate(s, 1) / rate(s, 0)) >= RATIO}
-    for tokens, y in held:
-        docs[y].update({s for w in tokens for s in _stems_of(w) if s in maybe})
+    maybe = {s for s in often if math.log(rate(s, 1) / rate(s, 0)) >= RATIO}
+    docs: list[Counter] = [Counter(), Counter()]
+    for text, y in rows:
+        docs[y].update({s for w in set(_TOKEN.findall(text.lower())) for s in _stems_of(w) if s in maybe})
     odds = lambda d, k: (d + 0.5) / (k + 1)
     n1 = sum(y for _, y in rows)
     ranked = []
