@@ -146,7 +146,7 @@ def _cutter(path: str, capacity: int):
         e = encoder(path)
         end = np.array([END], np.uint32)
         for whole in batches:
-            for b in _chunks(whole, 1 << 21):
+            for b in _chunks(whole, 1 << 20):
                 names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 if len(texts) == 1 and texts[0] and len(texts[0]) > _LONG:
                     ids = ids_of_long(e, texts[0])
