@@ -38,7 +38,7 @@ def alike(inter: int, n: int, m: int, percent: int) -> bool:
     return 100 * inter >= percent * (n + m - inter)
 
 
-def _chunks(batch: pa.RecordBatch, most: int = 1 << 25) -> Iterator[pa.RecordBatch]:
+def _chunks(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with texts of at most so many bytes together, or one row."""
     size = batch.column(1).cast(pa.large_string())
     ends = np.frombuffer(size.buffers()[1], np.int64)[size.offset : size.offset + len(size) + 1]

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 WORDS = 5
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 19
 _U = np.uint64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _IS_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
