@@ -102,14 +102,15 @@ def mine(corpus: DataFrame, least: int, prefix: int = C.SUFFIX_PREFIX_CELLS, mos
     rows = suffix_rows(corpus, prefix, most)
     out, depth = None, prefix
     while True:
-        big = rows.groupBy("bucket").agg(F.count("*").alias("c")).filter(F.col("c") > bucket_limit).select("bucket")
-        crowded = [] if depth >= most else [r["bucket"] for r in big.limit(100_000).collect()]  # at most rows / bucket_limit names
-        fits = rows.filter(~F.col("bucket").isin(crowded)) if crowded else rows
+        # Buckets with fewer suffixes than sequences asked for hold no repeat: most buckets of a large alphabet.
+        rows = rows.join(rows.groupBy("bucket").agg(F.count("*").alias("c")).filter(F.col("c") >= least), "bucket")
+        crowded = [] if depth >= most else [r["bucket"] for r in rows.filter(F.col("c") > bucket_limit).select("bucket").distinct().limit(100_000).collect()]  # at most rows / bucket_limit names
+        fits = (rows.filter(~F.col("bucket").isin(crowded)) if crowded else rows).select("id", "entity", "bucket", "prev", "suffix")
         mined = fits.groupBy("bucket").applyInArrow(_miner(least, depth), SCHEMA)
         out = mined if out is None else out.unionByName(mined)
         if not crowded:
             return out
-        hot = rows.filter(F.col("bucket").isin(crowded))
+        hot = rows.filter(F.col("bucket").isin(crowded)).drop("c")
         out = out.unionByName(_level(hot, least, depth))
         depth += 1
         rows = hot.filter(F.size("suffix") >= depth).withColumn("bucket", F.array_join(F.slice("suffix", 1, depth), S.SEP))
