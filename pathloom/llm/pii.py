@@ -219,8 +219,10 @@ SAMPLE, PER_TEXT = 4000, 50
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Weights:
-    some = docs.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
-    some = some.filter(F.col("text").rlike("[0-9@]")).orderBy("h", "text").limit(sample)
+    key = [F.xxhash64(F.col(id_col)).alias("h"), F.xxhash64(F.col(text_col).cast("string")).alias("k")]
+    few = docs.filter(F.col(text_col).cast("string").rlike("[0-9@]")).select(*key).orderBy("h", "k").limit(sample)
+    few = docs.sparkSession.createDataFrame(few.collect(), "h long, k long").distinct()
+    some = docs.select(F.col(text_col).cast("string").alias("text"), *key).join(F.broadcast(few), ["h", "k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
