@@ -4,7 +4,8 @@ Equal vectors of a label form a class first.  Rotations learned on a bounded sam
 Procrustes steps) give balanced binary codes; substrings of the codes index hash tables.  Two vectors are
 candidates where a substring is equal, and are reranked by the cosine of the original vectors in double precision, in the first
 such table only, so that a link is counted once.  The number of tables follows from how often the learned codes keep a
-substring for pairs at the threshold: it is raised until fewer than MISS of such pairs share none.
+substring for pairs at the threshold: it is raised until at most MISS of such pairs share none.  Where MOST_TABLES do not reach
+that, substrings are shortened until they do.
 
 A bucket with more than TILE classes is dealt out in tiles, every pair of parts once.  Tiles hand on counts and the edges of a
 spanning forest, not pairs.
@@ -27,7 +28,8 @@ SAMPLE = 20_000
 ITERATIONS = 30
 MISS = 0.004
 TILE = 1024
-MOST_TABLES = 120
+#: Tables of one index at most (a smaller width needs fewer), and sample rows that give a label a mean of its own.
+MOST_TABLES, OWN_MEAN = 120, 500
 
 
 def itq(x: np.ndarray, bits: int, rng: np.random.Generator, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray]:
@@ -46,26 +48,56 @@ def itq(x: np.ndarray, bits: int, rng: np.random.Generator, iterations: int = IT
 
 
 class Index:
-    """Learned rotations, and which bits make the substring of each table."""
+    """Learned rotations, and which bits make the substring of each table.
 
-    def __init__(self, sample: np.ndarray, width: int, threshold: float, seed: int = 2):
+    Codes are centred by the mean of their label where the sample holds at least OWN_MEAN rows of it, else of all rows.  A width
+    whose MOST_TABLES tables would miss more than MISS gives way to the next smaller one; at width 0 all vectors share one table.
+    """
+
+    def __init__(self, sample: np.ndarray, width: int, threshold: float, seed: int = 2, labels: list[str] | None = None):
         rng = np.random.default_rng(seed)
         self.dim = sample.shape[1]
-        self.width = width = min(width, self.dim)
-        per = self.dim // width
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self._learn_centres(sample, labels)
         # Pairs at the threshold: each sample vector and one turned from it by that angle, in a random direction.
         x = sample[:4000]
         y = rng.standard_normal(x.shape)
         y -= (y * x).sum(1, keepdims=True) * x
         y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
         y = threshold * x + math.sqrt(1 - threshold**2) * y
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        missed = np.ones(len(x), bool)
-        while (missed.mean() > MISS or not self.parts) and len(self.parts) * per < MOST_TABLES:
-            self.parts.append(itq(sample, self.dim, rng))
-            a, b = (self._codes(z, self.parts[-1]) for z in (x, y))
-            missed &= ~(a == b).any(1)
-        self.tables = len(self.parts) * per
+        own = None if labels is None else labels[:4000]
+        x, y, centred = self._centred(x, own), self._centred(y, own), self._centred(sample, labels)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for self.width in range(min(width, self.dim), -1, -1):
+            per = self.dim // self.width if self.width else 1
+            most = -(-MOST_TABLES // per)
+            missed, k, rate = np.ones(len(x), bool), 0, 1.0
+            # Pairs still missed are the harder ones: a rate that would not do in all tables will not do.
+            while self.width and (rate > MISS or not k) and k < most and (k < 4 or rate ** (most / k) <= MISS):
+                if k == len(parts):
+                    parts.append(itq(centred, self.dim, rng))
+                a, b = (self._codes(z, parts[k]) for z in (x, y))
+                missed &= ~(a == b).any(1)
+                k, rate = k + 1, missed.mean()
+            if rate <= MISS:
+                break
+        self.parts = parts[:k]
+        self.tables = k * per if self.width else 1
+
+    def _learn_centres(self, sample: np.ndarray, labels: list[str] | None) -> None:
+        self.place: dict[str, int] = {}
+        if labels is None:
+            self.centres = np.zeros((1, self.dim))
+            return
+        rows: dict[str, list[int]] = {}
+        for i, label in enumerate(labels):
+            rows.setdefault(label, []).append(i)
+        often = [k for k, at in rows.items() if len(at) >= OWN_MEAN]
+        self.place = {k: i + 1 for i, k in enumerate(often)}
+        self.centres = np.array([sample.mean(0), *(sample[rows[k]].mean(0) for k in often)])
+
+    def _centred(self, x: np.ndarray, labels: list[str] | None) -> np.ndarray:
+        return x - (self.centres[0] if labels is None else self.centres[[self.place.get(k, 0) for k in labels]])
 
     def _codes(self, x: np.ndarray, part: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         bits = ((x - part[0]) @ part[1]) >= 0
@@ -73,13 +105,16 @@ class Index:
         weights = 1 << np.arange(self.width, dtype=np.int64)
         return (bits[:, : per * self.width].reshape(len(x), per, self.width) * weights).sum(2)
 
-    def codes(self, x: np.ndarray) -> np.ndarray:
+    def codes(self, x: np.ndarray, labels: list[str] | None = None) -> np.ndarray:
         """int32 substring codes, by vector and table; vectors of another length are cut or filled up for this only."""
         if x.shape[1] != self.dim:
             z = np.zeros((len(x), self.dim))
             k = min(self.dim, x.shape[1])
             z[:, :k] = x[:, :k]
             x = z
+        if not self.width:
+            return np.zeros((len(x), 1), np.int32)
+        x = self._centred(x, labels)
         return np.concatenate([self._codes(x, p) for p in self.parts], axis=1).astype(np.int32)
 
 
@@ -111,11 +146,12 @@ def _coder(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vecs, dims = b.column(b.schema.get_field_index("vec")).to_pylist(), b.column(b.schema.get_field_index("dim")).to_numpy()
+            labels = b.column(b.schema.get_field_index("label")).to_pylist()
             codes = np.zeros((len(vecs), index.tables), np.int32)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 x = np.frombuffer(b"".join(vecs[i] for i in at), np.float64).reshape(len(at), d)
-                codes[at] = index.codes(_unit(x))
+                codes[at] = index.codes(_unit(x), [labels[i] for i in at])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(codes), pa.list_(pa.int32()))], [*b.schema.names, "codes"])
 
     return run
@@ -221,8 +257,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = None
     if per["most"] and per["most"] > 1:
         width = width or max(8, min(24, math.ceil(math.log2(per["most"])) - 4))
-        some = cls.filter(F.col("dim") == per["dim"]).orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("vec").collect()
-        index = Index(_unit(np.frombuffer(b"".join(r["vec"] for r in some), np.float64).reshape(len(some), -1)), width, threshold)
+        some = cls.filter(F.col("dim") == per["dim"]).orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("label", "vec").collect()
+        x = _unit(np.frombuffer(b"".join(r["vec"] for r in some), np.float64).reshape(len(some), -1))
+        index = Index(x, width, threshold, labels=[r["label"] for r in some])
         coded = saved(cls.select("cid", "m", "label", "dim", "vec").mapInArrow(_coder(index), "cid long, m long, label string, dim int, vec binary, codes array<int>"))
         key = F.xxhash64("label", "dim", "t", "code").alias("key")
         slim = coded.select("label", "dim", F.posexplode("codes").alias("t", "code")).select(key)

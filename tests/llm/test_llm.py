@@ -164,6 +164,38 @@ def test_index_keeps_its_recall_at_the_threshold():
     assert abs((((x - ix.parts[0][0]) @ ix.parts[0][1]) >= 0).mean() - 0.5) < 0.02
 
 
+def turned(x, cosine, rng):
+    y = rng.standard_normal(x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    return cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("labels", [1, 2])
+def test_index_keeps_its_recall_for_vectors_with_a_common_mean(monkeypatch, labels):
+    monkeypatch.setattr(embeddings, "ITERATIONS", 5)
+    rng = np.random.default_rng(5)
+    lab = [str(i % labels) for i in range(6000)]
+    means = np.linalg.qr(rng.standard_normal((64, 64)))[0][:labels]
+    z = rng.standard_normal((6000, 64))
+    z -= (z @ means.T) @ means
+    x = np.sqrt(0.72) * means[[int(k) for k in lab]] + np.sqrt(0.28) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    ix = embeddings.Index(x, 18, 0.93, labels=lab)
+    assert (ix.codes(x, lab) == ix.codes(turned(x, 0.93, rng), lab)).any(1).mean() > 0.99
+    assert ix.tables <= embeddings.MOST_TABLES + 64 and ix.width < 18
+    # Codes are balanced within each label.
+    bits = (ix._centred(x, lab) - ix.parts[0][0]) @ ix.parts[0][1] >= 0
+    assert all(abs(bits[[k == c for k in lab]].mean() - 0.5) < 0.05 for c in set(lab))
+
+
+def test_an_index_that_no_substring_serves_compares_all(monkeypatch):
+    monkeypatch.setattr(embeddings, "MOST_TABLES", 1)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((500, 2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ix = embeddings.Index(x, 2, -0.999)
+    assert ix.width == 0 and (ix.codes(x) == ix.codes(turned(x, -0.999, rng))).any(1).all()
+
+
 # ---- spans
 
 EM = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
