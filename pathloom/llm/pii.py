@@ -82,8 +82,10 @@ _CANDIDATE = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)*|\+?\(?[0-9](?:[ ().-]{0,2}[0-9]){5,24}"
 )
 _LENGTHS = (6, 9, 13, 16, 20)
-#: Strength of a skip edge between equal and between similar keys, rounds of messages, and the gain over "none" a span needs.
-SAME, SIMILAR, ROUNDS, GAIN = 8.0, 6.0, 8, 0.0
+#: Strength of a skip edge between equal and between similar keys, and the gain over "none" a span needs.
+SAME, SIMILAR, GAIN = 8.0, 6.0, 0.0
+#: Score of an observed label, the change below which messages rest, and rounds at most where loops keep them from resting.
+SURE, REST, ROUNDS = 1e6, 1e-6, 1000
 
 
 def features(t: str, s: int, e: int) -> list[str]:
@@ -145,7 +147,7 @@ def fit(rows: list[tuple[list[str], int]], rounds: int = 12, rate: float = 0.5,
 
 
 def messages(node: np.ndarray, edges: list[tuple[int, int, float]], rounds: int = ROUNDS) -> np.ndarray:
-    """Max-product beliefs of a field with node scores and edges that reward equal labels by their strength."""
+    """Max-product beliefs of a field with node scores and edges that reward equal labels by their strength, when messages rest."""
     if not edges:
         return node
     src = np.array([i for a, b, _ in edges for i in (a, b)])
@@ -159,6 +161,8 @@ def messages(node: np.ndarray, edges: list[tuple[int, int, float]], rounds: int
         out = belief[src] - m[back]
         new = np.maximum(out + force, out.max(1, keepdims=True))
         new -= new.max(1, keepdims=True)
+        if np.abs(new - m).max() <= REST:
+            break
         m = 0.5 * m + 0.5 * new
     belief = node.copy()
     np.add.at(belief, dst, m)
@@ -173,12 +177,13 @@ def added(t: str, base: list[tuple[str, int, int]], model: Weights) -> list[tupl
     if not found:
         return []
     node = np.array([np.sum([model.get(f, [0.0] * len(LABELS)) for f in features(t, s, e)], axis=0) for s, e in found])
-    free = []
+    free, seen = [], {}
     for i, (s, e) in enumerate(found):
         over = [k for k, a, b in base if a < e and s < b]
         if over:
-            node[i] = -12.0
-            node[i, LABELS.index(over[0])] = 12.0
+            node[i] = -SURE
+            node[i, LABELS.index(over[0])] = SURE
+            seen[i] = LABELS.index(over[0])
         else:
             free.append(i)
     if not free:
@@ -187,12 +192,25 @@ def added(t: str, base: list[tuple[str, int, int]], model: Weights) -> list[tupl
     groups: dict[str, list[int]] = defaultdict(list)
     for i, k in enumerate(keys):
         groups[k].append(i)
-    edges = [(a, b, SAME) for g in groups.values() for a, b in zip(g, g[1:])]
+    # An edge to an observed mention is a score of the free one: it is the same for each of them, however many there are.
+    known = {k: {seen[i] for i in g if i in seen} for k, g in groups.items()}
     tails: dict[str, list[str]] = defaultdict(list)
     for k in groups:
         tails[k.partition("@")[0] if "@" in k else k[-7:]].append(k)
-    for g in tails.values():
-        edges += [(groups[a][0], groups[b][0], SIMILAR) for a, b in zip(g, g[1:]) if similar(a, b)]
+    near = [(a, b) for g in tails.values() for a, b in zip(g, g[1:]) if similar(a, b)]
+    alike: dict[str, set[int]] = defaultdict(set)
+    for a, b in near:
+        alike[a] |= known[b]
+        alike[b] |= known[a]
+    for i in free:
+        for k in known[keys[i]] | alike.get(keys[i], set()):
+            node[i, k] += SAME if k in known[keys[i]] else SIMILAR
+    # Free mentions of a key share one variable, and those of similar keys are joined.
+    open_ = {k: [i for i in g if i not in seen] for k, g in groups.items()}
+    hub = {k: len(found) + n for n, k in enumerate(k for k, g in open_.items() if g)}
+    edges = [(i, hub[k], SAME) for k, g in open_.items() for i in g if len(g) > 1 or k in alike]
+    edges += [(hub[a], hub[b], SIMILAR) for a, b in near if a in hub and b in hub]
+    node = np.concatenate([node, np.zeros((len(hub), len(LABELS)))])
     belief = messages(node, edges)
     out = []
     for i in free:

@@ -261,6 +261,21 @@ def test_the_field_carries_a_label_to_a_distant_similar_token():
     assert pii.added(alone, [], model) == []
 
 
+@pytest.mark.parametrize("lean", [0.1, 1.0, 2.0])
+@pytest.mark.parametrize("first,again", [("+1 (202) 555-0199", "202 555 0199"), ("+1 (202) 555-0199", "1 202 555 0199")])
+@pytest.mark.parametrize("repeats", [2, 8, 32, 300])
+def test_the_field_labels_all_repeats_of_an_observed_number(lean, first, again, repeats):
+    model = {"bias": [lean, 0.0, 0.0, 0.0, 0.0]}
+    t = first + " word " + f"{again} word " * repeats
+    assert pii.added(t, pii.base_spans(t), model) == [("phone", m.start(), m.end()) for m in re.finditer(f"(?<!\\+){again}", t)]
+    assert pii.added(f"{again} word " * repeats, [], model) == []
+
+
+def test_messages_reach_the_end_of_a_long_chain():
+    node = np.array([[0.0, 50.0]] + [[0.1, 0.0]] * 40)
+    assert pii.messages(node, [(i, i + 1, 8.0) for i in range(40)]).argmax(1).tolist() == [1] * 41
+
+
 def test_messages_make_a_chain_agree():
     node = np.array([[0.0, 6.0], [0.5, 0.0], [0.5, 0.0]])
     assert pii.messages(node, [(0, 1, 3.0), (1, 2, 3.0)]).argmax(1).tolist() == [1, 1, 1]
