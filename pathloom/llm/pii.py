@@ -1,9 +1,9 @@
 """Personal data: exact base patterns, and a skip-chain conditional random field that adds what they miss.
 
 Base spans follow fixed rules per kind.  The method labels the candidate tokens of a document (tokens with digits, '@' or
-a word 'at'/'dot' form around it): node potentials come from a log-linear model of the token's shape and its neighbours, trained here;
-tokens of one document with the same or similar key (the same digits, or the same local part) are joined by
-skip edges whatever lies between them, and loopy max-product messages make their labels agree.  A candidate that ends with an entity label and
+a word 'at'/'dot' form around it): node potentials come from a log-linear model of the token's shape and its neighbours, transition
+potentials join each candidate to the next one, and both are trained here; tokens of one document with the same or similar key (the same digits, or the same local part) are joined by
+skip edges of set strength whatever lies between them, and loopy max-product messages make their labels agree.  A candidate that ends with an entity label and
 overlaps no base span of its kind is added as a span.
 """
 
@@ -125,8 +125,15 @@ Weights = dict[str, list[float]]
 
 
 def fit(rows: list[tuple[list[str], int]], rounds: int = 12, rate: float = 0.5, decay: float = 1e-3) -> Weights:
-    """Multinomial logistic regression (averaged over gradient steps on all rows): features to labels."""
-    names = sorted({f for fs, _ in rows for f in fs})
+    """Multinomial logistic regression (averaged over gradient steps on all rows): features to labels.
+
+    The labels of the neighbours are features too, with one weight for a pair of labels from either side: the pseudo-likelihood of
+    a chain, whose transition potentials are the rows "after_...".
+    """
+    names = {f for fs, _ in rows for f in fs}
+    sides = [[f"{side}_{k}" for k in LABELS] for side in ("after", "next")]
+    tied = any(f in names for side in sides for f in side)
+    names = sorted(names.union(*sides) if tied else names)
     at = {f: i for i, f in enumerate(names)}
     w = np.zeros((len(names), len(LABELS)))
     if not rows:
@@ -143,23 +150,36 @@ def fit(rows: list[tuple[list[str], int]], rounds: int = 12, rate: float = 0.5,
         g = np.zeros_like(w)
         np.add.at(g, flat, z[owner])
         w -= rate * (g / max(1, len(x)) * len(LABELS) + decay * w)
+        if tied:
+            a, b = ([at[f] for f in side] for side in sides)
+            w[a] = (w[a] + w[b].T) / 2
+            w[b] = w[a].T
     return {f: w[i].tolist() for f, i in at.items()}
 
 
-def messages(node: np.ndarray, edges: list[tuple[int, int, float]], rounds: int = ROUNDS) -> np.ndarray:
-    """Max-product beliefs of a field with node scores and edges that reward equal labels by their strength, when messages rest."""
-    if not edges:
+def messages(node: np.ndarray, edges: list[tuple[int, int, float]], steps: list[tuple[int, int]] | tuple = (), factor: np.ndarray | None = None, rounds: int = ROUNDS) -> np.ndarray:
+    """Max-product beliefs, when messages rest, of a field with node scores, edges that reward equal labels by their strength, and
+    steps (from, to) with the scores `factor` of a pair of labels."""
+    if not edges and not steps:
         return node
-    src = np.array([i for a, b, _ in edges for i in (a, b)])
-    dst = np.array([i for a, b, _ in edges for i in (b, a)])
+    pairs = [(a, b) for a, b, _ in edges] + list(steps)
+    src = np.array([i for a, b in pairs for i in (a, b)])
+    dst = np.array([i for a, b in pairs for i in (b, a)])
     force = np.repeat([s for *_, s in edges], 2)[:, None]
     back = np.arange(len(src)) ^ 1
+    n = 2 * len(edges)
     m = np.zeros((len(src), node.shape[1]))
     for _ in range(rounds):
         belief = node.copy()
         np.add.at(belief, dst, m)
         out = belief[src] - m[back]
-        new = np.maximum(out + force, out.max(1, keepdims=True))
+        new = np.empty_like(m)
+        if n:
+            new[:n] = np.maximum(out[:n] + force, out[:n].max(1, keepdims=True))
+        if steps:
+            for k in range(node.shape[1]):
+                new[n::2, k] = (out[n::2] + factor[:, k]).max(1)
+                new[n + 1 :: 2, k] = (out[n + 1 :: 2] + factor[k]).max(1)
         new -= new.max(1, keepdims=True)
         if np.abs(new - m).max() <= REST:
             break
@@ -194,14 +214,20 @@ def added(t: str, base: list[tuple[str, int, int]], model: Weights) -> list[tupl
         groups[k].append(i)
     # An edge to an observed mention is a score of the free one: it is the same for each of them, however many there are.
     known = {k: {seen[i] for i in g if i in seen} for k, g in groups.items()}
-    tails: dict[str, list[str]] = defaultdict(list)
+    # Similar keys: each number with all that are ends of it, and each address with the local part it shares.
+    near = [(k, k[c:]) for k in groups if "@" not in k for c in range(1, len(k) - 6) if k[c:] in groups]
+    locals_: dict[str, list[str]] = defaultdict(list)
     for k in groups:
-        tails[k.partition("@")[0] if "@" in k else k[-7:]].append(k)
-    near = [(a, b) for g in tails.values() for a, b in zip(g, g[1:]) if similar(a, b)]
+        locals_[k.partition("@")[0]].append(k)
+    shared = [g for g in locals_.values() if len(g) > 1]
     alike: dict[str, set[int]] = defaultdict(set)
     for a, b in near:
         alike[a] |= known[b]
         alike[b] |= known[a]
+    for g in shared:
+        of_all = set().union(*(known[k] for k in g))
+        for k in g:
+            alike[k] |= of_all
     for i in free:
         for k in known[keys[i]] | alike.get(keys[i], set()):
             node[i, k] += SAME if k in known[keys[i]] else SIMILAR
@@ -210,8 +236,11 @@ def added(t: str, base: list[tuple[str, int, int]], model: Weights) -> list[tupl
     hub = {k: len(found) + n for n, k in enumerate(k for k, g in open_.items() if g)}
     edges = [(i, hub[k], SAME) for k, g in open_.items() for i in g if len(g) > 1 or k in alike]
     edges += [(hub[a], hub[b], SIMILAR) for a, b in near if a in hub and b in hub]
-    node = np.concatenate([node, np.zeros((len(hub), len(LABELS)))])
-    belief = messages(node, edges)
+    edges += [(hub[k], len(found) + len(hub) + n, SIMILAR) for n, g in enumerate(shared) for k in g if k in hub]
+    node = np.concatenate([node, np.zeros((len(hub) + len(shared), len(LABELS)))])
+    factor = np.array([model.get(f"after_{k}", [0.0] * len(LABELS)) for k in LABELS])
+    steps = [(i, i + 1) for i in range(len(found) - 1)] if factor.any() else []
+    belief = messages(node, edges, steps, factor)
     out = []
     for i in free:
         k = int(belief[i].argmax())
@@ -229,6 +258,9 @@ def training_rows(t: str) -> list[tuple[list[str], int]]:
         kind = base.get((m.start(), m.end()))
         if kind or not any(s < m.end() and m.start() < e for s, e in touched):
             rows.append((features(t, m.start(), m.end()), LABELS.index(kind) if kind else 0))
+    for (a, k), (b, j) in zip(rows, rows[1:]):
+        a.append(f"next_{LABELS[j]}")
+        b.append(f"after_{LABELS[k]}")
     return rows
 
 

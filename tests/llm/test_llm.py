@@ -276,6 +276,40 @@ def test_messages_reach_the_end_of_a_long_chain():
     assert pii.messages(node, [(i, i + 1, 8.0) for i in range(40)]).argmax(1).tolist() == [1] * 41
 
 
+def test_all_keys_of_one_tail_are_compared():
+    # In order of appearance: 12025550199, 993335550199 (similar to neither) and 2025550199.
+    model = {"bias": [1.0, 0.0, 0.0, 0.0, 0.0]}
+    t = "+1 (202) 555-0199 word 993335550199 word 202 555 0199 word"
+    assert [(k, t[s:e]) for k, s, e in pii.added(t, pii.base_spans(t), model)] == [("phone", "202 555 0199")]
+    t = "me@x.org word aa@y.org word " + " word ".join(f"me (at) h{i} (dot) com" for i in range(20)) + " word"
+    assert len([s for s in pii.added(t, pii.base_spans(t), model) if s[0] == "email"]) == 20
+
+
+def test_transition_scores_equal_exhaustive_search():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        node, factor = rng.standard_normal((5, 3)), rng.standard_normal((3, 3)) * 2
+        score = {w: sum(node[i, k] for i, k in enumerate(w)) + sum(factor[a, b] for a, b in zip(w, w[1:])) for w in np.ndindex(3, 3, 3, 3, 3)}
+        best = pii.messages(node, [], [(i, i + 1) for i in range(4)], factor)
+        assert tuple(best.argmax(1)) == max(score, key=score.get)
+
+
+def test_transitions_are_trained_and_used():
+    r = random.Random(11)
+    lines = []
+    for _ in range(60):
+        phones = " and ".join(f"+1 (202) 555-{r.randint(1000, 9999)}" for _ in range(4))
+        lines += [phones, " and ".join(str(r.randint(10**9, 10**10 - 1)) for _ in range(4))]
+    model = pii.fit([x for t in lines for x in pii.training_rows(t)])
+    none, phone = pii.LABELS.index("none"), pii.LABELS.index("phone")
+    assert model["after_phone"][phone] > model["after_phone"][none] and model["after_none"][none] > model["after_none"][phone]
+    assert model["after_phone"][none] == pytest.approx(model["next_none"][phone])
+    # Two observed numbers on either side decide a candidate whose own shape says little.
+    m = {"bias": [0.5, 0.0, 0.0, 0.0, 0.0], "after_phone": [0.0, 0.0, 0.0, 0.0, 1.0], "after_none": [1.0, 0.0, 0.0, 0.0, 0.0]}
+    t = "+1 (202) 555-0199 word 4445556666 word +1 (303) 555-0111 word"
+    assert [(k, t[s:e]) for k, s, e in pii.added(t, pii.base_spans(t), m)] == [("phone", "4445556666")]
+
+
 def test_messages_make_a_chain_agree():
     node = np.array([[0.0, 6.0], [0.5, 0.0], [0.5, 0.0]])
     assert pii.messages(node, [(0, 1, 3.0), (1, 2, 3.0)]).argmax(1).tolist() == [1, 1, 1]
