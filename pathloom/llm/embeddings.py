@@ -30,6 +30,8 @@ MISS = 0.004
 TILE = 1024
 #: Tables of one index at most (a smaller width needs fewer), and sample rows that give a label a mean of its own.
 MOST_TABLES, OWN_MEAN = 120, 500
+#: Vectors of one length and label up to which all are compared, without an index; lengths with an index at most (the others: likewise).
+FEW, INDEXES = 64, 16
 
 
 def itq(x: np.ndarray, bits: int, rng: np.random.Generator, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray]:
@@ -106,12 +108,7 @@ class Index:
         return (bits[:, : per * self.width].reshape(len(x), per, self.width) * weights).sum(2)
 
     def codes(self, x: np.ndarray, labels: list[str] | None = None) -> np.ndarray:
-        """int32 substring codes, by vector and table; vectors of another length are cut or filled up for this only."""
-        if x.shape[1] != self.dim:
-            z = np.zeros((len(x), self.dim))
-            k = min(self.dim, x.shape[1])
-            z[:, :k] = x[:, :k]
-            x = z
+        """int32 substring codes, by vector and table."""
         if not self.width:
             return np.zeros((len(x), 1), np.int32)
         x = self._centred(x, labels)
@@ -142,16 +139,24 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def _coder(index: Index):
+def _coder(indexes: dict[int, Index]):
+    """Adds codes: as many as the index with the most tables has, -1 where a length has fewer.  Vectors of a length without an
+    index share one table."""
+    most = max((ix.tables for ix in indexes.values()), default=1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vecs, dims = b.column(b.schema.get_field_index("vec")).to_pylist(), b.column(b.schema.get_field_index("dim")).to_numpy()
             labels = b.column(b.schema.get_field_index("label")).to_pylist()
-            codes = np.zeros((len(vecs), index.tables), np.int32)
+            codes = np.full((len(vecs), most), -1, np.int32)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 x = np.frombuffer(b"".join(vecs[i] for i in at), np.float64).reshape(len(at), d)
-                codes[at] = index.codes(_unit(x), [labels[i] for i in at])
+                ix = indexes.get(int(d))
+                if ix is None:
+                    codes[at, 0] = 0
+                else:
+                    codes[at, : ix.tables] = ix.codes(_unit(x), [labels[i] for i in at])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(codes), pa.list_(pa.int32()))], [*b.schema.names, "codes"])
 
     return run
@@ -253,19 +258,21 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     named = rows.filter("digest is not null and id is not null")
     cls = named.groupBy("digest").agg(F.min("id").alias("cid"), F.count("*").alias("m"), F.any_value("label").alias("label"), F.any_value("dim").alias("dim"), F.any_value("vec").alias("vec"))
     cls = saved(cls)
-    per = cls.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.max_by("dim", "n").alias("dim")).first()
+    sizes = cls.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
     found = None
-    if per["most"] and per["most"] > 1:
-        width = width or max(8, min(24, math.ceil(math.log2(per["most"])) - 4))
-        some = cls.filter(F.col("dim") == per["dim"]).orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("label", "vec").collect()
-        x = _unit(np.frombuffer(b"".join(r["vec"] for r in some), np.float64).reshape(len(some), -1))
-        index = Index(x, width, threshold, labels=[r["label"] for r in some])
-        coded = saved(cls.select("cid", "m", "label", "dim", "vec").mapInArrow(_coder(index), "cid long, m long, label string, dim int, vec binary, codes array<int>"))
+    if sizes.filter("most > 1").limit(1).count():
+        indexes: dict[int, Index] = {}
+        for per in sizes.filter(F.col("most") > FEW).orderBy(F.desc("n"), "dim").limit(INDEXES).collect():
+            some = cls.filter(F.col("dim") == per["dim"]).orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("label", "vec").collect()
+            x = _unit(np.frombuffer(b"".join(r["vec"] for r in some), np.float64).reshape(len(some), -1))
+            bits = width or max(8, min(24, math.ceil(math.log2(per["most"])) - 4))
+            indexes[per["dim"]] = Index(x, bits, threshold, labels=[r["label"] for r in some])
+        coded = saved(cls.select("cid", "m", "label", "dim", "vec").mapInArrow(_coder(indexes), "cid long, m long, label string, dim int, vec binary, codes array<int>"))
         key = F.xxhash64("label", "dim", "t", "code").alias("key")
-        slim = coded.select("label", "dim", F.posexplode("codes").alias("t", "code")).select(key)
+        slim = coded.select("label", "dim", F.posexplode("codes").alias("t", "code")).filter("code >= 0").select(key)
         crowded = saved(slim.groupBy("key").agg(F.count("*").alias("n")).filter(f"n > {TILE}").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("k")))
         crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_IDS else crowded
-        dealt = coded.select("cid", "m", "label", "dim", "vec", "codes", F.posexplode("codes").alias("t", "code")).withColumn("key", key)
+        dealt = coded.select("cid", "m", "label", "dim", "vec", "codes", F.posexplode("codes").alias("t", "code")).filter("code >= 0").withColumn("key", key)
         dealt = dealt.join(crowded, "key", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("c", F.expr("int(pmod(xxhash64(cid), k))"))
         dealt = dealt.select("*", F.explode(F.expr("sequence(0, k - 1)")).alias("o"))
         tiles = dealt.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.expr("if(c <= o, 0, 1)").alias("side"), "t", "cid", "m", "dim", "vec", "codes")

@@ -187,6 +187,27 @@ def test_index_keeps_its_recall_for_vectors_with_a_common_mean(monkeypatch, labe
     assert all(abs(bits[[k == c for k in lab]].mean() - 0.5) < 0.05 for c in set(lab))
 
 
+@pytest.mark.parametrize("indexes", [16, 1])
+def test_links_of_mixed_lengths_equal_brute_force(spark, monkeypatch, indexes):
+    monkeypatch.setattr(embeddings, "INDEXES", indexes)
+    rng = np.random.default_rng(8)
+    rows = []
+    for dim, pairs in ((16, 400), (64, 300), (128, 300), (24, 20)):
+        x = rng.standard_normal((pairs, dim))
+        # All that tells the pairs of one length from others lies in the last components.
+        x[:, : dim // 2] *= 0.05
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        rows += [(v.tolist(), 1) for v in (*x, *turned(x, 0.935, rng))]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    for dim in (16, 64, 128, 24):
+        ids = [i for i, v, _ in rows if len(v) == dim]
+        x = np.array([rows[i][1] for i in ids])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        want = (x @ x.T >= 0.93).sum() - len(x)
+        assert 0.98 * want <= sum(got[i] for i in ids) <= want
+
+
 def test_an_index_that_no_substring_serves_compares_all(monkeypatch):
     monkeypatch.setattr(embeddings, "MOST_TABLES", 1)
     rng = np.random.default_rng(6)
