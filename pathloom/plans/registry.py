@@ -509,6 +509,24 @@ def exact_recall(spark, sf):
     return compare.exact_recall(*_two(spark, sf))
 
 
+def _miners(spark, sf):
+    """The top 40 of the window counts and of the suffix repeats, both over all weekly sequences."""
+    seq = D.event_sequences(spark, sf, weekly=True)
+    top = lambda t: t.select("key", "support").orderBy(F.desc("support"), "key").limit(40)
+    return top(mining.token_support(seq, 3, 8)), top(repeats.mine(seq, 3))
+
+
+@query()
+def method_overlap_miners(spark, sf):
+    a, b = (x.select(F.split("key", S.SEP).alias("tokens")) for x in _miners(spark, sf))
+    return similarity.set_match_share(a, b)
+
+
+@query()
+def exact_recall_miners(spark, sf):
+    return compare.exact_recall(*_miners(spark, sf))
+
+
 @query(f"WITH {O.SUPPLIERS}, {O.grams(2, 2)}, s AS (SELECT key, count(DISTINCT id) AS p, count(DISTINCT entity) AS e FROM grams GROUP BY key) SELECT count(*) AS routes, round(avg(p / e::DOUBLE), 6) AS per_entity, count(*) FILTER (e = 1) AS single_entity FROM s")
 def entity_diversity(spark, sf):
     return rounded(compare.entity_diversity(mining.token_support(D.supplier_sequences(spark, sf), 2, 2, entities=True)), "per_entity")

@@ -247,3 +247,23 @@ def test_sampling_does_not_depend_on_layout(spark):
     a = {r[0] for r in T.sample_rows(df, 50).collect()}
     assert a == {r[0] for r in T.sample_rows(df.repartition(9), 50).collect()} and len(a) == 50
     assert 60 < T.sample_share(df, 100, 1000).count() < 140 and T.sample_share(df, 2000, 1000).count() == 1000
+
+
+def test_miners_are_compared_over_all_sequences(spark):
+    from pathloom.plans import registry
+    from pathloom.sources import derived
+
+    sf = "/root/testdata/sf0.001"
+    holds = {}
+    for r in derived.event_sequences(spark, sf, weekly=True).collect():
+        for n in range(3, 9):
+            for i in range(len(r["seq"]) - n + 1):
+                holds.setdefault(">".join(r["seq"][i : i + n]), set()).add(r["id"])
+    best = sorted(((len(v), k) for k, v in holds.items()), key=lambda x: (-x[0], x[1]))[:40]
+    windows, suffixes = registry._miners(spark, sf)
+    assert [(r["support"], r["key"]) for r in windows.collect()] == best
+    mined = {r["key"]: r["support"] for r in suffixes.collect()}
+    assert len(mined) == 40 and all(len(holds[k]) == n for k, n in mined.items() if k.count(">") < 8)
+    got = registry.QUERIES["exact_recall_miners"](spark, sf).first()
+    assert (got["total"], got["found"], got["mismatched"]) == (40, len(set(mined) & {k for _, k in best}), 0)
+    assert registry.QUERIES["method_overlap_miners"](spark, sf).first()["total"] == 40
