@@ -29,8 +29,7 @@ THRESHOLD = 0.7
 SAMPLE, STEMS, LEAST, RATIO = 6000, 80, 5, 1.0
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n]")
-#: Characters of context on either side that a clause may reach.
-REACH = 240
+_ENDS = (".", "!", "?", ";", ":", "\n")
 # Fixed lists (English); stems of other languages are learned.
 TARGETS = frozenset("you your yours yourself u he him his she her they them their people these those".split())
 THREATS = ("kill", "hurt", "destroy", "murder", "beat", "stab", "shoot")
@@ -120,11 +119,10 @@ class Model:
             s = end + 1 - n
             if s < done or (s and low[s - 1].isalpha()):
                 continue
-            before = max((m.end() for m in _CLAUSE.finditer(low, max(done, s - REACH), s)), default=max(done, s - REACH))
-            after = _CLAUSE.search(low, end + 1, min(len(low), end + 1 + REACH))
-            stop = after.start() if after else min(len(low), end + 1 + REACH)
-            while stop < len(low) and not after and low[stop].isalpha():
-                stop += 1
+            # The whole clause: a report word holds from wherever it stands to the clause's end.
+            before = max(done, 1 + max(low.rfind(c, done, s) for c in _ENDS))
+            after = _CLAUSE.search(low, end + 1)
+            stop = after.start() if after else len(low)
             total += sum(FACTOR[state] * w for state, w in compose(self.classes(low[before:stop])))
             done = stop
         return total - self.excess * len(text.split())

@@ -358,6 +358,15 @@ def test_grammar_states():
     assert s([("negation", 0)] + [("", 0)] * 6 + [("insult", 2.0)])[0][0] == "plain"
 
 
+def test_a_clause_is_read_whole():
+    m = toxicity.Model(stems={"moron$": 2.0})
+    far = " word" * 200
+    assert m.evidence("she said" + far + " moron") == pytest.approx(2.0 * toxicity.FACTOR["reported"])
+    assert m.evidence("she said moron" + far + " moron") == pytest.approx(4.0 * toxicity.FACTOR["reported"])
+    assert m.evidence("she said." + far + " moron") == pytest.approx(2.0)
+    assert m.evidence("moron" + far + " she said" + far + " moron. moron") == pytest.approx(2.0 + 2.0 * toxicity.FACTOR["reported"] + 2.0)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     got = queries.QUERIES["op5_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").collect()
