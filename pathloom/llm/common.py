@@ -1,26 +1,36 @@
-"""What the operators share: text rules, shared-folder tables, size-checked joins, connected components."""
+"""What the operators share: text rules, shared-folder tables, size-checked and skew-proof joins, connected components."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a broadcast id set at most; a longer one is joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Bytes of a broadcast id set at most, as its columns hold them; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
+#: Rows of one key up to which no join deals them out.
+LEAST_HOT = 64
 _own_dir: list[str] = []
+_scopes: list[list[str]] = []
 
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def column(name: str) -> Column:
+    """A top-level column by its name, which may hold dots (Spark cannot address names with a backtick)."""
+    return F.col(f"`{name}`")
+
+
 def held_out_py(doc_id: object) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
 
@@ -30,11 +40,21 @@ def held_out(c: Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def passages(text: Column, most: int, size: int = 500) -> Column:
+    """The whole text where it has at most `most` characters, else passages of `size`, spread evenly over all of it, line by line."""
+    n, parts = F.length(text), max(1, most // size)
+    step = (n - size) / F.lit(max(1, parts - 1))
+    some = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(size)))
+    return F.when(n > most, F.array_join(some, "\n")).otherwise(text)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share.  Where a local session names none, one of our own; a cluster must name it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="pathloom-"))
     return _own_dir[0]
@@ -50,25 +70,96 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 def saved(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared folder: its lineage ends there, and losing an executor
-    loses none of it.  Tables go when the interpreter ends."""
+    loses none of it.  Tables go when their scope ends, those made outside any when the interpreter does."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pathloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Saved tables made inside are deleted at its end.  What is to outlive it must be saved after it, or written elsewhere."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _forget(spark, path)
+
+
+def settled(df: DataFrame, make) -> DataFrame:
+    """make(df), saved, with all tables that it needed on its way deleted."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/pathloom-{uuid.uuid4().hex}"
+    with scope(spark):
+        out = make(df)
+        out.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(_forget, spark, path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether the values of a saved frame hold BROADCAST_BYTES at most: counted, not estimated."""
+    width = [F.coalesce(F.octet_length(column(f.name)), F.lit(0)) + 16 if f.dataType.simpleString() in ("string", "binary") else F.lit(8) for f in df.schema.fields]
+    per = width[0]
+    for w in width[1:]:
+        per = per + w
+    return (df.agg(F.sum(per.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def with_ids(rows: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi") -> DataFrame:
     """rows that are (left_semi) or are not (left_anti) among ids, which must be saved and distinct.  The ids are
-    broadcast only if they are counted to be few; else both sides are shuffled."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return rows.join(ids, id_col, how)
+    broadcast only if they are measured to be small; else both sides are shuffled."""
+    return rows.join(F.broadcast(ids) if is_small(ids) else ids, id_col, how)
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame | None:
+    """(keys, _k) of the keys that hold more than half of what one task gets on average, and how many parts to deal each into.
+
+    counts: saved, one row a key with its number of rows.  There can be at most two such keys a shuffle partition, so that
+    the result may be broadcast whatever the size of the data.  None: there is none.
+    """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    fair = max(LEAST_HOT, total // (2 * parts))
+    hot = counts.filter(F.col(n) > fair).select(*keys, F.ceil(F.col(n) / fair).cast("int").alias("_k"))
+    return None if hot.isEmpty() else hot
+
+
+def dealt(rows: DataFrame, hot: DataFrame | None, keys: list[str], by: str) -> DataFrame:
+    """rows with a column _s: rows of a hot key are dealt into its parts by a hash of `by`, all others are in part 0."""
+    if hot is None:
+        return rows.withColumn("_s", F.lit(0))
+    out = rows.join(F.broadcast(hot), keys, "left")
+    return out.withColumn("_s", F.coalesce(F.pmod(F.xxhash64(by), F.col("_k")).cast("int"), F.lit(0))).drop("_k")
+
+
+def spread_join(rows: DataFrame, by: DataFrame, keys: list[str], spread: str, n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with `by` (saved, one row a key, n: the rows of that key) on keys that are not null.
+
+    Rows of a hot key are dealt over several tasks by `spread`, and by's row for it is repeated in each: one key, however
+    large its group, never meets in one task.
+    """
+    hot = hot_keys(by, keys, n)
+    if hot is None:
+        return rows.join(by.drop(n), keys, how)
+    each = by.drop(n).join(F.broadcast(hot), keys, "left")
+    each = each.select(*by.drop(n).columns, F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1)).alias("_s"))
+    return dealt(rows, hot, keys, spread).join(each, [*keys, "_s"], how).drop("_s")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, root) for each node of the edges: root is the smallest node reachable.  Large-star and small-star
-    rounds; each ends in a saved table of at most one row per node and edge that is left."""
+    rounds; each ends in a saved table of at most one row per node and edge that is left.  Minima combine before their
+    shuffle, and the joins are plain ones of two numbers a row, which adaptive execution splits where a hub is large."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     e = saved(e)
     seen = None

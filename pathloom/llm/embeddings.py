@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import BROADCAST_IDS, components, saved
+from pathloom.llm.common import column, components, is_small, saved, spread_join
 
 SAMPLE = 20_000
 ITERATIONS = 30
@@ -197,12 +197,13 @@ def tile_links(x: np.ndarray, codes: np.ndarray, weight: np.ndarray, side: np.nd
 
 
 def _linker(threshold: float):
-    """Rows (key, i, j, side, t, cid, m, dim, vec, codes) sorted by tile: (cid, links, root) of the rows with links."""
-    names = ("key", "i", "j", "side", "t", "cid", "m")
+    """Rows (gid, key, i, j, side, cid, m, dim, vec, codes) sorted by tile: (cid, links, root) of the rows with links."""
+    names = ("gid", "key", "i", "j", "side", "cid", "m")
+    tile_of = ("gid", "key", "i", "j")
 
     def solve(rows: dict[str, np.ndarray], dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = _unit(rows["vec"].reshape(-1, dim))
-        links, root = tile_links(x, rows["codes"], rows["m"], rows["side"], int(rows["t"][0]), threshold)
+        links, root = tile_links(x, rows["codes"], rows["m"], rows["side"], int(rows["key"][0] >> 32), threshold)
         at = np.flatnonzero(links)
         return rows["cid"][at], links[at], rows["cid"][root[at]]
 
@@ -225,12 +226,12 @@ def _linker(threshold: float):
             codes = lists.flatten().to_numpy().reshape(b.num_rows, -1)
             offs = np.frombuffer(vecs.buffers()[1], np.int32)[vecs.offset : vecs.offset + b.num_rows + 1]
             flat = np.frombuffer(vecs.buffers()[2], np.uint8)
-            new = np.flatnonzero((np.diff(col["key"]) != 0) | (np.diff(col["i"]) != 0) | (np.diff(col["j"]) != 0)) + 1
+            new = np.flatnonzero(np.any([np.diff(col[k]) != 0 for k in tile_of], axis=0)) + 1
             bounds = [0, *new.tolist(), b.num_rows]
             got: list[list[np.ndarray]] = []
             for s, e in zip(bounds, bounds[1:]):
                 part = ({k: v[s:e] for k, v in col.items()}, np.frombuffer(flat[offs[s] : offs[e]].tobytes(), np.float64), codes[s:e], int(dims[s]))
-                if held and any(held[0][0][k][0] != part[0][k][0] for k in ("key", "i", "j")):
+                if held and any(held[0][0][k][0] != part[0][k][0] for k in tile_of):
                     got.append(tile(held))
                     held = []
                 held.append(part)
@@ -250,41 +251,47 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """One row per row of vectors: id_col, n_links, component_id, kept.
 
     Null labels, null, empty and zero vectors, and vectors with null or non-finite components link with nothing; so do vectors of
-    different lengths.  Rows that share an id are one node of the components, a null id is kept with a null component.
-    Other columns are neither read nor returned.
+    different lengths.  Equal vectors of a label are linked.  Rows that share an id are one node of the components, a null id is
+    kept with a null component.  An empty table gives no rows.  Other columns, whatever their names, are neither read nor
+    returned.
     """
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    base = vectors.select(column(id_col).cast("long").alias("id"), column(label_col).cast("string").alias("label"), column(vector_col).cast("array<double>").alias("v"))
     rows = saved(base.mapInArrow(_digests, "id long, label string, dim int, digest binary, vec binary"))
     named = rows.filter("digest is not null and id is not null")
     cls = named.groupBy("digest").agg(F.min("id").alias("cid"), F.count("*").alias("m"), F.any_value("label").alias("label"), F.any_value("dim").alias("dim"), F.any_value("vec").alias("vec"))
     cls = saved(cls)
-    sizes = cls.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    # Vectors of one label and length are a group, named by its smallest class: only they are ever compared.
+    groups = saved(cls.groupBy("label", "dim").agg(F.min("cid").alias("gid"), F.count("*").alias("n")))
+    sizes = groups.groupBy("dim").agg(F.max("n").alias("most"), F.sum("n").alias("n")).filter("most > 1")
+    indexed = sizes.filter(F.col("most") > FEW).orderBy(F.desc("n"), "dim").limit(INDEXES).collect()
     found = None
-    if sizes.filter("most > 1").limit(1).count():
+    if indexed or not sizes.isEmpty():
         indexes: dict[int, Index] = {}
-        for per in sizes.filter(F.col("most") > FEW).orderBy(F.desc("n"), "dim").limit(INDEXES).collect():
+        for per in indexed:
             some = cls.filter(F.col("dim") == per["dim"]).orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("label", "vec").collect()
             x = _unit(np.frombuffer(b"".join(r["vec"] for r in some), np.float64).reshape(len(some), -1))
             bits = width or max(8, min(24, math.ceil(math.log2(per["most"])) - 4))
             indexes[per["dim"]] = Index(x, bits, threshold, labels=[r["label"] for r in some])
-        coded = saved(cls.select("cid", "m", "label", "dim", "vec").mapInArrow(_coder(indexes), "cid long, m long, label string, dim int, vec binary, codes array<int>"))
-        key = F.xxhash64("label", "dim", "t", "code").alias("key")
-        slim = coded.select("label", "dim", F.posexplode("codes").alias("t", "code")).filter("code >= 0").select(key)
-        crowded = saved(slim.groupBy("key").agg(F.count("*").alias("n")).filter(f"n > {TILE}").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("k")))
-        crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_IDS else crowded
-        dealt = coded.select("cid", "m", "label", "dim", "vec", "codes", F.posexplode("codes").alias("t", "code")).filter("code >= 0").withColumn("key", key)
-        dealt = dealt.join(crowded, "key", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("c", F.expr("int(pmod(xxhash64(cid), k))"))
+        own = cls.join(F.broadcast(groups.drop("n")), ["label", "dim"]) if is_small(groups) else spread_join(cls, groups, ["label", "dim"], "cid")
+        own = own.select("cid", "m", "gid", "label", "dim", "vec")
+        coded = saved(own.mapInArrow(_coder(indexes), "cid long, m long, gid long, label string, dim int, vec binary, codes array<int>"))
+        key = (F.shiftleft(F.col("t").cast("long"), 32) + F.col("code")).alias("key")
+        slim = coded.select("gid", F.posexplode("codes").alias("t", "code")).filter("code >= 0").select("gid", key)
+        crowded = saved(slim.groupBy("gid", "key").agg(F.count("*").alias("n")).filter(f"n > {TILE}").select("gid", "key", F.ceil(F.col("n") / TILE).cast("int").alias("k")))
+        dealt = coded.select("cid", "m", "gid", "dim", "vec", "codes", F.posexplode("codes").alias("t", "code")).filter("code >= 0").withColumn("key", key)
+        dealt = dealt.join(F.broadcast(crowded) if is_small(crowded) else crowded, ["gid", "key"], "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("c", F.expr("int(pmod(xxhash64(cid), k))"))
         dealt = dealt.select("*", F.explode(F.expr("sequence(0, k - 1)")).alias("o"))
-        tiles = dealt.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.expr("if(c <= o, 0, 1)").alias("side"), "t", "cid", "m", "dim", "vec", "codes")
-        tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+        tiles = dealt.select("gid", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.expr("if(c <= o, 0, 1)").alias("side"), "cid", "m", "dim", "vec", "codes")
+        tiles = tiles.repartition("gid", "key", "i", "j").sortWithinPartitions("gid", "key", "i", "j", "side")
         found = saved(tiles.mapInArrow(_linker(threshold), "cid long, links long, root long"))
-    out = named.select("id", "digest").join(cls.select("digest", "cid", "m"), "digest")
+    classes = saved(cls.select("digest", "cid", F.col("m").alias("copies"), F.col("m").alias("n")))
+    out = spread_join(named.select("id", "digest"), classes, ["digest"], "id")
     if found is not None:
         links = found.groupBy("cid").agg(F.sum("links").alias("links"))
         root = components(found.filter("cid <> root").select("cid", "root"), "cid", "root")
         out = out.join(links, "cid", "left").join(root.select(F.col("node").alias("cid"), "root"), "cid", "left")
-        out = out.select("id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("root", "cid").alias("c"))
+        out = out.select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "cid").alias("c"))
     else:
-        out = out.select("id", (F.col("m") - 1).alias("n"), F.col("cid").alias("c"))
+        out = out.select("id", (F.col("copies") - 1).alias("n"), F.col("cid").alias("c"))
     rest = rows.filter("digest is null or id is null").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("c"))
     return out.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_links"), F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"))

@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pathloom.llm.common import components, saved, with_ids
+from pathloom.llm.common import column, components, dealt, hot_keys, saved, spread_join, with_ids
 from pathloom.llm.shingles import sets
 
 SKETCH = 64
 HALF = SKETCH // 2
 LIST = 64
-TILE = 512
+#: Sets of one side of a tile on average, and shingles of them together.
+TILE, TILE_SHINGLES = 512, 1 << 21
 _LEAST = f"int(case when n > {SKETCH} then {HALF} else greatest(1, ceil(n * 0.65)) end)"
 
 
@@ -38,9 +39,9 @@ def alike(inter: int, n: int, m: int, percent: int) -> bool:
     return 100 * inter >= percent * (n + m - inter)
 
 
-def _chunks(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def _chunks(batch: pa.RecordBatch, most: int = 1 << 22, text: int = 1) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with texts of at most so many bytes together, or one row."""
-    size = batch.column(1).cast(pa.large_string())
+    size = batch.column(text).cast(pa.large_string())
     ends = np.frombuffer(size.buffers()[1], np.int64)[size.offset : size.offset + len(size) + 1]
     at = 0
     while at < batch.num_rows:
@@ -73,17 +74,17 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verifier(percent: int):
-    """Rows sorted by (a, b), a's own set first (b null): yields the pairs that are alike.  Holds the sets of one a."""
+    """Rows sorted by (a, s, b), a's own set first (b null): yields the pairs that are alike.  Holds the sets of one a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, []
         for batch in batches:
-            a, b, s = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            a, b, part, s = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
             got = []
             for i in range(len(a)):
                 x = np.frombuffer(s[i].as_buffer(), np.uint64)
-                if a[i] != now:
-                    now, own = a[i], []
+                if (a[i], part[i]) != now:
+                    now, own = (a[i], part[i]), []
                 if b[i] is None:
                     own.append(x.copy())
                 elif any(alike(len(np.intersect1d(o, x, True)), len(o), len(x), percent) for o in own):
@@ -94,10 +95,14 @@ def _verifier(percent: int):
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are alike.  A set travels once for each pair in which it stands second, and once as first."""
-    second = pairs.join(full, pairs.b == full.id).select("a", "b", "set")
-    first = pairs.select("a").distinct().join(full, F.col("a") == full.id).select("a", F.lit(None).cast("long").alias("b"), "set")
-    both = first.unionByName(second).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    """The pairs (a, b) that are alike.  A set travels once for each pair in which it stands second, and once as first; the
+    partners of a class that has very many are dealt over several tasks, each with its set."""
+    pairs = saved(pairs)
+    hot = hot_keys(saved(pairs.groupBy("a").agg(F.count("*").alias("n"))), ["a"])
+    pairs = dealt(pairs.select("a", "b"), hot, ["a"], "b").withColumnRenamed("_s", "s")
+    second = pairs.join(full, pairs.b == full.id).select("a", "b", "s", "set")
+    first = pairs.select("a", "s").distinct().join(full, F.col("a") == full.id).select("a", F.lit(None).cast("long").alias("b"), "s", "set")
+    both = first.unionByName(second).repartition("a", "s").sortWithinPartitions("a", "s", F.col("b").asc_nulls_first())
     return both.mapInArrow(_verifier(percent), "a long, b long")
 
 
@@ -170,14 +175,16 @@ def _tiler(percent: int):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (smallest id reachable by links), kept.
 
-    Null and blank texts have no shingles and link with nothing; a null id links with nothing, its component_id is null
-    and it is kept.  Rows that share an id are one node.  Other columns are neither read nor returned.
+    Null, empty and blank texts have no shingles and link with nothing; a null id links with nothing, its component_id is null
+    and it is kept.  Rows that share an id are one node, repeated rows too.  Texts of any length are read whole; a tile holds
+    fewer of them where they are long.  An empty table gives no rows.  Other columns, whatever their names, are neither
+    read nor returned.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
     rows = saved(base.mapInArrow(_sketches, "id long, n long, digest binary, sketch array<long>"))
     named = rows.filter("id is not null and digest is not null")
-    firsts = named.groupBy("digest").agg(F.min("id").alias("cid"))
-    member = named.join(firsts, "digest")
+    firsts = saved(named.groupBy("digest").agg(F.min("id").alias("cid"), F.count("*").alias("copies")))
+    member = spread_join(named, firsts, ["digest"], "id", n="copies")
     cls = saved(member.filter("id = cid").select("cid", "n", "sketch", F.expr(_LEAST).alias("least")))
 
     value = cls.select(F.explode("sketch").alias("v"), "cid")
@@ -226,8 +233,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = rest.filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
     links = links.unionByName(_verified(rest, full, percent))
     if group is not None:
-        size = group.groupBy("root").agg(F.count("*").alias("size"))
-        chunked = group.join(size, "root").select("node", F.col("root").alias("grp"), F.ceil(F.col("size") / TILE).cast("int").alias("k"))
+        group = group.join(cls.select(F.col("cid").alias("node"), "n").distinct(), "node")
+        size = group.groupBy("root").agg(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES).alias("size"))
+        chunked = group.join(size, "root").select("node", F.col("root").alias("grp"), F.ceil("size").cast("int").alias("k"))
         chunked = chunked.withColumn("c", F.expr("int(pmod(xxhash64(node), k))"))
         tiles = chunked.select("node", "grp", "c", F.explode(F.expr("sequence(0, k - 1)")).alias("o"))
         tiles = tiles.select("node", "grp", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.expr("if(c <= o, 0, 1)").alias("side"))

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import WORD, saved
+from pathloom.llm.common import WORD, column, is_small, saved
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
@@ -113,12 +113,14 @@ def _pivot(seed: int, level: int):
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 10) -> DataFrame:
     """One row per row of docs: id_col, k (a checksum of its row), size, source_size, target, copies, taken.
 
-    Null texts and texts without words have size 0 and take no words; a null source is a source, the last one.  Repeated rows are rounded
-    each for itself.  The same rows give the same result, however they are laid out.  Other columns enter k only.
+    Null and empty texts and texts without words have size 0 and take no words; a null id is an id like others, a null source is a
+    source, the last one.  Ties and repeated rows are rounded each for itself; a very long text counts whole.  An empty table
+    gives no rows.  The same rows give the same result, however they are laid out.  Other columns, whatever their names, enter
+    k only.
     """
     spark = docs.sparkSession
-    words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), row_key(docs).alias("k"))
+    words = F.coalesce(F.regexp_count(column(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    base = docs.select(column(id_col).cast("long").alias("doc_id"), column(source_col).cast("string").alias("source"), words.alias("size"), row_key(docs).alias("k"))
     base = saved(base)
     per = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row a source: the mix names each
     goal = targets([(r["source"], r["size"]) for r in per])
@@ -145,26 +147,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(F.col("doc_id").alias(id_col), "k", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def row_key(docs: DataFrame):
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+def row_key(docs: DataFrame) -> Column:
+    """A checksum of a row's columns; maps, which have no order of their own, by their JSON text."""
+    return F.xxhash64(*[F.to_json(column(f.name)) if "map<" in f.dataType.simpleString() else column(f.name) for f in docs.schema.fields])
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    from pyspark.sql import Window as W
+    """The rows of docs, each as often as the mix takes it, with all columns whatever their names and types.
 
-    from pathloom.llm.common import BROADCAST_IDS
-
-    plan = saved(mix(docs, id_col, text_col, source_col).select(F.col(id_col).alias("_id"), F.col("k").alias("_k"), "copies"))
-    by = plan.groupBy("_id", "_k").agg(F.min("copies").alias("low"), F.count("*").alias("n"), F.sum("copies").alias("sum"))
+    Rows travel as one struct beside columns of ours, so that no name can clash.  Rows that are equal in every column are taken
+    as often as all of them together.  Nulls, empty and long texts and an empty table: as in mix.
+    """
+    plan = mix(docs, id_col, text_col, source_col).select(F.col(id_col).alias("id"), "k", "copies")
+    by = saved(plan.groupBy("id", "k").agg(F.min("copies").alias("low"), F.count("*").alias("n"), F.sum("copies").alias("all")))
     twice = not by.filter("n > 1").isEmpty()
-    by = saved(by)
-    by = F.broadcast(by) if by.count() <= BROADCAST_IDS else by
-    full = docs.withColumn("_k2", row_key(docs))
-    out = full.join(by, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_k2") == F.col("_k")))
-    if twice:  # of repeated rows, each takes one of their decisions
-        out = out.withColumn("_i", F.row_number().over(W.partitionBy("_id", "_k").orderBy("_k")))
-        out = out.withColumn("_c", F.expr("int(low + if(_i <= sum - n * low, 1, 0))"))
-    else:
-        out = out.withColumn("_c", F.col("low"))
-    return out.filter("_c > 0").withColumn("_r", F.explode(F.expr("sequence(1, _c)"))).select(docs.columns)
+    by = F.broadcast(by) if is_small(by) else by
+    full = docs.select(F.struct("*").alias("row"), column(id_col).cast("long").alias("own"), row_key(docs).alias("key"))
+    out = full.join(by, F.col("own").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k"))).select("row", "own", "key", "low", "n", "all")
+    copies = lambda rows, times: rows.filter(f"{times} > 0").select("row", F.explode(F.expr(f"sequence(1, int({times}))"))).select("row.*")
+    if not twice:
+        return copies(out, "low")
+    # Rows that are equal in every column are one row, taken as often as all of them together, dealt over tasks.
+    many = out.filter("n > 1").groupBy("own", "key").agg(F.first("row").alias("row"), F.first("all").alias("all"))
+    many = many.filter("all > 0").select("row", "key", "all", F.explode(F.expr(f"sequence(0, int((all - 1) div {LEAF}))")).alias("part"))
+    many = many.select("row", "key", "part", F.expr(f"least({LEAF}, all - part * {LEAF})").alias("times")).repartition("key", "part")
+    return copies(out.filter("n = 1"), "low").unionByName(copies(many, "times"))
