@@ -9,17 +9,19 @@ overlaps no base span of its kind is added as a span.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
-import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.common import column
 from pathloom.llm.minhash import _chunks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -109,16 +111,9 @@ def features(t: str, s: int, e: int) -> list[str]:
 
 
 def key_of(x: str) -> str:
-    """Equal keys: the same entity written differently."""
+    """Equal keys: the same entity written differently.  Zeros that lead to a country or into a network are no part of a number."""
     y = x.lower().replace("(at)", "@").replace("[at]", "@").replace("(dot)", ".").replace("[dot]", ".").replace(" ", "")
-    return y if "@" in y else "".join(c for c in y if "0" <= c <= "9")
-
-
-def similar(a: str, b: str) -> bool:
-    """One key holds the other's end (a number with and without its country code), or the local parts are equal."""
-    if "@" in a or "@" in b:
-        return a.partition("@")[0] == b.partition("@")[0]
-    return min(len(a), len(b)) >= 7 and (a.endswith(b) or b.endswith(a))
+    return y if "@" in y else "".join(c for c in y if "0" <= c <= "9").lstrip("0")
 
 
 Weights = dict[str, list[float]]
@@ -189,25 +184,45 @@ def messages(node: np.ndarray, edges: list[tuple[int, int, float]], steps: list[
     return belief
 
 
-def added(t: str, base: list[tuple[str, int, int]], model: Weights) -> list[tuple[str, int, int]]:
-    """Spans the field labels beyond the base ones.  Candidates that a base span covers are observed with its label."""
+@dataclass
+class Field:
+    """The random field of a text: candidates, which of them no base span covers, scores of all variables (hubs follow the
+    candidates), edges that reward equal labels, and steps between neighbours with their scores."""
+
+    found: list[tuple[int, int]]
+    free: list[int]
+    node: np.ndarray
+    edges: list[tuple[int, int, float]]
+    steps: list[tuple[int, int]]
+    factor: np.ndarray
+
+
+def field_of(t: str, base: list[tuple[str, int, int]], model: Weights) -> Field | None:
+    """The field of a text, None where nothing is to be decided.  Candidates that a base span covers are observed with its label."""
     if not model or not (_DIGITS.search(t) or "@" in t or "(at)" in t or "[at]" in t):
-        return []
+        return None
     found = [(m.start(), m.end()) for m in _CANDIDATE.finditer(t)]
     if not found:
-        return []
+        return None
     node = np.array([np.sum([model.get(f, [0.0] * len(LABELS)) for f in features(t, s, e)], axis=0) for s, e in found])
     free, seen = [], {}
+    by_start = sorted((a, b, k) for k, a, b in base)
+    reach = np.maximum.accumulate([b for _, b, _ in by_start]) if by_start else np.empty(0)
     for i, (s, e) in enumerate(found):
-        over = [k for k, a, b in base if a < e and s < b]
+        # Base spans that begin before the candidate's end, back to where none reaches it any more.
+        over, at = [], bisect.bisect_left(by_start, (e,)) - 1
+        while at >= 0 and reach[at] > s:
+            if by_start[at][1] > s:
+                over.append(LABELS.index(by_start[at][2]))
+            at -= 1
         if over:
             node[i] = -SURE
-            node[i, LABELS.index(over[0])] = SURE
-            seen[i] = LABELS.index(over[0])
+            node[i, min(over)] = SURE
+            seen[i] = min(over)
         else:
             free.append(i)
     if not free:
-        return []
+        return None
     keys = [key_of(t[s:e]) for s, e in found]
     groups: dict[str, list[int]] = defaultdict(list)
     for i, k in enumerate(keys):
@@ -239,13 +254,20 @@ def added(t: str, base: list[tuple[str, int, int]], model: Weights) -> list[tupl
     edges += [(hub[k], len(found) + len(hub) + n, SIMILAR) for n, g in enumerate(shared) for k in g if k in hub]
     node = np.concatenate([node, np.zeros((len(hub) + len(shared), len(LABELS)))])
     factor = np.array([model.get(f"after_{k}", [0.0] * len(LABELS)) for k in LABELS])
-    steps = [(i, i + 1) for i in range(len(found) - 1)] if factor.any() else []
-    belief = messages(node, edges, steps, factor)
+    return Field(found, free, node, edges, [(i, i + 1) for i in range(len(found) - 1)] if factor.any() else [], factor)
+
+
+def added(t: str, base: list[tuple[str, int, int]], model: Weights) -> list[tuple[str, int, int]]:
+    """Spans the field labels beyond the base ones.  Ties go to "none"."""
+    f = field_of(t, base, model)
+    if f is None:
+        return []
+    belief = messages(f.node, f.edges, f.steps, f.factor)
     out = []
-    for i in free:
+    for i in f.free:
         k = int(belief[i].argmax())
         if k and belief[i, k] - belief[i, 0] > GAIN:
-            out.append((LABELS[k], *found[i]))
+            out.append((LABELS[k], *f.found[i]))
     return out
 
 
@@ -269,17 +291,29 @@ SAMPLE, PER_TEXT = 4000, 50
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Weights:
-    key = [F.xxhash64(F.col(id_col)).alias("h"), F.xxhash64(F.col(text_col).cast("string")).alias("k")]
-    few = docs.filter(F.col(text_col).cast("string").rlike("[0-9@]")).select(*key).orderBy("h", "k").limit(sample)
-    few = docs.sparkSession.createDataFrame(few.collect(), "h long, k long").distinct()
-    some = docs.select(F.col(text_col).cast("string").alias("text"), *key).join(F.broadcast(few), ["h", "k"])
+    """Weights from the candidates of at most `sample` distinct rows with digits or addresses, taken by hash.  Of rows that
+    share id and text, however many, one trains; candidates, not texts, come to the driver, PER_TEXT of a text at most."""
+    rows = docs.select(F.coalesce(F.xxhash64(column(id_col)), F.lit(0)).alias("h"), column(text_col).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    rows = rows.withColumn("k", F.xxhash64("text"))
+    few = rows.select("h", "k").distinct().orderBy("h", "k").limit(sample)
+    few = docs.sparkSession.createDataFrame(few.collect(), "h long, k long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [r for t in b.column(0).to_pylist() for r in training_rows(t or "")[:PER_TEXT]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.int32())], ["f", "k"])
+        done: set[tuple[int, int]] = set()  # at most `sample`
+        for whole in batches:
+            for b in _chunks(whole, 1 << 23, 2):
+                out = []
+                for h, k, t in zip(*(c.to_pylist() for c in b.columns)):
+                    if (h, k) not in done:
+                        done.add((h, k))
+                        out.append((h, k, [{"f": f, "y": y} for f, y in training_rows(t)[:PER_TEXT]]))
+                cols = list(zip(*out)) if out else [()] * 3
+                kind = pa.list_(pa.struct([("f", pa.list_(pa.string())), ("y", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), kind))], ["h", "k", "rows"])
 
-    return fit([(r["f"], r["k"]) for r in some.select("text").mapInArrow(run, "f array<string>, k int").collect()])
+    some = rows.select("h", "k", "text").join(F.broadcast(few), ["h", "k"])
+    some = some.mapInArrow(run, "h long, k long, rows array<struct<f:array<string>,y:int>>").groupBy("h", "k").agg(F.first("rows").alias("rows"))
+    return fit([(x["f"], x["y"]) for r in some.orderBy("h", "k").collect() for x in r["rows"]])
 
 
 def _finder(model: Weights):
@@ -305,8 +339,10 @@ def _finder(model: Weights):
 def find(docs: DataFrame, model: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, base counts by kind, digest of the base spans, all spans.
 
-    A null text has no spans.  Other columns are neither read nor returned.
+    Null and empty texts have no spans; texts of any length are read whole.  Repeated rows and rows that share an id are each
+    searched for themselves, and a null id is returned as it is.  An empty table gives no rows.  Other columns, whatever their
+    names, are neither read nor returned.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     return base.mapInArrow(_finder(model), f"id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string").withColumnRenamed("id", id_col)
