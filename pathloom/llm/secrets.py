@@ -3,6 +3,9 @@
 Base spans follow fixed rules per kind: assignments of long values to telling names, access key ids, long hexadecimal
 runs.  The method adds tokens whose format carries its own check: platform tokens that end in the base-62
 CRC-32 of their body, three-part signed tokens whose header decodes, and private keys whose body is a well-formed DER sequence.
+
+Of all kinds only hexadecimal runs have no keyword: the base rule names none, and every 16 characters of the class are one.
+They are found by a single pass of their own.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.common import column
 from pathloom.llm.minhash import _chunks
 
 KINDS = ("assign", "access", "hex", "token", "signed", "key")
@@ -35,8 +39,9 @@ _ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 _TOKEN = re.compile(r"(?:gh[pousr]|npm)_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-_SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]{16,}")
-_KEY = re.compile(r"-----BEGIN ((?:[A-Z]+ ){0,3}PRIVATE KEY)-----([A-Za-z0-9+/=\s]{32,20000}?)-----END \1-----")
+#: A signed token starts where its run of characters does: one attempt a run.
+_SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]{16,}")
+_KEY = re.compile(r"-----BEGIN ((?:[A-Z]+ ){0,3}PRIVATE KEY)-----([A-Za-z0-9+/=\s]{32,}+)-----END \1-----")
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,7 +54,7 @@ def base62(n: int, width: int = 6) -> str:
 
 
 def valid(kind: str, m: re.Match) -> bool:
-    """Whether the checksum or structure that the format carries holds."""
+    """Whether the checksum or structure that the format carries holds.  What cannot be decoded, however long or deeply nested, does not."""
     x = m[0]
     if kind == "token":
         return x[-6:] == base62(zlib.crc32(x[4:-6].encode()))
@@ -58,7 +63,7 @@ def valid(kind: str, m: re.Match) -> bool:
             head = x.partition(".")[0]
             return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
         der = base64.b64decode("".join(m[2].split()), validate=True)
-    except (ValueError, binascii.Error, TypeError):
+    except (ValueError, binascii.Error, TypeError, RecursionError):
         return False
     if len(der) < 8 or der[0] != 0x30:
         return False
@@ -121,8 +126,10 @@ def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, base counts by kind, digest of the base spans, all spans.
 
-    A null text has no spans.  Other columns are neither read nor returned.
+    Null and empty texts have no spans; texts of any length are read whole, patterns in time linear in them.  Repeated rows and
+    rows that share an id are each scanned for themselves, and a null id is returned as it is.  An empty table gives no
+    rows.  Other columns, whatever their names, are neither read nor returned.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     return base.mapInArrow(_finder, f"id {kind}, {', '.join(f'n_{k} long' for k in BASE)}, base_sha256 string, spans string").withColumnRenamed("id", id_col)
