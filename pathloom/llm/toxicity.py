@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Classes of words are the grammar's alphabet: insults (stems with weights learned from labelled rows), and fixed lists of
-targets, threats, negations and words that report speech.  Small transducers over classes, composed left to right within a clause,
-carry the clause's state (targeted, negated, reported) and emit a weight at each insult or threat: more when it hits a
-target, less when it is negated or reported.  A document's score weighs what its clauses emit against what a clean text of
-its length would hold (a Poisson log-likelihood ratio), through a logistic curve fitted on the same rows.
+targets, threats, negations and words that report speech, in the four languages of the corpus.  One transducer a pattern
+reads a clause's classes and passes them on marked: negation and target mark what stands near them, reported speech all
+that follows it, threat and insult turn what is marked into emissions with a weight.  The five are composed into one
+transducer, once; a clause is one walk over its table.  A document's score weighs what its clauses emit against what a
+clean text of its length would hold (a Poisson log-likelihood ratio), through a logistic curve fitted on the same rows;
+beyond CLIP either way the evidence counts as CLIP, where the curve is flat.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -21,57 +24,138 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import held_out
+from pathloom.llm.common import column, held_out, passages
 from pathloom.llm.minhash import _chunks
 
 THRESHOLD = 0.7
-#: Labelled rows that train at most, taken by hash; stems at most; a stem's least toxic documents and log rate ratio.
-SAMPLE, STEMS, LEAST, RATIO = 6000, 80, 5, 1.0
+#: Labelled rows that train at most, taken by hash, and characters of one (of a longer one, passages spread over all of it);
+#: stems at most; a stem's least toxic documents and log rate ratio.
+SAMPLE, LONGEST, STEMS, LEAST, RATIO = 6000, 20_000, 80, 5, 1.0
+CLIP = 8.0
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n]")
 _ENDS = (".", "!", "?", ";", ":", "\n")
-# Fixed lists (English); stems of other languages are learned.
-TARGETS = frozenset("you your yours yourself u he him his she her they them their people these those".split())
+# Fixed lists: English, German, French, Spanish.  Stems of insults are learned, in whatever language.
+TARGETS = frozenset(
+    """you your yours yourself u he him his she her they them their people these those
+    du dich dir dein deine deiner euch euer ihr ihm ihn ihnen
+    tu toi ton tes vous votre vos lui leur
+    ti tu tus usted ustedes vosotros""".split()
+)
 THREATS = ("kill", "hurt", "destroy", "murder", "beat", "stab", "shoot")
-THREAT_FORMS = frozenset(f"{v}{e}" for v in THREATS for e in ("", "s", "ing"))
-NEGATIONS = frozenset("not no never neither nor isn't aren't wasn't don't doesn't didn't won't nobody nothing".split())
-REPORTS = frozenset("said says say wrote writes called calls quoted quotes claimed claims asked told reported according".split())
+THREAT_FORMS = frozenset(f"{v}{e}" for v in THREATS for e in ("", "s", "ing")) | frozenset("töten umbringen erschießen verprügeln tuer assassiner frapper matar asesinar golpear".split())
+NEGATIONS = frozenset(
+    """not no never neither nor isn't aren't wasn't don't doesn't didn't won't nobody nothing
+    nicht kein keine keinen nie niemals nichts niemand ne pas jamais rien personne nunca jamás nada nadie tampoco""".split()
+)
+REPORTS = frozenset(
+    """said says say wrote writes called calls quoted quotes claimed claims asked told reported according
+    sagte sagt schrieb nannte zitierte behauptete fragte laut dit écrit écrivit appela cita affirma demanda selon
+    dijo dice escribió llamó citó afirmó preguntó según""".split()
+)
 PLAIN, AIMED, NEGATED, REPORTED = "plain", "aimed", "negated", "reported"
 #: What a state makes of an insult's weight.
 FACTOR = {PLAIN: 1.0, AIMED: 1.3, NEGATED: 0.4, REPORTED: 0.5}
 THREAT_WEIGHT = 2.5
 #: Steps a negation and a target hold.
 NEAR = 4
+CLASSES = ("", "insult", "threat", "target", "negation", "report")
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic transducer: step(state, symbol) gives the next state and the symbol passed on."""
+
+    start: Hashable
+    step: Callable[[Hashable, Hashable], tuple[Hashable, Hashable]]
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: what this one passes on, the other reads."""
+
+        def step(state: tuple, symbol: Hashable) -> tuple:
+            a, between = self.step(state[0], symbol)
+            b, out = other.step(state[1], between)
+            return (a, b), out
+
+        return Transducer((self.start, other.start), step)
+
+    def table(self, symbols: tuple) -> tuple[list[list[int]], list[list]]:
+        """All states that can be reached, numbered from the start: next state and output by state and symbol."""
+        number, todo, go, out = {self.start: 0}, [self.start], [], []
+        for state in todo:
+            steps = [self.step(state, x) for x in symbols]
+            for to, _ in steps:
+                if to not in number:
+                    number[to] = len(number)
+                    todo.append(to)
+            go.append([number[to] for to, _ in steps])
+            out.append([x for _, x in steps])
+        return go, out
+
+
+def _near(kind: str, mark: str) -> Transducer:
+    """Marks the symbols of which `kind` stands at most NEAR steps before.  A symbol is (class, marks)."""
+
+    def step(left: int, symbol: tuple) -> tuple:
+        out = (symbol[0], symbol[1] | {mark}) if left else symbol
+        return (NEAR if symbol[0] == kind else max(0, left - 1)), out
+
+    return Transducer(0, step)
+
+
+def _from(kind: str, mark: str) -> Transducer:
+    """Marks all symbols after one of `kind`."""
+    return Transducer(False, lambda seen, symbol: (seen or symbol[0] == kind, (symbol[0], symbol[1] | {mark}) if seen else symbol))
+
+
+def _state(kind: str, marks: frozenset) -> str:
+    return REPORTED if REPORTED in marks else NEGATED if NEGATED in marks else AIMED if AIMED in marks or kind == "threat" else PLAIN
+
+
+def _threat() -> Transducer:
+    """Turns a threat with a target near before it, or the target that comes near after it, into an emission ("threat", state)."""
+
+    def step(open_: tuple | None, symbol: tuple) -> tuple:
+        kind, marks = symbol
+        if kind == "threat" and AIMED not in marks:
+            return (_state(kind, marks), NEAR), symbol
+        out = ("emit", _state(kind, marks)) if kind == "threat" else symbol
+        if kind == "target" and open_:
+            return None, ("emit", open_[0])
+        return ((open_[0], open_[1] - 1) if open_ and open_[1] > 1 else None), out
+
+    return Transducer(None, step)
+
+
+def _insult() -> Transducer:
+    """Ends the cascade: (state, weight) of an emission, (state, None) of an insult, whose weight is its word's, None of all else."""
+
+    def step(_: None, symbol: tuple) -> tuple:
+        if symbol[0] == "emit":
+            return None, (symbol[1], THREAT_WEIGHT)
+        return None, (_state("insult", symbol[1]), None) if symbol[0] == "insult" else None
+
+    return Transducer(None, step)
+
+
+#: The grammar: its table of states and classes, composed once.
+_GRAMMAR = reduce(Transducer.then, (_near("negation", NEGATED), _near("target", AIMED), _from("report", REPORTED), _threat(), _insult()))
+_GO, _OUT = _GRAMMAR.table(tuple((k, frozenset()) for k in CLASSES))
+_CLASS = {k: i for i, k in enumerate(CLASSES)}
 
 
 def compose(classes: list[tuple[str, float]]) -> list[tuple[str, float]]:
-    """Runs the composed transducers over a clause's (class, weight) symbols: (state, weight) for each emission.
+    """A walk of the composed transducers over a clause's (class, weight) symbols: (state, weight) for each emission.
 
-    The negation and target transducers count down from NEAR, the reported-speech one holds to the clause's end, and the
-    insult and threat transducers emit; a threat emits only if a target is near on either side.
+    Negation and target hold for NEAR steps, reported speech to the clause's end; a threat emits only if a target is near on
+    either side.
     """
-    out, negated, aimed, reported, pending = [], 0, 0, False, None
+    out, at = [], 0
     for kind, w in classes:
-        if kind == "negation":
-            negated = NEAR + 1
-        elif kind == "report":
-            reported = True
-        elif kind == "target":
-            aimed = NEAR + 1
-            if pending and pending[1] > 0:
-                out.append((pending[0], THREAT_WEIGHT))
-                pending = None
-        elif kind in ("insult", "threat"):
-            state = REPORTED if reported else NEGATED if negated else AIMED if aimed or kind == "threat" else PLAIN
-            if kind == "insult":
-                out.append((state, w))
-            elif aimed:
-                out.append((state, THREAT_WEIGHT))
-            else:
-                pending = [state, NEAR + 1]
-        negated, aimed = max(0, negated - 1), max(0, aimed - 1)
-        if pending:
-            pending[1] -= 1
+        k = _CLASS[kind]
+        if got := _OUT[at][k]:
+            out.append((got[0], w if got[1] is None else got[1]))
+        at = _GO[at][k]
     return out
 
 
@@ -89,7 +173,7 @@ class Model:
     def automaton(self) -> ahocorasick.Automaton:
         if self._auto is None:
             self._auto = ahocorasick.Automaton()
-            for s in [*(x.rstrip("$") for x in self.stems), *THREATS]:
+            for s in {*(x.rstrip("$") for x in self.stems), *THREAT_FORMS}:
                 self._auto.add_word(s, len(s))
             self._auto.make_automaton()
         return self._auto
@@ -128,7 +212,7 @@ class Model:
         return total - self.excess * len(text.split())
 
     def score(self, text: str | None) -> float:
-        x = self.a * max(-8.0, min(8.0, self.evidence(text or ""))) + self.b
+        x = self.a * max(-CLIP, min(CLIP, self.evidence(text or ""))) + self.b
         return 1 / (1 + math.exp(-x))
 
 
@@ -186,7 +270,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     # The excess is the one of a few that separates best; then Newton steps for the curve.
     best = None
     for excess in (0.0, 0.01, 0.02, 0.03, 0.04, 0.06, 0.08, 0.12):
-        x = np.clip(raw - excess * n, -8, 8)
+        x = np.clip(raw - excess * n, -CLIP, CLIP)
         a, b = 0.5, -2.0
         for _ in range(60):
             p = 1 / (1 + np.exp(-(a * x + b)))
@@ -203,12 +287,17 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """From labelled rows that are not held out; of a document's labels the highest counts."""
-    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
+    """From labelled rows that are not held out; of a document's labels the highest counts, of rows that share an id the least text.
+
+    Null ids and labels do not train; a null text counts as empty.  No labels, or labels of one kind only, give a model that finds
+    nothing.  Texts longer than LONGEST train by passages from their whole length.
+    """
+    known = labels.select(column(id_col).alias("_id"), column(label_col).cast("int").alias("_y")).filter(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id")))
+    known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(known), "_id").orderBy(F.xxhash64("_id"), "_id", "_t").limit(sample)
-    return fit([(r["_t"] or "", r["_y"]) for r in rows.select("_t", "_y").collect()])
+    text = passages(F.coalesce(column(text_col).cast("string"), F.lit("")), LONGEST)
+    rows = docs.select(column(id_col).alias("_id"), text.alias("_t")).join(F.broadcast(known), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t"))
+    return fit([(r["_t"], r["_y"]) for r in rows.orderBy(F.xxhash64("_id"), "_id").collect()])
 
 
 def _scorer(model: Model):
@@ -222,20 +311,29 @@ def _scorer(model: Model):
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, held_out, score, predicted.  Null texts score as empty ones.
-    Other columns are neither read nor returned."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """One row per row of docs: id_col, held_out, score, predicted (score >= THRESHOLD, so that a tie counts as toxic).
+
+    Null texts score as empty ones, texts of any length are read whole.  Repeated rows are scored each for itself; a null id is
+    returned and not held out.  An empty table gives no rows.  Other columns, whatever their names, are neither read nor
+    returned.
+    """
+    base = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
     out = base.mapInArrow(_scorer(model), f"id {base.schema['id'].dataType.simpleString()}, score double")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows whose score stays below the threshold, whole."""
+    """The rows whose score stays below the threshold, whole, with all columns whatever their names and types.
+
+    Null texts score as empty ones, and repeated rows each for itself.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [model.score(t) < THRESHOLD for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for b in _chunks(whole, 1 << 23, at):
+                keep = [model.score(t) < THRESHOLD for t in b.column(at).to_pylist()]
+                yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names of ours: theirs may hold dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
