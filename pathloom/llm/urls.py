@@ -7,7 +7,9 @@ the log-likelihood difference (rejected less accepted); the threshold that separ
 fewest errors, each set weighing the same, is the calibration.
 
 Counts are of all rule-settled URLs and combine before the shuffle.  A gram's log-probability is worked out once for each
-distinct gram and model, and URLs look their grams up by a join on them.
+distinct gram and model, and URLs look their grams up by a join on them, in which grams that most URLs hold are dealt over
+tasks.  A URL is walked once, in time linear in its length, and its evidence is summed in whole numbers of 2 ** -UNIT, so that
+it does not depend on the order of its terms.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import lower_ascii, saved
+from pathloom.llm.common import column, lower_ascii, saved, spread_join
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with the rule's; the longest wins.
 RULES = (
@@ -30,6 +32,8 @@ ALPHABET = 256
 #: Bins of the evidence, for the threshold.
 BINS, SPAN = 400, 4.0
 START = "\x02"
+#: Bits after the point in sums of evidence: a character's is below 2 ** 7, so that a URL may have 2 ** 24 of them.
+UNIT = 32
 
 
 def with_parts(pages: DataFrame, url: Column) -> DataFrame:
@@ -52,15 +56,10 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
 
 def _grams(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, gram (context and character, context of ORDER) for each character of the text column."""
-    text = F.concat(F.lit(START * ORDER), F.col("text"))
-    return df.select(*keys, text.alias("t"), F.length("text").alias("n")).filter("n > 0").select(
-        *keys, "n", F.explode(F.expr(f"transform(sequence(1, n), i -> substring(t, i, {ORDER + 1}))")).alias("gram")
-    )
-
-
-def _model(train: DataFrame) -> DataFrame:
-    """(gram, c0, c1): counts of each gram of ORDER + 1 characters in accepted (0) and rejected (1) text."""
-    return train.groupBy("gram").agg(F.count_if(F.col("y") == 0).alias("c0"), F.count_if(F.col("y") == 1).alias("c1"))
+    chars = F.regexp_extract_all(F.concat(F.lit(START * ORDER), F.col("text")), F.lit("(?s)."), F.lit(0))
+    shifted = [F.slice(chars, F.lit(k + 1), F.char_length("text")).alias(f"c{k}") for k in range(ORDER + 1)]
+    rows = df.filter("text <> ''").select(*keys, F.explode(F.arrays_zip(*shifted)).alias("c"))
+    return rows.select(*keys, F.concat(*[F.col(f"c.c{k}") for k in range(ORDER + 1)]).alias("gram"))
 
 
 def _probabilities(wanted: DataFrame, counts: DataFrame) -> DataFrame:
@@ -85,20 +84,25 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     """One row per row of pages: id_col, host, path, rule, verdict.
 
     Null URLs and those without :// have empty host and path; they are judged by the model, a null one as empty text, and empty text is
-    allowed.  Without both accepted and rejected training URLs, what no rule settles is allowed.  Other columns are neither
+    allowed.  Without both accepted and rejected training URLs, what no rule settles is allowed.  A URL of any length is read
+    whole.  Equal URLs have equal verdicts; repeated rows and null ids are returned as they are.  Of rules that are equally long
+    the one with the longer host wins.  An empty table gives no rows.  Other columns, whatever their names, are neither
     read nor returned.
     """
-    base = with_parts(pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("url")), F.col("url"))
+    base = with_parts(pages.select(column(id_col).alias("_id"), column(url_col).cast("string").alias("url")), F.col("url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     base = saved(base.select("_id", "host", "path", F.col("_u").alias("text"), rule.alias("rule"), verdict.alias("by_rule")))
     texts = base.groupBy("text", "by_rule").agg(F.count("*").alias("w"))
     y = F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0)
     texts = saved(texts.select("text", "w", y.alias("y"), F.monotonically_increasing_id().alias("tid")))
-    grams = _grams(texts, ["tid", "y", "w"]).drop("n")
+    grams = _grams(texts, ["tid", "y", "w"])
     train = grams.filter("y is not null")
     counts = saved(train.groupBy("gram").agg(F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("c0"), F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("c1")))
-    diff = saved(_probabilities(grams.select("gram").distinct(), counts))
-    evidence = saved(grams.join(diff, "gram").groupBy("tid", "y", "w").agg(F.avg("diff").alias("e")))
+    uses = saved(grams.groupBy("gram").agg(F.count("*").alias("n")))
+    diff = _probabilities(uses.select("gram"), counts).select("gram", F.round(F.col("diff") * 2.0**UNIT).cast("long").alias("d"))
+    diff = saved(diff.join(uses, "gram"))
+    term = spread_join(grams, diff, ["gram"], "tid").groupBy("tid", "y", "w").agg(F.sum("d").alias("d"), F.count("*").alias("c"))
+    evidence = saved(term.select("tid", "y", "w", (F.col("d") / F.col("c") / 2.0**UNIT).alias("e")))
     step = SPAN * 2 / BINS
     bins = evidence.filter("y is not null").groupBy(F.greatest(F.lit(0), F.least(F.lit(BINS), F.floor((F.col("e") + SPAN) / step))).alias("b"))
     rows = {r["b"]: (r["n0"], r["n1"]) for r in bins.agg(F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("n1")).collect()}  # BINS rows
