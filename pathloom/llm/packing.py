@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import saved
+from pathloom.llm.common import column, saved
 from pathloom.llm.minhash import _chunks
 from pathloom.llm.tokens import encoder, ids_of_long
 
@@ -190,14 +190,17 @@ def _placer(table, first_of: dict[int, int], start_of: np.ndarray, capacity: int
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null text counts as empty and has one piece, the end mark.  Rows are packed each for itself, whatever ids they share.
+    Null and empty texts have one piece, the end mark; texts longer than the capacity, however long, are cut into pieces of it.
+    Rows are packed each for itself, whatever ids they share, repeated rows too; a null id is returned as it is.  Pieces of one
+    length are alike: which of them goes where follows a hash, then the id.  An empty table gives no rows.  Other columns,
+    whatever their names, are neither read nor returned.
     """
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
     cut = base.mapInArrow(_cutter(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
     cut = saved(cut)
     order = ["length", F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece"]

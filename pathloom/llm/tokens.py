@@ -3,11 +3,13 @@
 The tokenizer splits a text before its merges: at white space, and wherever an ASCII letter, an ASCII digit and other
 printable ASCII meet, but for apostrophes (contractions) and non-ASCII characters (any class).  A stretch
 between such places has the same ids alone as in its text, so a text's ids are those of its stretches in a row.
-Texts that hold "<|" (special tokens span classes) go to the tokenizer whole.
+Texts that hold "<|" (special tokens span classes) go to the tokenizer whole, and so do all texts where the file's own rules
+(read from it) are not these.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -29,6 +31,19 @@ for _b in (32, 9, 10, 11, 12, 13):
 CACHE, LONG = 300_000, 64
 
 
+def splits_so(path: str) -> bool:
+    """Whether the file normalises by NFC, white space and lower case, and then splits at white space and between letters,
+    digits and other characters: what makes stretches independent."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    norm = [x.get("type") for x in (file.get("normalizer") or {}).get("normalizers", [])]
+    pre = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    rule = pre[0].get("pattern", {}).get("Regex", "")
+    special = [t["content"] for t in file.get("added_tokens", [])]
+    classes = (r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+")
+    return norm == ["NFC", "Replace", "Lowercase"] and pre[0].get("type") == "Split" and all(c in rule for c in classes) and all(t.startswith("<|") for t in special)
+
+
 class Encoder:
     """encode(texts) gives all ids in one array and the bounds of each text's."""
 
@@ -36,6 +51,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.splits = splits_so(path)
         self.known: dict[bytes, bytes] = {}  # ids as bytes: a fifth of what arrays take
 
     def _plain(self, texts: list[str], step: int = 2000) -> list[bytes]:
@@ -55,7 +71,7 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        special = [i for i, t in enumerate(texts) if t and "<|" in t]
+        special = [i for i, t in enumerate(texts) if t and (not self.splits or "<|" in t)]
         whole = {i: np.frombuffer(ids, np.uint32) for i, ids in zip(special, self._plain([texts[i] for i in special]))} if special else {}
         raws = [b"" if not t or i in whole else t.encode("utf-8", "surrogatepass").translate(_LOWER) for i, t in enumerate(texts)]
         joined = b" ".join(raws) + b" "
@@ -104,7 +120,7 @@ def pieces_of(text: str, most: int = 1 << 20) -> list[str]:
 
 
 def ids_of_long(e: Encoder, text: str) -> np.ndarray:
-    if "<|" in text:
+    if "<|" in text or not e.splits:
         return e.encode([text])[0]
     return np.concatenate([e.encode([p])[0] for p in pieces_of(text)])
 
