@@ -4,8 +4,13 @@ Per language a suffix automaton of labelled text recognises every substring of i
 right, into longest matches; a language's cost is its number of phrases times the bits that point at one (the logarithm of its
 automaton's text length), by character.  The cheapest language wins, the first by code point among equals.
 
-Texts are parsed as sequences of lower-cased letters, with one mark for each run of other characters, in stretches of
-STRETCH symbols side by side: one table lookup steps all of them.  A phrase ends with its stretch.
+Texts are parsed whole, as sequences of lower-cased letters with one mark for each run of other characters.  So that one
+table lookup steps many places at once, stretches of STRETCH symbols are parsed side by side, each as if a phrase began
+there; then the phrase that runs over a stretch's end is followed into the next one until both parses begin a phrase at
+the same place, from where on they are the same.  The phrases are those of a parse without stretches.
+
+Each language has its own letters, as many as its text holds: the frequent ones have columns in a table, the others are
+looked up by state and letter.
 """
 
 from __future__ import annotations
@@ -21,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import held_out
+from pathloom.llm.common import column, held_out, passages
 from pathloom.llm.minhash import _chunks
 
-#: Training characters of all languages together and of one, documents of one at most, and characters of one document.
-TOTAL, EACH, DOCS, LONGEST = 240_000, 60_000, 60, 20_000
+#: Characters of training text: of all languages together, of one at most and at least; documents of one language at most,
+#: and characters of one document at most (passages spread over all of it, where it is longer).
+TOTAL, EACH, LEAST, DOCS, LONGEST = 240_000, 60_000, 10_000, 60, 5_000
 STRETCH = 2048
-SYMBOLS = 64
+#: Columns of a language's table at most, and bytes of all tables, which make columns fewer where there are many languages.
+COLUMNS, TABLE_BYTES = 64, 1 << 27
 UNKNOWN = "und"
 
 
@@ -51,8 +58,8 @@ def plain(text: str) -> np.ndarray:
     return x[(x != 0) | np.concatenate(([True], x[:-1] != 0))] if len(x) else x
 
 
-def automaton(s: list[int], symbols: int = SYMBOLS) -> np.ndarray:
-    """The transitions of the suffix automaton of s, state by symbol; -1: none.  State 0 is the root."""
+def transitions(s: list[int]) -> list[dict[int, int]]:
+    """The suffix automaton of s: for each state, its steps by symbol.  State 0 is the root."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in s:
@@ -78,60 +85,130 @@ def automaton(s: list[int], symbols: int = SYMBOLS) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
+    return nxt
+
+
+def table_of(nxt: list[dict[int, int]], symbols: int) -> np.ndarray:
+    """The steps on symbols below `symbols`, state by symbol; -1: none."""
     table = np.full((len(nxt), symbols), -1, np.int32)
     for i, d in enumerate(nxt):
         for c, j in d.items():
-            table[i, c] = j
+            if c < symbols:
+                table[i, c] = j
     return table
 
 
+def automaton(s: list[int], symbols: int) -> np.ndarray:
+    return table_of(transitions(s), symbols)
+
+
+class Parser:
+    """One language's automaton.  Symbols: the language's letters by falling frequency, those from `wide - 1` on by lookup."""
+
+    def __init__(self, text: np.ndarray, letters: int, wide: int):
+        seen = Counter(text.tolist())
+        order = sorted(seen, key=lambda c: (-seen[c], c))
+        rank = np.full(letters, len(order), np.int64)  # a letter of other languages: no step has it
+        rank[order] = np.arange(len(order))
+        self.wide = wide
+        self.column = np.minimum(rank, wide - 1).astype(np.uint8)
+        nxt = transitions(rank[text].tolist())
+        self.table = table_of(nxt, wide)
+        self.table[:, wide - 1] = -1
+        self.table = self.table.ravel()
+        # Symbols from wide - 1 on: sorted (state, letter) keys and where they lead.
+        rest = sorted((i << 32 | order[c], j) for i, d in enumerate(nxt) for c, j in d.items() if c >= wide - 1)
+        self.keys = np.array([k for k, _ in rest], np.int64)
+        self.to = np.array([j for _, j in rest], np.int32)
+
+    def rare(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) << 32 | letter
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], -1)
+
+    def step(self, state: int, letter: int) -> int:
+        c = int(self.column[letter])
+        if c < self.wide - 1:
+            return int(self.table[state * self.wide + c])
+        return int(self.rare(np.array([state]), np.array([letter]))[0]) if len(self.keys) else -1
+
+    def phrases(self, letters: np.ndarray, lanes: list[list[int]], begin: np.ndarray, size: np.ndarray, active: np.ndarray) -> list[int]:
+        """Phrases of each text.  letters: all texts in a row; lanes: of each text; lanes begin at `begin`, the longest first."""
+        column = self.column[letters]
+        starts = np.zeros(len(letters), bool)
+        state = np.zeros(len(begin), np.int32)
+        root = np.maximum(self.table[: self.wide], 0)
+        for t, n in enumerate(active.tolist()):
+            at = begin[:n] + t
+            c = column[at]
+            now = state[:n]
+            go = self.table[now * self.wide + c]
+            if len(self.keys) and len(r := np.flatnonzero(c == self.wide - 1)):
+                go[r] = self.rare(now[r], letters[at[r]])
+            stuck = np.flatnonzero(go < 0)
+            new = root[c[stuck]]
+            if len(self.keys) and len(r := np.flatnonzero(c[stuck] == self.wide - 1)):
+                new[r] = np.maximum(self.rare(np.zeros(len(r), np.int64), letters[at[stuck[r]]]), 0)
+            starts[at[stuck]] = True
+            starts[at[now == 0]] = True
+            go[stuck] = new
+            state[:n] = go
+        out = []
+        for own in lanes:
+            total, carry = 0, 0
+            for k in own:
+                a, z = int(begin[k]), int(begin[k] + size[k])
+                while carry and a < z:  # the phrase of the lane before goes on here
+                    go = self.step(carry, int(letters[a]))
+                    if go < 0:
+                        if starts[a]:
+                            break
+                        total += 1
+                        go = max(0, self.step(0, int(letters[a])))
+                    carry = go
+                    a += 1
+                if a < z:  # both begin a phrase here, or nothing was carried in
+                    total += int(np.count_nonzero(starts[a:z]))
+                    carry = int(state[k])
+            out.append(total)
+        return out
+
+
 class Model:
-    """Automata by language, built where they are used from the bounded training texts."""
+    """Parsers by language, built where they are used from the bounded training texts."""
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
         parts = {k: plain(texts[k]) for k in self.langs}
-        seen = Counter(c for p in parts.values() for c in p.tolist())
-        known = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if c][: SYMBOLS - 2]
-        self.symbol = np.full(0x110000, SYMBOLS - 1, np.uint8)  # letters never seen in training
-        for i, c in enumerate([0, *known]):
-            self.symbol[c] = i
-        self.tables, self.bits = [], []
+        known = np.unique(np.concatenate([np.zeros(1, np.uint32), *parts.values()]))
+        self.letter = np.full(0x110000, len(known), np.int32)  # the last: letters never seen in training
+        self.letter[known] = np.arange(len(known))
+        states = 2 * sum(map(len, parts.values())) + 1
+        wide = max(8, min(COLUMNS, TABLE_BYTES // (4 * states)))
+        self.parsers, self.bits = [], []
         for k in self.langs:
-            t = automaton(self.symbol[parts[k]].tolist())
-            t[:, SYMBOLS - 1] = -1
-            self.tables.append(t.ravel())
-            self.bits.append(math.log2(max(2, len(parts[k]))))
+            own = self.letter[parts[k]]
+            self.parsers.append(Parser(own, len(known) + 1, min(wide, len(np.unique(own)) + 1)))
+            self.bits.append(math.log2(max(2, len(own))))
 
     def costs(self, texts: list[str]) -> np.ndarray:
         """Bits a character, by text and language."""
-        symbols = [self.symbol[plain(t)] for t in texts]
-        lanes = [(i, s[a : a + STRETCH]) for i, s in enumerate(symbols) for a in range(0, len(s), STRETCH)]
-        lanes.sort(key=lambda x: -len(x[1]))
-        size = np.array([len(s) for _, s in lanes], np.int64)
-        owner = np.array([i for i, _ in lanes], np.int64)
-        grid = np.zeros((STRETCH, len(lanes)), np.uint8)
-        for j, (_, s) in enumerate(lanes):
-            grid[: len(s), j] = s
-        active = len(lanes) - np.searchsorted(size[::-1], np.arange(1, STRETCH + 1))
+        plains = [self.letter[plain(t)] for t in texts]
+        letters = np.concatenate(plains) if plains else np.empty(0, np.int32)
+        first = np.cumsum([0] + [len(p) for p in plains])
+        every = [(i, a) for i, p in enumerate(plains) for a in range(0, len(p), STRETCH)]
+        size = np.array([min(STRETCH, len(plains[i]) - a) for i, a in every], np.int64)
+        order = np.argsort(-size, kind="stable")
+        begin, place = np.array([first[i] + a for i, a in every], np.int64)[order], np.argsort(order)
+        size = size[order]
+        lanes: list[list[int]] = [[] for _ in texts]
+        for (i, _), k in zip(every, place.tolist()):
+            lanes[i].append(k)
+        active = len(size) - np.searchsorted(size[::-1], np.arange(1, int(size.max(initial=0)) + 1))
+        chars = np.maximum(1, np.diff(first))
         out = np.zeros((len(texts), len(self.langs)))
-        chars = np.maximum(1, np.bincount(owner, size, len(texts)) if len(lanes) else np.zeros(len(texts)))
-        for k, table in enumerate(self.tables):
-            root = np.maximum(table[:SYMBOLS], 0)
-            state, phrases = np.zeros(len(lanes), np.int32), np.zeros(len(lanes), np.int32)
-            for t in range(STRETCH):
-                n = int(active[t])
-                if not n:
-                    break
-                c = grid[t, :n]
-                go = table[state[:n] * SYMBOLS + c]
-                stuck = np.flatnonzero(go < 0)
-                new = root[c[stuck]]
-                phrases[stuck] += (state[stuck] != 0).astype(np.int32) + (new == 0)
-                go[stuck] = new
-                state[:n] = go
-            phrases += state != 0
-            out[:, k] = (np.bincount(owner, phrases, len(texts)) if len(lanes) else 0) * self.bits[k] / chars
+        for k, parser in enumerate(self.parsers):
+            out[:, k] = np.array(parser.phrases(letters, lanes, begin, size, active)) * self.bits[k] / chars
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -158,21 +235,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """The training text of each language: documents that are not held out, by hash of the id, up to the bounds.
 
     Only ids and languages are ranked; the texts of the few chosen are fetched by a broadcast of at most DOCS ids a language.
+    Null ids and languages and empty texts do not train; of rows that share id and language the least text does.  Texts
+    longer than LONGEST give passages from their whole length.  An empty table gives no languages.
     """
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_l")).distinct()
+    known = docs.select(column(id_col).alias("_id"), column(lang_col).cast("string").alias("_l"), column(text_col).cast("string").alias("_t"))
+    known = known.filter(F.col("_l").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id")) & (F.col("_t") != ""))
     order = W.partitionBy("_l").orderBy(F.xxhash64("_id"), "_id")
-    few = known.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= DOCS)
+    few = known.select("_id", "_l").distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= DOCS)
     few = docs.sparkSession.createDataFrame(few.collect(), few.schema)
-    text = F.substring(F.col(text_col).cast("string"), 1, LONGEST).alias("text")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_l"), text).join(F.broadcast(few), ["_id", "_l"]).filter("text <> ''")
-    rows = [r.asDict() | {"lang": r["_l"]} for r in rows.orderBy("_l", "_r", "text").limit(DOCS * max(1, few.count())).collect()]
-    room = min(EACH, TOTAL // max(1, len({r["lang"] for r in rows})))
+    rows = known.select("_id", "_l", passages(F.col("_t"), LONGEST).alias("t")).join(F.broadcast(few), ["_id", "_l"]).groupBy("_l", "_r").agg(F.min("t").alias("t"))
+    rows = rows.orderBy("_l", "_r").collect()
+    room = max(LEAST, min(EACH, TOTAL // max(1, len({r["_l"] for r in rows}))))
     out: dict[str, list[str]] = {}
     for r in rows:
-        own = out.setdefault(r["lang"], [])
-        if not own or sum(map(len, own)) + len(r["text"]) <= room:
-            own.append(r["text"])
+        own = out.setdefault(r["_l"], [])
+        if sum(map(len, own)) + len(r["t"]) <= room:
+            own.append(r["t"])
     return {k: "\n".join(v) for k, v in out.items()}
 
 
@@ -182,7 +260,7 @@ def _predictor(texts: dict[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _built(key)
         for whole in batches:
-            for b in _chunks(whole, 1 << 23):
+            for b in _chunks(whole, 1 << 22):
                 got = model.predict(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["id", "lang_pred", "score"])
 
@@ -192,8 +270,11 @@ def _predictor(texts: dict[str, str]):
 def identify(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, held_out, lang_pred, score (the part by which the best cost is below the next).
 
-    Null texts and texts without a letter are "und" with score 0.  Other columns are neither read nor returned.
+    Null and empty texts and texts without a letter are "und" with score 0, and so are all where no language was learned.
+    Texts of any length are parsed whole.  Of languages with equal costs the first by code point is named.  Repeated rows
+    are judged each for itself; a null id is returned and not held out.  An empty table gives no rows.  Other columns,
+    whatever their names, are neither read nor returned.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
     out = base.mapInArrow(_predictor(texts), f"id {base.schema['id'].dataType.simpleString()}, lang_pred string, score double")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
