@@ -59,6 +59,20 @@ def cell_hop_km(a: Column, b: Column, edge_km: float = HEX_EDGE_KM) -> Column:
     return haversine_km(ca["lon"], ca["lat"], cb["lon"], cb["lat"])
 
 
+def centre_of(cell: str, edge_km: float = HEX_EDGE_KM) -> tuple[float, float]:
+    """hex_centre in Python, for operators that already run there."""
+    q, r = map(float, cell.split("_"))
+    x, y = (q * math.sqrt(3.0) + r * (math.sqrt(3.0) / 2.0)) * edge_km, r * 1.5 * edge_km
+    return x / (KM_PER_DEG * COS0) + LON0, y / KM_PER_DEG + LAT0
+
+
+def hop_km_of(a: str, b: str, edge_km: float = HEX_EDGE_KM) -> float:
+    """cell_hop_km in Python."""
+    (lon1, lat1), (lon2, lat2) = centre_of(a, edge_km), centre_of(b, edge_km)
+    h = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * EARTH_RADIUS_KM * math.asin(math.sqrt(h))
+
+
 def geohash(lon: Column, lat: Column, precision: int = 6) -> Column:
     """Geohash text of a point: bits of both axes interleaved, longitude first, five to a character."""
     bits = 5 * precision
@@ -75,6 +89,20 @@ def geohash(lon: Column, lat: Column, precision: int = 6) -> Column:
     return F.when(lon.isNull() | lat.isNull(), None).otherwise(F.concat(*chars))
 
 
+def geohash_centre(cell: Column) -> Column:
+    """struct(lon, lat) in the middle of a geohash cell: its characters' bits, taken apart again."""
+    chars = F.transform(F.split(cell, ""), lambda c: F.instr(F.lit(GEOHASH_ALPHABET), F.nullif(c, F.lit(""))) - 1)
+    bits = F.flatten(F.transform(F.filter(chars, lambda v: v >= 0), lambda v: F.transform(F.sequence(F.lit(4), F.lit(0)), lambda k: F.floor(v / F.pow(F.lit(2.0), k)).cast("int") % 2)))
+
+    def middle(first: int, low: float, high: float) -> Column:
+        own = F.filter(bits, lambda b, i: i % 2 == first)
+        n = F.size(own)
+        value = F.aggregate(own, F.lit(0.0), lambda s, b: s * 2 + b)
+        return F.lit(low) + (value + 0.5) / F.pow(F.lit(2.0), n) * (high - low)
+
+    return F.when(cell.isNotNull(), F.struct(middle(0, -180.0, 180.0).alias("lon"), middle(1, -90.0, 90.0).alias("lat")))
+
+
 def path_km(points: Column) -> Column:
     """Length of an array of struct(lon, lat)."""
     n = F.size(points)

@@ -48,21 +48,21 @@ def coverage(segments: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def null_walks(edges: DataFrame, lengths: list[int], seed: int = 42) -> DataFrame:
-    """(pattern_id, tokens): a random walk on the observed steps for each length, by seeded hashes: the same in every run.
+    """(pattern_id, tokens): a random walk on the observed steps for each length, by seeded digests: the same in every run and engine.
 
-    Walks advance together, one join a step; the next step is the neighbour whose hash with the walk's number is smallest.
+    Starts are the nodes in the order of their digests, over and over; walks advance together, one join a step, to the
+    neighbour whose digest with the walk's number is smallest.  A walk that can go no further is shorter.
     """
     spark = edges.sparkSession
-    starts = edges.select(F.col("f").alias("at")).distinct()
-    walks = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "walk int, n int")
-    pick = W.partitionBy("walk").orderBy("h", "at")
-    now = walks.crossJoin(starts).withColumn("h", F.xxhash64(F.lit(seed), "walk", "at")).withColumn("r", F.row_number().over(pick)).filter("r = 1").select("walk", "n", F.array("at").alias("tokens"), "at")
+    digest = lambda *c: F.md5(F.concat_ws(":", F.lit(str(seed)), *[x.cast("string") for x in c]).cast("binary"))
+    starts = edges.select(F.col("f").alias("at")).distinct().orderBy(digest(F.col("at")), "at").limit(len(lengths)).collect()  # a node a walk
+    if not starts:
+        return spark.createDataFrame([], "pattern_id string, tokens array<string>")
+    now = spark.createDataFrame([(i, n, [starts[i % len(starts)][0]], starts[i % len(starts)][0]) for i, n in enumerate(lengths)], "walk int, n int, tokens array<string>, at string")
     step = edges.select(F.col("f").alias("at"), "t")
     for i in range(1, max(lengths, default=1)):
-        w = W.partitionBy("walk").orderBy("h", "t")
-        more = now.filter(F.col("n") > i).join(step, "at", "left").withColumn("h", F.xxhash64(F.lit(seed + i), "walk", "t")).withColumn("r", F.row_number().over(w)).filter("r = 1")
-        more = more.select("walk", "n", F.when(F.col("t").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.array("t"))).alias("tokens"), F.coalesce("t", "at").alias("at"))
-        now = now.filter(F.col("n") <= i).unionByName(more)
+        best = now.filter(F.col("n") > i).join(step, "at").groupBy("walk").agg(F.min_by("t", F.struct(digest(F.lit(i), F.col("walk"), F.col("t")), F.col("t"))).alias("t"))
+        now = now.join(F.broadcast(best), "walk", "left").select("walk", "n", F.when(F.col("t").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.array("t"))).alias("tokens"), F.coalesce("t", F.when(F.col("n") <= i, F.col("at"))).alias("at"))
     return now.select(F.col("walk").cast("string").alias("pattern_id"), "tokens")
 
 
@@ -105,3 +105,67 @@ def run_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: rows only in a, only in b, and the verdict "exact" where there are none (repeats count)."""
     both = a.exceptAll(b).agg(F.count("*").alias("only_a")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("only_b")))
     return both.withColumn("verdict", F.when((F.col("only_a") == 0) & (F.col("only_b") == 0), "exact").otherwise("differs"))
+
+
+def lift(own: DataFrame, random: DataFrame) -> DataFrame:
+    """One row: two coverages and their ratio, infinite where nothing random matches."""
+    both = own.select(F.col("coverage").alias("own")).crossJoin(random.select(F.col("coverage").alias("random")))
+    return both.withColumn("lift", F.when(F.col("random") > 0, F.col("own") / F.col("random")).otherwise(F.lit(float("inf"))))
+
+
+def overlap_matrix(methods: dict[str, DataFrame], least: float = 0.5) -> DataFrame:
+    """(method, other, matched, total, share): of each method's routes (tokens), those that have a partner in another's."""
+    from pathloom.operators.similarity import set_match_share
+
+    out = None
+    for x, xs in methods.items():
+        for y, ys in methods.items():
+            if x != y:
+                row = set_match_share(xs, ys, least).select(F.lit(x).alias("method"), F.lit(y).alias("other"), "matched", "total", "share")
+                out = row if out is None else out.unionByName(row)
+    return out
+
+
+def run_tiers(run: DataFrame, baseline: DataFrame, max_hop_km: float = C.MAX_HOP_KM) -> DataFrame:
+    """(tier, name, ok, differing): a run's routes (key, support, n, length_km) against a baseline's.
+
+    exact: the same keys, and the same support on shared ones.  close: supports of shared keys within 1 %.  loose: half of
+    the baseline's routes have a partner by tokens.  sane: every route has a length, and no step longer than the hop bound.
+    """
+    from pathloom.operators.similarity import set_match_share
+
+    j = run.select("key", F.col("support").alias("s")).join(baseline.select("key", F.col("support").alias("b")), "key", "full")
+    both = F.col("s").isNotNull() & F.col("b").isNotNull()
+    counts = j.agg(F.count_if(~both).alias("keys"), F.count_if(both & (F.col("s") != F.col("b"))).alias("support"), F.count_if(both & (F.abs(F.col("s") - F.col("b")) > 0.01 * F.col("b"))).alias("close"))
+    sane = run.agg(F.count_if(F.col("length_km").isNull()).alias("blank"), F.count_if((F.col("n") > 1) & (F.col("length_km") / (F.col("n") - 1) > max_hop_km)).alias("hops"))
+    tokens = lambda d: d.select(F.split("key", ">").alias("tokens"))
+    loose = set_match_share(tokens(baseline), tokens(run)).select((F.col("total") - F.col("matched")).alias("unmatched"), (F.col("share") >= 0.5).alias("enough"))
+    one = counts.crossJoin(sane).crossJoin(loose)
+    row = lambda tier, name, c, ok=None: F.struct(F.lit(tier).alias("tier"), F.lit(name).alias("name"), (F.col(c) == 0 if ok is None else F.col(ok)).alias("ok"), F.col(c).alias("differing"))
+    tiers = [row("exact", "keys", "keys"), row("exact", "support", "support"), row("close", "support", "close"), row("loose", "partners", "unmatched", "enough"), row("sane", "lengths", "blank"), row("sane", "hops", "hops")]
+    return one.select(F.explode(F.array(*tiers)).alias("x")).select("x.*")
+
+
+def temporal_overlap(sequences: DataFrame, floor_pct: float = 0.05, top: int = 100) -> DataFrame:
+    """(bucket, trips, floor, routes, matched, share, verdict) of (id, entity, seq, bucket) rows: each bucket's best maximal
+    repeats that have a partner by tokens among those of all sequences.
+
+    A floor is that share of a bucket's sequences, at least 2.  All buckets, and all sequences as one more, are mined at once
+    at the lowest floor, with the bucket as a part of each token; larger floors are filters on what is found.
+    """
+    from pathloom.operators import repeats
+    from pathloom.operators.similarity import set_match_share
+    from pathloom.sources.store import checkpoints
+
+    checkpoints(sequences.sparkSession)
+    every = sequences.select("id", "entity", "seq", F.explode(F.array(F.lit("all"), F.col("bucket"))).alias("bucket")).filter("bucket is not null")
+    floors = every.groupBy("bucket").agg(F.count("*").alias("trips")).withColumn("floor", F.greatest(F.lit(2), F.round(F.col("trips") * (floor_pct / 100)).cast("long")))
+    tagged = every.select("id", "entity", F.transform("seq", lambda x: F.concat("bucket", F.lit("|"), x)).alias("seq"))
+    mined = repeats.mine(tagged, 2).select(F.split_part("key", F.lit("|"), F.lit(1)).alias("bucket"), F.split(F.regexp_replace("key", r"[^>|]*\|", ""), ">").alias("tokens"), "support", F.greatest("best_right", "best_left").alias("best"))
+    good = mined.join(F.broadcast(floors), "bucket").filter((F.col("support") >= F.col("floor")) & (F.col("best") < F.col("floor")))
+    w = W.partitionBy("bucket").orderBy(F.desc("support"), F.array_join("tokens", ">"))
+    best = good.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).select("bucket", "tokens").checkpoint()
+    own = set_match_share(best.filter("bucket <> 'all'"), best.filter("bucket = 'all'").select("tokens"), by=("bucket",))
+    mean = F.avg("share").over(W.partitionBy())  # a row a bucket
+    verdict = F.when(mean >= 0.8, "structural").when(mean >= 0.5, "shared core").otherwise("distinct")
+    return own.join(floors, "bucket").select("bucket", "trips", "floor", F.col("total").alias("routes"), "matched", "share", verdict.alias("verdict"))

@@ -47,18 +47,20 @@ def exact_top(segments: DataFrame, n_trips: int, limit: int = C.EXACT_MAX_TRIPS)
     return banded_top(support(km_windows(segments)).filter("not truncated"))
 
 
-def extensions(table: DataFrame) -> DataFrame:
+def extensions(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """table with best_right and best_left: the largest support of a one-token extension, 0 if there is none.
 
-    Each window tells both of its parents its support; one union and one aggregation by key replace two joins.
+    Each window tells both of its parents its support; one union and one aggregation by key replace two joins.  by: columns that
+    part the table, so that several supports of a key are told apart.
     """
-    right = table.select(S.parent_right(F.col("key")).alias("key"), F.col("support").alias("r"), F.lit(None).cast("long").alias("l"))
-    left = table.select(S.parent_left(F.col("key")).alias("key"), F.lit(None).cast("long").alias("r"), F.col("support").alias("l"))
-    own = [c for c in table.columns if c != "key"]
-    rows = table.select("key", F.struct(*own).alias("own"), F.lit(None).cast("long").alias("r"), F.lit(None).cast("long").alias("l"))
-    up = right.unionByName(left).filter("key <> ''").select("key", F.lit(None).cast(rows.schema["own"].dataType).alias("own"), "r", "l")
-    by = rows.unionByName(up).groupBy("key").agg(F.max("own").alias("own"), F.max("r").alias("r"), F.max("l").alias("l")).filter("own is not null")
-    return by.select("key", "own.*", F.coalesce("r", F.lit(0)).alias("best_right"), F.coalesce("l", F.lit(0)).alias("best_left"))
+    none = F.lit(None).cast("long")
+    right = table.select(*by, S.parent_right(F.col("key")).alias("key"), F.col("support").alias("r"), none.alias("l"))
+    left = table.select(*by, S.parent_left(F.col("key")).alias("key"), none.alias("r"), F.col("support").alias("l"))
+    own = [c for c in table.columns if c not in ("key", *by)]
+    rows = table.select(*by, "key", F.struct(*own).alias("own"), none.alias("r"), none.alias("l"))
+    up = right.unionByName(left).filter("key <> ''").select(*by, "key", F.lit(None).cast(rows.schema["own"].dataType).alias("own"), "r", "l")
+    each = rows.unionByName(up).groupBy(*by, "key").agg(F.max("own").alias("own"), F.max("r").alias("r"), F.max("l").alias("l")).filter("own is not null")
+    return each.select(*by, "key", "own.*", F.coalesce("r", F.lit(0)).alias("best_right"), F.coalesce("l", F.lit(0)).alias("best_left"))
 
 
 def closed(table: DataFrame, tolerance: float = 0.0) -> DataFrame:

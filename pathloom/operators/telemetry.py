@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.sources.trips import append_jsonl
+from pathloom.sources.store import Store
 
 
 @contextlib.contextmanager
@@ -27,7 +27,8 @@ def stage(spark: SparkSession, name: str, scale: str, path: str | None = None) -
         record["wall_s"] = round(time.time() - began, 3)
         record["peak_rss_mb"] = round(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024, 1)
         if path:
-            append_jsonl(spark, path, record)
+            folder, _, name = path.rpartition("/")
+            Store(spark, folder).record(name, **record)
 
 
 def counted(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from pathloom.functions.sequences import SEP
-from pathloom.operators.match import Automaton
+from pathloom.operators.match import PatternTrie
 
 
 @udtf(returnType="key string, n int")
@@ -33,13 +33,13 @@ class MatchPatterns:
     """Numbers of the patterns (joined keys) that the sequence holds."""
 
     def __init__(self):
-        self.key, self.auto = None, None
+        self.key, self.trie = None, None
 
     def eval(self, seq: list, patterns: list):
         key = tuple(patterns or ())
         if key != self.key:
-            self.key, self.auto = key, Automaton([tuple(p.split(SEP)) for p in key])
-        for i in sorted(self.auto.matches(seq or [])):
+            self.key, self.trie = key, PatternTrie([tuple(p.split(SEP)) for p in key])
+        for i in sorted(self.trie.matches(seq or [])):
             yield (i,)
 
 

@@ -70,9 +70,9 @@ _Q = "CAST(split_part({c}, '_', 1) AS DOUBLE)"
 _R = "CAST(split_part({c}, '_', 2) AS DOUBLE)"
 
 
-def centre(c: str) -> tuple[str, str]:
+def centre(c: str, edge: float = C.HEX_EDGE_KM) -> tuple[str, str]:
     q, r = _Q.format(c=c), _R.format(c=c)
-    e = num(C.HEX_EDGE_KM)
+    e = num(edge)
     x = f"(({q} * {num(math.sqrt(3.0))} + {r} * {num(math.sqrt(3.0) / 2.0)}) * {e})"
     y = f"({r} * 1.5e0 * {e})"
     return f"({x} / {num(geo.KM_PER_DEG * geo.COS0)} + {num(geo.LON0)})", f"({y} / {num(geo.KM_PER_DEG)} + {num(geo.LAT0)})"
@@ -120,3 +120,28 @@ def grid_stats(name: str, cell: str) -> str:
     """One row of the grid comparison, over the points table."""
     return f"""SELECT '{name}' AS grid, (SELECT count(DISTINCT id) FROM pts) AS trips, avg(kept) AS avg_cells, avg(raw / kept::DOUBLE) AS avg_ratio, (SELECT count(DISTINCT c) FROM (SELECT {cell} AS c FROM pts)) AS cells
  FROM (SELECT id, count(*) AS raw, count(*) FILTER (p IS NULL OR p <> c) AS kept FROM (SELECT id, c, lag(c) OVER (PARTITION BY id ORDER BY pos) AS p FROM (SELECT id, pos, {cell} AS c FROM pts)) GROUP BY id)"""
+
+
+def geohash_axes(lon: str, lat: str, precision: int) -> tuple[str, str]:
+    """The middle of a point's geohash cell."""
+    bits = 5 * precision
+    nx, ny = (bits + 1) // 2, bits // 2
+    x = f"least(greatest(floor(({lon} + 180e0) / 360e0 * {1 << nx}), 0), {(1 << nx) - 1})"
+    y = f"least(greatest(floor(({lat} + 90e0) / 180e0 * {1 << ny}), 0), {(1 << ny) - 1})"
+    return f"(-180e0 + ({x} + 0.5e0) / {1 << nx} * 360e0)", f"(-90e0 + ({y} + 0.5e0) / {1 << ny} * 180e0)"
+
+
+def bearing(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
+    d = f"radians({lon2} - {lon1})"
+    return f"degrees(atan2(sin({d}) * cos(radians({lat2})), cos(radians({lat1})) * sin(radians({lat2})) - sin(radians({lat1})) * cos(radians({lat2})) * cos({d})))"
+
+
+def grid_turns(name: str, cell: str, lon: str, lat: str) -> str:
+    """One row of the mean entropy of directions, over the points table; lon, lat: the middle of a point's cell."""
+    return f"""SELECT '{name}' AS grid, count(*) AS cells, avg(ent) AS entropy FROM (SELECT f, abs(log2(sum(c)) - sum(c * log2(c)) / sum(c)) AS ent FROM (SELECT f, CAST(floor((CASE WHEN d < 0 THEN d + 360 ELSE d END) / 45) AS BIGINT) AS s, CAST(count(*) AS DOUBLE) AS c
+ FROM (SELECT p AS f, {bearing('plo', 'pla', 'lo', 'la')} AS d FROM (SELECT *, lag(c) OVER w AS p, lag(lo) OVER w AS plo, lag(la) OVER w AS pla FROM (SELECT id, pos, {cell} AS c, {lon} AS lo, {lat} AS la FROM pts) WINDOW w AS (PARTITION BY id ORDER BY pos)) WHERE p IS NOT NULL AND p <> c) GROUP BY 1, 2) GROUP BY f)"""
+
+
+#: The tokens of a document: lower-cased, cut at ASCII white space.
+WORDS = """docw AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)
+, shs AS (SELECT id, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || '>' || w[i + 1])) AS sh FROM docw WHERE len(w) >= 2)"""

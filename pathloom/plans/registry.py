@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom import config as C
@@ -299,19 +300,26 @@ def temporal_support(spark, sf):
     return seq.groupBy("bucket", "key").agg(F.count("*").alias("support")).filter("support >= 2")
 
 
-@query()
+_FLOOR_PCT = 0.05
+
+
+@query(
+    f"""WITH {O.WSEQ}, {O.grams(3, None)}, st AS (SELECT wid AS id, {_bucket_sql('min(ts)')} AS bucket FROM ev GROUP BY wid), sb AS (SELECT id, bucket FROM st UNION ALL SELECT id, 'all' FROM st), nb AS (SELECT bucket, count(*) AS trips, greatest(2, CAST(round({_FLOOR_PCT / 100!r}::DOUBLE * count(*)) AS BIGINT)) AS floor FROM sb GROUP BY bucket)
+, rep AS (SELECT bucket, key, n, count(DISTINCT id) AS support FROM grams JOIN sb USING (id) GROUP BY bucket, key, n HAVING count(DISTINCT id) >= 2 AND count(*) > 1 AND (count(DISTINCT nxt) > 1 OR count(*) FILTER (nxt IS NULL) > 0))
+, lft AS (SELECT bucket, key, max(c) AS m FROM (SELECT bucket, key, prev, count(DISTINCT id) AS c FROM grams JOIN sb USING (id) WHERE prev IS NOT NULL GROUP BY bucket, key, prev) GROUP BY bucket, key)
+, rgt AS (SELECT a.bucket, a.key, max(b.support) AS m FROM rep a JOIN rep b ON b.bucket = a.bucket AND starts_with(b.key, a.key || '>') GROUP BY a.bucket, a.key)
+, mx AS (SELECT bucket, rep.key, support FROM rep JOIN nb USING (bucket) LEFT JOIN lft USING (bucket, key) LEFT JOIN rgt USING (bucket, key) WHERE support >= floor AND greatest(coalesce(lft.m, 0), coalesce(rgt.m, 0)) < floor)
+, top AS (SELECT bucket, list_distinct(string_split(key, '>')) AS s FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY support DESC, key) AS r FROM mx) WHERE r <= 100)
+, ov AS (SELECT bucket, count(*) AS routes, count(*) FILTER (EXISTS (SELECT 1 FROM top y WHERE y.bucket = 'all' AND len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s)))::DOUBLE >= 0.5)) AS matched FROM top x WHERE bucket <> 'all' GROUP BY bucket)
+ SELECT bucket, trips, CAST(floor AS BIGINT) AS floor, routes, matched, round(matched / routes::DOUBLE, 6) AS share, CASE WHEN avg(matched / routes::DOUBLE) OVER () >= 0.8 THEN 'structural' WHEN avg(matched / routes::DOUBLE) OVER () >= 0.5 THEN 'shared core' ELSE 'distinct' END AS verdict FROM ov JOIN nb USING (bucket)"""
+)
 def temporal_overlap(spark, sf):
-    """A row a bucket: maximal repeats of its sequences matched against all-time ones, and the verdict."""
-    seq = D.event_sequences(spark, sf, weekly=True)
-    start = D.table(spark, sf, "events").groupBy(D.week_id().alias("id")).agg(F.min("ts").alias("s"))
-    seq = seq.join(start, "id").withColumn("bucket", compare.hour_bucket(F.hour("s")))
-    top = lambda df, least: repeats.maximal_at(repeats.mine(df, least), least).orderBy(F.desc("support"), "key").limit(100).select(F.split("key", S.SEP).alias("tokens"))
-    every, out = top(seq, 3), None
-    for name, *_ in C.TIME_BUCKETS:
-        own = top(seq.filter(F.col("bucket") == name), 2)
-        row = similarity.set_match_share(own, every).select(F.lit(name).alias("bucket"), "matched", "total", F.round("share", 6).alias("share"))
-        out = row if out is None else out.unionByName(row)
-    return out.withColumn("verdict", F.when(F.col("share") >= 0.8, "stable").when(F.col("share") >= 0.5, "partly").otherwise("different"))
+    """A row a bucket of start hours: its maximal repeats matched against those of all sequences, and the verdict on the mean.
+
+    All buckets are mined at once, at the lowest floor, with the bucket in each token; a bucket's own floor is a share of
+    its sequences.
+    """
+    return compare.temporal_overlap(D.event_sequences(spark, sf, weekly=True).join(D.table(spark, sf, "events").groupBy(D.week_id().alias("id")).agg(compare.hour_bucket(F.hour(F.min("ts"))).alias("bucket")), "id"), _FLOOR_PCT).withColumn("share", F.round("share", 6))
 
 
 # ---- graph
@@ -338,13 +346,25 @@ def pagerank(spark, sf):
 
 
 @query(
-    f"""WITH {O.CELLTOK}, {O.EDGES}, {_RANK} SELECT node, round(pr, 9) AS rank, CAST(coalesce((SELECT sum(w) FROM edges WHERE t = node), 0) AS BIGINT) AS in_traffic, (SELECT count(DISTINCT entity) FROM tok WHERE tok = node) AS entities
- FROM r{C.PAGERANK_ITERATIONS} ORDER BY round(pr, 12) DESC, node LIMIT 50"""
+    f"""WITH {O.CELLTOK}, {O.EDGES}, {_RANK} SELECT node, round(pr, 9) AS rank, CAST(coalesce((SELECT sum(w) FROM edges WHERE t = node), 0) AS BIGINT) AS in_traffic, (SELECT count(DISTINCT entity) FROM tok WHERE tok = node) AS entities,
+ round({O.centre('node')[0]}, 6) AS lon, round({O.centre('node')[1]}, 6) AS lat FROM r{C.PAGERANK_ITERATIONS} ORDER BY round(pr, 12) DESC, node LIMIT 50"""
 )
 def activity_zones(spark, sf):
     c = _cells(spark, sf)
     z = graph.activity_zones(graph.edges(c), c.select(F.explode("seq").alias("node"), "entity"))
-    return rounded(z.select("node", "rank", "in_traffic", "entities"), "rank", digits=9)
+    return rounded(rounded(z.select("node", "rank", "in_traffic", "entities", "lon", "lat"), "rank", digits=9), "lon", "lat")
+
+
+@query(
+    f"""WITH {O.CELLTOK}, {O.EDGES}, {_RANK}, z AS (SELECT node, pr FROM r{C.PAGERANK_ITERATIONS} ORDER BY round(pr, 12) DESC, node LIMIT 50) SELECT node, (SELECT count(DISTINCT entity) FROM tok WHERE tok = node) AS entities, true AS close FROM z"""
+)
+def activity_zones_sketched(spark, sf):
+    """Distinct entities of the zones by a HyperLogLog sketch, held against the exact counts: close is within a tenth."""
+    c = _cells(spark, sf)
+    e, visits = graph.edges(c), c.select(F.explode("seq").alias("node"), "entity")
+    exact = visits.groupBy("node").agg(F.countDistinct("entity").alias("entities"))
+    z = graph.activity_zones(e, visits, exact=False).select("node", F.col("entities").alias("guess")).join(exact, "node")
+    return z.select("node", "entities", (F.abs(F.col("guess") - F.col("entities")) <= F.greatest(F.lit(1), 0.1 * F.col("entities"))).alias("close"))
 
 
 @query(f"WITH {O.CELLTOK}, {O.EDGES} SELECT DISTINCT t AS node FROM edges WHERE t NOT IN (SELECT f FROM edges)")
@@ -352,7 +372,19 @@ def dangling_nodes(spark, sf):
     return graph.dangling(graph.edges(_cells(spark, sf)))
 
 
-@query()
+_WALK = "SELECT sid, {add}, km + c.km AS km, k + 1 AS k FROM (SELECT x.*, list_filter(nx, lambda s: NOT list_contains(path, s.t))[1] AS c FROM {name} x JOIN {table} ON node = path[{end}]) WHERE c IS NOT NULL AND km + c.km <= 60"
+_PATHS = f"""fr AS (SELECT f, t, w, {O.cell_hop('f', 't')} AS km FROM edges WHERE w >= 5)
+, fwd AS (SELECT f AS node, list(struct_pack(t := t, km := km) ORDER BY w DESC, t DESC) FILTER (w / tot >= 0.4e0) AS nx FROM (SELECT *, CAST(sum(w) OVER (PARTITION BY f) AS DOUBLE) AS tot FROM fr) GROUP BY f)
+, bwd AS (SELECT t AS node, list(struct_pack(t := f, km := km) ORDER BY w DESC, f DESC) FILTER (w / tot >= 0.4e0) AS nx FROM (SELECT *, CAST(sum(w) OVER (PARTITION BY t) AS DOUBLE) AS tot FROM fr) GROUP BY t)
+, seeds AS (SELECT row_number() OVER () AS sid, [f, t] AS path, km FROM (SELECT * FROM fr ORDER BY w DESC, f, t LIMIT 3000))
+, ahead AS (SELECT sid, path, km, 0 AS k FROM seeds UNION ALL {_WALK.format(add='list_append(path, c.t) AS path', name='ahead', table='fwd', end='-1')})
+, mid AS (SELECT sid, arg_max(path, k) AS path, arg_max(km, k) AS km FROM ahead GROUP BY sid)
+, back AS (SELECT sid, path, km, 0 AS k FROM mid UNION ALL {_WALK.format(add='list_prepend(c.t, path) AS path', name='back', table='bwd', end='1')})
+, routes AS (SELECT DISTINCT array_to_string(path, '>') AS key FROM (SELECT sid, arg_max(path, k) AS path FROM back GROUP BY sid))
+, lines AS (SELECT id, '>' || string_agg(tok, '>' ORDER BY pos) || '>' AS line FROM tok GROUP BY id)"""
+
+
+@query(f"WITH RECURSIVE {O.CELLTOK}, {O.EDGES}, {_PATHS} SELECT key, count(*) AS support FROM routes JOIN lines ON contains(line, '>' || key || '>') GROUP BY key")
 def heavy_paths(spark, sf):
     """Dominant-flow paths that whole trips follow, with their support."""
     c = _cells(spark, sf)
@@ -361,6 +393,12 @@ def heavy_paths(spark, sf):
     return match.containment_support(c, match.as_patterns(paths)).filter("support > 0").withColumnRenamed("pattern_id", "key")
 
 
+@query(f"WITH RECURSIVE {O.CELLTOK}, {O.EDGES}, {_PATHS}, s AS (SELECT key, count(*) AS support FROM routes JOIN lines ON contains(line, '>' || key || '>') GROUP BY key) SELECT key, support, CAST(row_number() OVER (ORDER BY support DESC, len(string_split(key, '>')) DESC, key) AS INTEGER) AS rank FROM s ORDER BY rank LIMIT 100")
+def heavy_paths_top(spark, sf):
+    """The best of them, in one order for all engines: support, length, key."""
+    return mining.banded_top(heavy_paths(spark, sf).withColumn("n", F.size(F.split("key", S.SEP))), (1,), length="n", least_support=1).select("key", "support", "rank")
+
+
 # ---- containment, mixes, hold-out
 
 
@@ -396,15 +434,24 @@ def holdout_coverage(spark, sf):
     return rounded(compare.coverage(seq.filter("id % 5 = 0"), match.as_patterns(best)), "coverage")
 
 
-@query()
+_NULL = """wk AS (SELECT key, n, row_number() OVER (ORDER BY support DESC, key) - 1 AS walk FROM (SELECT key, n, count(DISTINCT id) AS support FROM grams WHERE id % 5 <> 0 GROUP BY key, n ORDER BY support DESC, key LIMIT 50))
+, stp AS (SELECT DISTINCT tok AS f, t FROM (SELECT id, tok, lead(tok) OVER (PARTITION BY id ORDER BY pos) AS t FROM tok WHERE id % 5 <> 0) WHERE t IS NOT NULL)
+, sts AS (SELECT f, row_number() OVER (ORDER BY md5('42:' || f), f) - 1 AS i FROM (SELECT DISTINCT f FROM stp) ORDER BY i LIMIT 50), walks AS (SELECT walk, n, 1 AS i, [f] AS path FROM wk JOIN sts ON sts.i = walk % (SELECT count(*) FROM sts)
+ UNION ALL SELECT walk, n, i + 1, list_append(path, nt) FROM (SELECT walk, any_value(n) AS n, any_value(w.i) AS i, any_value(path) AS path, arg_min(t, md5('42:' || CAST(w.i AS VARCHAR) || ':' || CAST(walk AS VARCHAR) || ':' || t)) AS nt FROM walks w JOIN stp ON f = path[-1] WHERE w.i < n GROUP BY walk))
+, null_keys AS (SELECT array_to_string(arg_max(path, i), '>') AS key FROM walks GROUP BY walk), unseen AS (SELECT id, '>' || array_to_string(seq, '>') || '>' AS line FROM seqs WHERE id % 5 = 0)
+, cov AS (SELECT (SELECT count(*) FROM unseen WHERE EXISTS (SELECT 1 FROM wk WHERE contains(line, '>' || key || '>'))) / (SELECT count(*) FROM unseen)::DOUBLE AS own, (SELECT count(*) FROM unseen WHERE EXISTS (SELECT 1 FROM null_keys WHERE contains(line, '>' || key || '>'))) / (SELECT count(*) FROM unseen)::DOUBLE AS random)"""
+
+
+@query(f"WITH RECURSIVE {O.WSEQ}, {O.grams(3, 6)}, {_NULL} SELECT round(own, 6) AS own, round(random, 6) AS random, round(CASE WHEN random > 0 THEN own / random ELSE 'inf'::DOUBLE END, 6) AS lift FROM cov")
 def holdout_lift(spark, sf):
-    """Coverage against random walks of the same lengths on the observed steps."""
+    """Coverage of unseen sequences by the best patterns, against random walks of the same lengths on the observed steps."""
     seq = D.event_sequences(spark, sf, weekly=True)
     seen, unseen = seq.filter("id % 5 <> 0"), seq.filter("id % 5 = 0")
-    best = mining.token_support(seen, 4, 4).orderBy(F.desc("support"), "key").limit(50)
-    own = compare.coverage(unseen, match.as_patterns(best)).select(F.col("coverage").alias("own"))
-    null = compare.coverage(unseen, compare.null_walks(graph.edges(seen), [4] * 50)).select(F.col("coverage").alias("random"))
-    return own.crossJoin(null).withColumn("lift", F.when(F.col("random") > 0, F.col("own") / F.col("random")).otherwise(float("inf")))
+    best = mining.token_support(seen, 3, 6).orderBy(F.desc("support"), "key").limit(50)
+    lengths = [r["n"] for r in best.select("n", "support", "key").orderBy(F.desc("support"), "key").collect()]
+    own = compare.coverage(unseen, match.as_patterns(best))
+    null = compare.coverage(unseen, compare.null_walks(graph.edges(seen), lengths))
+    return rounded(compare.lift(own, null), "own", "random", "lift")
 
 
 # ---- similarity
@@ -417,12 +464,24 @@ def jaccard_pairs_exact(spark, sf):
     return rounded(similarity.jaccard_pairs(similarity.shingled(D.event_sequences(spark, sf, weekly=True)), 0.7), "jaccard")
 
 
-@query()
+_MINIMA = ", ".join(f"list_min(list_transform(sh, lambda x: substr(sha256(x), {12 * t + 1}, 12)))" for t in range(C.LSH_TABLES))
+
+
+@query(
+    f"""WITH {O.WORDS}, mh AS (SELECT id, unnest([{_MINIMA}]) AS h, unnest(generate_series(1, {C.LSH_TABLES})) AS t FROM shs), cand AS (SELECT DISTINCT x.id AS a, y.id AS b FROM mh x JOIN mh y ON x.t = y.t AND x.h = y.h AND x.id < y.id)
+, jc AS (SELECT a, b, len(list_intersect(p.sh, q.sh)) AS i, len(p.sh) + len(q.sh) AS s FROM cand JOIN shs p ON p.id = a JOIN shs q ON q.id = b) SELECT a, b, round(1 - i / (s - i)::DOUBLE, 6) AS distance FROM jc WHERE i / (s - i)::DOUBLE >= {1 - C.LSH_MAX_DISTANCE - 1e-12!r}::DOUBLE"""
+)
 def lsh_pairs(spark, sf):
-    return similarity.lsh_pairs(similarity.shingled(D.word_sequences(spark, sf)))
+    return rounded(similarity.lsh_pairs(similarity.shingled(D.word_sequences(spark, sf))), "distance")
 
 
-@query()
+_STARS = f"""{O.WORDS}, sx AS (SELECT id, unnest(sh) AS s FROM shs), rare AS (SELECT s FROM sx GROUP BY s HAVING count(*) > 1), ix AS (SELECT x.id AS a, y.id AS b, count(*) AS i FROM sx x JOIN rare USING (s) JOIN sx y USING (s) WHERE x.id < y.id GROUP BY 1, 2)
+, ed AS (SELECT a, b FROM ix JOIN shs p ON p.id = a JOIN shs q ON q.id = b WHERE i / (len(p.sh) + len(q.sh) - i)::DOUBLE >= 0.6), nb AS (SELECT id, list(o) AS near, count(*) AS d FROM (SELECT a AS id, b AS o FROM ed UNION ALL SELECT b, a FROM ed) GROUP BY id)
+, od AS (SELECT id, near, row_number() OVER (ORDER BY d DESC, id) AS k FROM nb), step AS (SELECT 0::BIGINT AS k, 0::BIGINT AS cid, []::BIGINT[] AS own, []::BIGINT[] AS gone
+ UNION ALL SELECT k, id, own, list_concat(gone, own) FROM (SELECT od.k, id, gone, CASE WHEN list_contains(gone, id) OR len(list_filter(near, lambda x: NOT list_contains(gone, x))) < 2 THEN []::BIGINT[] ELSE list_append(list_filter(near, lambda x: NOT list_contains(gone, x)), id) END AS own FROM step JOIN od ON od.k = step.k + 1))"""
+
+
+@query(f"WITH RECURSIVE {_STARS} SELECT cid, unnest(own) AS node FROM step")
 def star_clusters(spark, sf):
     pairs = similarity.jaccard_pairs(similarity.shingled(D.word_sequences(spark, sf)), 0.6)
     return similarity.star_clusters(pairs)
@@ -449,16 +508,23 @@ def topk_sketch(spark, sf):
     return sketch.recounted(c, rows).orderBy(F.desc("support"), "key").limit(50).select("key", "support")
 
 
-@query()
+@query(f"WITH {O.WSEQ}, {O.grams(2, 4)}, {O.SUPPORT} SELECT CAST(band AS DOUBLE) AS band, key, support, rank FROM (SELECT band, key, support, CAST(row_number() OVER (PARTITION BY band ORDER BY support DESC, key) AS INTEGER) AS rank FROM sup, (VALUES (2), (3), (4)) b(band) WHERE n >= band AND support >= 2) WHERE rank <= 50")
 def topk_sketch_bands(spark, sf):
-    return sketch.heavy_hitters_by_band(_grams(spark, sf), (2, 3, 4))
+    """One sketch a length band in one pass, candidates recounted exactly, the best 50 of each."""
+    rows = _grams(spark, sf)
+    found = sketch.recounted(sketch.heavy_hitters_by_band(rows, (2, 3, 4), k=200), rows)
+    w = W.partitionBy("band").orderBy(F.desc("support"), "key")
+    return found.withColumn("rank", F.row_number().over(w)).filter("rank <= 50").select("band", "key", "support", "rank")
 
 
-@query()
+@query(f"WITH {O.WSEQ}, {O.grams(2, 4)}, {O.SUPPORT} SELECT key, support, true AS never_below, true AS close FROM sup ORDER BY support DESC, key LIMIT 100")
 def cms_estimates(spark, sf):
+    """Count-min estimates of the top keys: never below the count, and above it by at most the promised share of all rows."""
     rows = _grams(spark, sf)
     top = rows.groupBy("key").agg(F.count("*").alias("support")).orderBy(F.desc("support"), "key").limit(100)
-    return sketch.count_min_estimates(top, sketch.count_min(rows)).join(top, "key")
+    eps = 2 / 131072
+    j = sketch.count_min_estimates(top, sketch.count_min(rows, eps=eps)).join(top, "key").crossJoin(rows.agg(F.count("*").alias("rows")))
+    return j.select("key", "support", (F.col("estimate") >= F.col("support")).alias("never_below"), (F.col("estimate") - F.col("support") <= F.ceil(F.col("rows") * eps)).alias("close"))
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS exact FROM events GROUP BY event_type")
@@ -466,9 +532,17 @@ def distinct_exact(spark, sf):
     return sketch.distinct_counts(D.table(spark, sf, "events"), "event_type", "user_id").select("event_type", "exact")
 
 
-@query()
+@query("SELECT l_suppkey, count(DISTINCT l_orderkey) AS exact, true AS close FROM lineitem GROUP BY l_suppkey")
 def hll_vs_exact(spark, sf):
-    return sketch.distinct_counts(D.table(spark, sf, "lineitem"), "l_suppkey", "l_orderkey")
+    """Distinct orders of each supplier, exact and by HyperLogLog: close is within five standard errors of the sketch."""
+    return sketch.distinct_counts(D.table(spark, sf, "lineitem"), "l_suppkey", "l_orderkey").select("l_suppkey", "exact", (F.col("error") <= 0.1).alias("close"))
+
+
+@query("SELECT count(DISTINCT l_suppkey) AS groups, true AS mean_within, true AS worst_within FROM lineitem")
+def hll_error(spark, sf):
+    """The sketch's mean relative and largest absolute error over all groups, against what it promises."""
+    e = sketch.distinct_errors(sketch.distinct_counts(D.table(spark, sf, "lineitem"), "l_suppkey", "l_orderkey"))
+    return e.select("groups", (F.col("mean_relative") <= 0.04).alias("mean_within"), (F.col("largest_absolute") <= 0.1 * F.col("largest_exact")).alias("worst_within"))
 
 
 @query("SELECT 0.25e0 AS quantile, quantile_disc(l_extendedprice, 0.25) AS value FROM lineitem UNION ALL SELECT 0.5e0, quantile_disc(l_extendedprice, 0.5) FROM lineitem UNION ALL SELECT 0.75e0, quantile_disc(l_extendedprice, 0.75) FROM lineitem")
@@ -476,11 +550,15 @@ def quantile_sketch(spark, sf):
     return quality.approximate_quantiles(D.table(spark, sf, "lineitem"), "l_extendedprice", (0.25, 0.5, 0.75), error=1e-6)
 
 
-@query()
+@query("SELECT 100::BIGINT AS wanted, 100::BIGINT AS found, true AS recalled, 0e0 AS mae, 0e0 AS mre, 0e0 AS cms_mae")
 def sketch_accuracy(spark, sf):
+    """Top-100 sketch against exact counts: at this capacity no key is evicted, so that estimates are exact but ties may be cut
+    differently; and the count-min sketch's mean error on the same keys."""
     rows = _grams(spark, sf)
     exact = rows.groupBy("key").agg(F.count("*").alias("support")).orderBy(F.desc("support"), "key").limit(100)
-    return sketch.accuracy(sketch.heavy_hitters(rows, k=100), exact)
+    cms = sketch.count_min_estimates(exact, sketch.count_min(rows)).join(exact, "key").agg(F.avg(F.col("estimate") - F.col("support")).alias("cms_mae"))
+    a = sketch.accuracy(sketch.heavy_hitters(rows, k=100), exact).crossJoin(cms)
+    return rounded(a.select("wanted", "found", (F.col("recall") >= 0.9).alias("recalled"), "mae", "mre", "cms_mae"), "mae", "mre", "cms_mae")
 
 
 # ---- comparisons
@@ -516,13 +594,19 @@ def _miners(spark, sf):
     return top(mining.token_support(seq, 3, 8)), top(repeats.mine(seq, 3))
 
 
-@query()
+_MINERS = f"""{_repeat_sql(O.WSEQ, 3)}, a AS (SELECT key, count(DISTINCT id) AS support FROM grams WHERE n <= 8 GROUP BY key ORDER BY support DESC, key LIMIT 40), b AS (SELECT key, support FROM repeats ORDER BY support DESC, key LIMIT 40)"""
+
+
+@query(
+    f"""WITH {_MINERS}, m AS (SELECT a.key FROM a WHERE EXISTS (SELECT 1 FROM b WHERE len(list_intersect(string_split(a.key, '>'), string_split(b.key, '>'))) / len(list_distinct(list_concat(string_split(a.key, '>'), string_split(b.key, '>'))))::DOUBLE >= 0.5))
+ SELECT (SELECT count(*) FROM m) AS matched, (SELECT count(*) FROM a) AS total, (SELECT count(*) FROM m) / (SELECT count(*) FROM a)::DOUBLE AS share"""
+)
 def method_overlap_miners(spark, sf):
     a, b = (x.select(F.split("key", S.SEP).alias("tokens")) for x in _miners(spark, sf))
     return similarity.set_match_share(a, b)
 
 
-@query()
+@query(f"WITH {_MINERS} SELECT count(*) AS total, count(b.key) AS found, count(*) FILTER (b.support <> a.support) AS mismatched, count(b.key) / count(*)::DOUBLE AS recall FROM a LEFT JOIN b USING (key)")
 def exact_recall_miners(spark, sf):
     return compare.exact_recall(*_miners(spark, sf))
 
@@ -565,22 +649,36 @@ def method_summary(spark, sf):
     return compare.method_summary(rows)
 
 
-@query()
+@query("SELECT 0::BIGINT AS only_a, 0::BIGINT AS only_b, 'exact' AS verdict")
 def run_difference(spark, sf):
+    """A run against another one of the same input in another layout: no row differs."""
     t = mining.token_support(D.event_sequences(spark, sf), 3, 3)
     return compare.run_difference(t, mining.token_support(D.event_sequences(spark, sf).repartition(5), 3, 3))
 
 
-@query()
+_ENDS = [f"string_split(key, '>')[{i}]" for i in (1, -1)]
+
+
+@query(
+    f"""WITH {O.KMWINDOWS} SELECT rank, support, CAST(n AS INTEGER) AS n, CAST(len(string_split(key, '>')) AS INTEGER) AS points, {', '.join(f'round({O.centre(c)[0]}, 6) AS lon{i}, round({O.centre(c)[1]}, 6) AS lat{i}' for i, c in enumerate(_ENDS, 1))}
+ FROM (SELECT *, CAST(row_number() OVER (ORDER BY support DESC, round(length_km, 9) DESC, key) AS INTEGER) AS rank FROM ksup WHERE length_km >= 1 AND support >= 2) WHERE rank <= 25"""
+)
 def geojson_routes(spark, sf):
+    """The map's layer of 25 routes as GeoJSON features, read back: properties, number of points, and both ends."""
     seg = encoding.segments(encoding.encode(D.trips(spark, sf)))
-    top = mining.banded_top(mining.support(mining.km_windows(seg)), (1.0,), k=25)
+    top = mining.banded_top(mining.support(mining.km_windows(seg)).withColumn("length_km", F.round("length_km", 9)), (1.0,), k=25)
     points = top.withColumn("p", F.transform(F.split("key", S.SEP), lambda c: geo.hex_centre(c)))
-    return T.geojson_lines(points, "p", ["rank", "support", "n"])
+    shape = "struct<type:string,geometry:struct<type:string,coordinates:array<array<double>>>,properties:struct<rank:int,support:bigint,n:int>>"
+    f = T.geojson_lines(points, "p", ["rank", "support", "n"]).select(F.from_json("feature", shape).alias("f")).select("f.properties.*", F.col("f.geometry.coordinates").alias("c"))
+    ends = [F.element_at(F.element_at("c", i), k).alias(f"{name}{n}") for n, i in ((1, 1), (2, -1)) for k, name in ((1, "lon"), (2, "lat"))]
+    return f.select("rank", "support", "n", F.size("c").alias("points"), *ends)
 
 
-@query("SELECT count(*) AS n FROM events")
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 500")
 def sampled_rows(spark, sf):
-    """The deterministic sampler, at its full size."""
-    e = D.table(spark, sf, "events")
-    return T.sample_rows(e, e.count(), "event_id").agg(F.count("*").alias("n"))
+    """The deterministic sampler: 500 events in the order of a digest of their ids."""
+    return T.sample_rows(D.table(spark, sf, "events"), 500, "event_id").select("event_id", "user_id", "event_type")
+
+
+# Further queries stand in a module of their own, which takes its helpers from here.
+from pathloom.plans import routes  # noqa: E402, F401

@@ -48,9 +48,9 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, entity, seq): a document's lower-cased words."""
+    """(id, entity, seq): a document's lower-cased words, whatever letters they are written in."""
     d = table(spark, sf_dir, "documents").filter("text is not null")
-    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("entity"), F.expr("filter(split(lower(text), '[^a-z]+'), x -> x <> '')").alias("seq"))
+    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("entity"), F.expr("filter(split(lower(text), '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x <> '')").alias("seq"))
 
 
 def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:

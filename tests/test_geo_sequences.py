@@ -124,4 +124,5 @@ def test_sampling_phase_does_not_change_the_filled_cells(spark):
         return F.transform(geo.densify(p, geo.cell_step_km() / 8, C.MAX_HOP_KM), lambda x: geo.hex_cell(x["lon"], x["lat"]))
 
     a, b = one(spark, S.compact(cells(pts(*line[0::6])))), one(spark, S.compact(cells(pts(*line[2::6]))))
-    assert set(b) <= set(a) | set(b) and len(set(a) ^ set(b)) <= 2
+    # The two samplings begin and end at different points of one line: all cells between those are the same, in the same order.
+    assert len(b) > 5 and a[: len(b) + 1][1:] == b[: len(b)] or a[: len(b)] == b

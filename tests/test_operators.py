@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pathloom import config as C
 from pathloom.operators import compare, graph, match, mining, quality, repeats, similarity, sketch
 from pathloom.sources import trips as T
+from pathloom.sources.store import Store
 
 
 def corpus(spark, seqs, entity=None):
@@ -75,13 +76,10 @@ def brute_intervals(strings):
 
 
 @pytest.mark.parametrize("strings", [["aa", "aa"], ["aaaa", "aaab", "aab"], ["abc"], ["abc", "abd", "bcd"], ["a", "ab", "abc"], ["abab", "ab", "ba", "bab"], ["x", "y"], []])
-def test_lcp_intervals(strings):
+def test_branching_repeats_are_the_intervals_of_sorted_suffixes(strings):
+    got = repeats.mine_bucket([(i, i, None, list(s)) for i, s in enumerate(strings)], 2, 1)
     s = sorted(strings)
-    lcp = [0] * len(s)
-    for i in range(1, len(s)):
-        while lcp[i] < min(len(s[i - 1]), len(s[i])) and s[i - 1][lcp[i]] == s[i][lcp[i]]:
-            lcp[i] += 1
-    assert set(repeats.lcp_intervals(lcp, len(s))) == brute_intervals(strings)
+    assert sorted((len(k.split(">")), n, "".join(k.split(">"))) for k, n, *_ in got) == sorted((h, r - l + 1, s[l][:h]) for h, l, r in brute_intervals(strings))
 
 
 def brute_repeats(seqs, least, depth=3):
@@ -127,7 +125,7 @@ def test_automaton_equals_brute_force():
         pats = [tuple(r.choice("abcde") for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 5))]
         text = [r.choice("abcde") for _ in range(r.randint(0, 15))]
         want = {i for i, p in enumerate(pats) if any(tuple(text[a : a + len(p)]) == p for a in range(len(text)))}
-        assert match.Automaton(pats).matches(text) == want
+        assert match.PatternTrie(pats).matches(text) == want
 
 
 def test_containment_support(spark):
@@ -138,7 +136,6 @@ def test_containment_support(spark):
 
 @pytest.mark.parametrize("edges,want", [([(0, 1), (0, 2), (0, 3)], [[0, 1, 2, 3]]), ([(0, 1), (1, 2), (2, 3), (3, 4)], [[1, 0, 2]]), ([(0, 1)], [])])
 def test_star_clusters(spark, edges, want):
-    assert similarity.star_cluster(edges, 3) == want
     df = spark.createDataFrame([(a, b) for a, b in edges], "a long, b long")
     got = defaultdict(set)
     for r in similarity.star_clusters(df).collect():
@@ -146,6 +143,65 @@ def test_star_clusters(spark, edges, want):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
 
 
+def brute_stars(edges, least):
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    gone, out = set(), {}
+    for v in sorted(near, key=lambda x: (-len(near[x]), x)):
+        own = {v} | (near[v] - gone)
+        if v not in gone and len(own) >= least:
+            out[v] = own
+            gone |= own
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_star_clusters_equal_brute_force(spark, seed, kind):
+    r = random.Random(seed)
+    edges = {tuple(sorted(r.sample(range(40), 2))) for _ in range(55)}
+    edges = [(f"n{a:02d}", f"n{b:02d}") if kind == "string" else (a, b) for a, b in edges]
+    got = defaultdict(set)
+    for x in similarity.star_clusters(spark.createDataFrame(edges, f"a {kind}, b {kind}")).collect():
+        got[x["cid"]].add(x["node"])
+    assert got == brute_stars(edges, 3)
+
+
+def brute_longest(members, least):
+    held = defaultdict(set)
+    for i, m in enumerate(members):
+        for s in m:
+            for a in range(len(s)):
+                for b in range(a + 1, len(s) + 1):
+                    held[tuple(s[a:b])].add(i)
+    good = [(-len(k), -len(v), k) for k, v in held.items() if len(v) >= least]
+    return min(good)[2] if good else ()
+
+
+def test_longest_shared_run_equals_brute_force():
+    r = random.Random(3)
+    for _ in range(300):
+        members = [[[r.choice("abc") for _ in range(r.randint(0, 9))] for _ in range(r.randint(1, 3))] for _ in range(r.randint(1, 5))]
+        least = r.randint(1, 3)
+        assert similarity.longest_shared_run(members, least) == brute_longest(members, least)
+
+
+def test_lsh_pairs_are_those_that_share_a_bucket(spark):
+    import hashlib
+
+    r = random.Random(4)
+    sets = {i: {r.choice("abcdefghijkl") for _ in range(r.randint(1, 9))} for i in range(40)}
+    sets |= {100 + i: set(sets[i % 4]) for i in range(12)}
+    hashes = {i: [min(hashlib.sha256(x.encode()).hexdigest()[12 * t : 12 * t + 12] for x in s) for t in range(5)] for i, s in sets.items()}
+    jac = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = {(a, b): 1 - jac(a, b) for a in sets for b in sets if a < b and jac(a, b) >= 0.7 and any(x == y for x, y in zip(hashes[a], hashes[b]))}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, sh array<string>")
+    got = {(x["a"], x["b"]): x["distance"] for x in similarity.lsh_pairs(df).collect()}
+    assert set(got) == set(want) and got == pytest.approx(want)
+
+
 def test_shared_runs_count_members_not_segments(spark):
     one_trip = [["a", "b", "c"], ["a", "b", "c"], ["a", "b", "c"]]
     assert similarity.longest_shared_run([one_trip], 2) == ()
@@ -178,6 +234,40 @@ def test_heavy_paths_follow_the_flow(spark):
     assert "z>a>b>c>d" in keys and not any("q" in k for k in keys)
 
 
+def brute_paths(edges, least_w, seeds, least_share, most):
+    """The rule, edge by edge."""
+    e = {(f, t): (w, km) for f, t, w, km in edges if w >= least_w}
+    out = set()
+    for f, t in [k for k, _ in sorted(e.items(), key=lambda x: (-x[1][0], x[0]))][:seeds]:
+        path, km = [f, t], e[f, t][1]
+        for ahead in (True, False):
+            while True:
+                end = path[-1] if ahead else path[0]
+                ways = {k: v for k, v in e.items() if k[0 if ahead else 1] == end}
+                new = [(v[0], k[1 if ahead else 0], v[1]) for k, v in ways.items() if k[1 if ahead else 0] not in path]
+                if not new or max(new)[0] < least_share * sum(v[0] for v in ways.values()) or km + max(new)[2] > most:
+                    break
+                km += max(new)[2]
+                path = [*path, max(new)[1]] if ahead else [max(new)[1], *path]
+        out.add(">".join(path))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_heavy_paths_equal_brute_force(spark, seed):
+    r = random.Random(seed)
+    edges = {(f, t): (r.randint(3, 30), float(r.randint(1, 4))) for f in "abcdefgh" for t in "abcdefgh" if f != t and r.random() < 0.35}
+    rows = [(f, t, w, km) for (f, t), (w, km) in edges.items()]
+    got = graph.heavy_paths(spark.createDataFrame(rows, "f string, t string, w long, km double"), 5, 20, 0.4, 12.0).collect()
+    assert {x["key"] for x in got} == brute_paths(rows, 5, 20, 0.4, 12.0) and all(x["n"] == x["key"].count(">") + 1 for x in got)
+
+
+def test_neighbours_of_a_route(spark):
+    c = corpus(spark, [["x", "a", "b", "y", "a", "b"], ["a", "b", "c"], ["z", "a", "b"], ["aa", "b"]])
+    routes = spark.createDataFrame([("a>b",)], "key string")
+    assert {(r["id"], r["before"], r["after"]) for r in match.neighbours(c, routes).collect()} == {(0, "x", "y"), (1, None, "c"), (2, "z", None)}
+
+
 def test_sketches(spark):
     rows = spark.createDataFrame([(f"k{i % 7 * (i % 3)}", i % 3 + 1) for i in range(2000)], "key string, n int")
     exact = rows.groupBy("key").agg(F.count("*").alias("support"))
@@ -186,6 +276,12 @@ def test_sketches(spark):
         assert r["estimate"] == r["support"]
     est = sketch.count_min_estimates(exact, sketch.count_min(rows)).join(exact, "key").collect()
     assert all(r["estimate"] >= r["support"] for r in est)
+    # A narrow sketch, where rows collide: the same estimates as Spark's own.
+    words = spark.createDataFrame([(f"key {i * 7919 % 400} é",) for i in range(3000)], "key string")
+    narrow = sketch.count_min(words, eps=0.05)
+    jvm = spark.sparkContext._jvm.org.apache.spark.util.sketch.CountMinSketch.readFrom(bytearray(narrow))
+    got = sketch.count_min_estimates(words.distinct(), narrow).collect()
+    assert len(got) == 400 and all(r["estimate"] == jvm.estimateCount(r["key"]) for r in got)
     assert sketch.accuracy(top, exact.orderBy(F.desc("support"), "key").limit(5)).first()["recall"] == 1.0
 
 
@@ -234,12 +330,33 @@ def test_paths_and_scales():
 
 @pytest.mark.parametrize("text", ["plain", "áé → ü", "", "x" * 50_000, "line\n"])
 def test_small_files(spark, tmp_path, text):
-    p = f"file://{tmp_path}/a/b.txt"
-    T.write_text(spark, p, text)
-    assert T.exists(spark, p) and T.read_text(spark, p) == text
-    T.append_jsonl(spark, f"file://{tmp_path}/l.jsonl", {"a": 1})
-    T.append_jsonl(spark, f"file://{tmp_path}/l.jsonl", {"a": 2})
-    assert T.read_text(spark, f"file://{tmp_path}/l.jsonl").count("\n") == 2
+    store = Store(spark, f"file://{tmp_path}")
+    assert "a/b.txt" not in store
+    store["a/b.txt"] = text
+    assert "a/b.txt" in store and store["a/b.txt"] == text
+    store["lines"] = ["x", text.replace("\n", "")]
+    assert store["lines"] == "x\n" + text.replace("\n", "") + "\n"
+    store.record("l.jsonl", a=1)
+    store.record("l.jsonl", a=2)
+    assert store["l.jsonl"] == '{"a": 1}\n{"a": 2}\n'
+
+
+def test_result_tables_are_typed_and_may_be_missing(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    schema = "subroute string, length_km double"
+    assert store.rows("none", schema).count() == 0
+    store.put_rows("routes", spark.createDataFrame([("a>b", 1.5), ("a>b", 1.5), ("c>d", 0.5)], schema))
+    got = store.rows("routes", schema)
+    assert got.dtypes == [("subroute", "string"), ("length_km", "double")]
+    assert [r["subroute"] for r in T.distinct_routes(got, 1.0).collect()] == ["a>b"]
+
+
+def test_raw_trips_survive_csv(spark, tmp_path):
+    raw = spark.createDataFrame([("1", "A", 20, 1372636858, "False", "[[-8.6,41.15],[-8.61,41.16]]"), ("2", "B", 21, 1372636859, "True", "[]")], "TRIP_ID string, CALL_TYPE string, TAXI_ID long, TIMESTAMP long, MISSING_DATA string, POLYLINE string")
+    T.write_sample_csv(raw, f"file://{tmp_path}/csv", 2)
+    back = T.read_raw(spark, f"file://{tmp_path}/csv")
+    assert back.columns == T.RAW_SCHEMA.names and sorted(map(tuple, back.select(raw.columns).collect())) == sorted(map(tuple, raw.collect()))
+    assert back.filter("ORIGIN_CALL is null and DAY_TYPE is null").count() == 2
 
 
 def test_sampling_does_not_depend_on_layout(spark):
