@@ -12,8 +12,10 @@ SEP = ">"
 
 
 def compact(seq: Column) -> Column:
-    """Drops consecutive repeats; later revisits stay."""
-    return F.filter(seq, lambda x, i: (i == 0) | (x != F.get(seq, i - 1)))
+    """Drops consecutive repeats; later revisits stay.  No lambda refers to seq: it is worked out once a row, not once an element."""
+    before = F.slice(F.concat(F.array(F.lit(None)), seq), F.lit(1), F.size(seq))
+    pairs = F.zip_with(seq, before, lambda x, p: F.struct(x.alias("x"), p.alias("p")))
+    return F.transform(F.filter(pairs, lambda s: s["p"].isNull() | (s["x"] != s["p"])), lambda s: s["x"])
 
 
 def _pairs(seq: Column, f) -> Column:
@@ -40,8 +42,10 @@ def split_at_gaps(cells: Column, hops: Column, max_hop_km: float) -> Column:
 
 
 def revisits_ok(cells: Column, most: int = MAX_CELL_REVISITS) -> Column:
-    """No cell is entered more than `most` times; true for an empty sequence."""
-    return F.forall(F.array_distinct(cells), lambda c: F.size(F.filter(cells, lambda x: x == c)) <= most)
+    """No cell is entered more than `most` times; true for an empty sequence.  In sorted order, no cell equals the one `most` places on."""
+    n, order = F.size(cells) - most, F.array_sort(cells)
+    apart = F.zip_with(F.slice(order, F.lit(1), F.greatest(n, F.lit(0))), F.slice(order, F.lit(most + 1), F.greatest(n, F.lit(0))), lambda a, b: a == b)
+    return ~F.exists(apart, lambda same: same)
 
 
 def ngrams(seq: Column, n: int) -> Column:

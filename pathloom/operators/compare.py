@@ -155,16 +155,15 @@ def temporal_overlap(sequences: DataFrame, floor_pct: float = 0.05, top: int = 1
     """
     from pathloom.operators import repeats
     from pathloom.operators.similarity import set_match_share
-    from pathloom.sources.store import checkpoints
+    from pathloom.sources.store import kept
 
-    checkpoints(sequences.sparkSession)
     every = sequences.select("id", "entity", "seq", F.explode(F.array(F.lit("all"), F.col("bucket"))).alias("bucket")).filter("bucket is not null")
     floors = every.groupBy("bucket").agg(F.count("*").alias("trips")).withColumn("floor", F.greatest(F.lit(2), F.round(F.col("trips") * (floor_pct / 100)).cast("long")))
     tagged = every.select("id", "entity", F.transform("seq", lambda x: F.concat("bucket", F.lit("|"), x)).alias("seq"))
     mined = repeats.mine(tagged, 2).select(F.split_part("key", F.lit("|"), F.lit(1)).alias("bucket"), F.split(F.regexp_replace("key", r"[^>|]*\|", ""), ">").alias("tokens"), "support", F.greatest("best_right", "best_left").alias("best"))
     good = mined.join(F.broadcast(floors), "bucket").filter((F.col("support") >= F.col("floor")) & (F.col("best") < F.col("floor")))
     w = W.partitionBy("bucket").orderBy(F.desc("support"), F.array_join("tokens", ">"))
-    best = good.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).select("bucket", "tokens").checkpoint()
+    best = kept(good.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).select("bucket", "tokens"))
     own = set_match_share(best.filter("bucket <> 'all'"), best.filter("bucket = 'all'").select("tokens"), by=("bucket",))
     mean = F.avg("share").over(W.partitionBy())  # a row a bucket
     verdict = F.when(mean >= 0.8, "structural").when(mean >= 0.5, "shared core").otherwise("distinct")

@@ -44,7 +44,8 @@ def exact_top(segments: DataFrame, n_trips: int, limit: int = C.EXACT_MAX_TRIPS)
     """Banded top-k by exhaustive windows; refuses more trips than the limit, where windows outgrow the input by far."""
     if n_trips > limit:
         raise C.LimitExceeded(f"{n_trips} trips; exhaustive windows are meant for {limit}: use suffix repeats")
-    return banded_top(support(km_windows(segments)).filter("not truncated"))
+    # Lengths are sums, in whatever order: ties are told apart at a millionth of a metre.
+    return banded_top(support(km_windows(segments)).filter("not truncated").withColumn("length_km", F.round("length_km", 9)))
 
 
 def extensions(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pathloom import config as C
 from pathloom.functions import geo
 from pathloom.functions import sequences as S
-from pathloom.sources.store import checkpoints
+from pathloom.sources.store import kept
 
 SCHEMA = "key string, support long, support_entities long, n int, best_right long, best_left long"
 
@@ -137,15 +137,14 @@ def mine(corpus: DataFrame, least: int, prefix: int = C.SUFFIX_PREFIX_CELLS, mos
 
     trips: tokens are cells, and only repeats that trip_guard keeps count.  Buckets above bucket_limit suffixes are dealt by
     one token more until they fit (or suffixes end); the repeats of exactly the old depth there come from counting, so
-    nothing is cut.  Each depth's suffixes are checkpointed, and crowded buckets are joined by name, however many they are.
+    nothing is cut.  Each depth's suffixes are kept in the shared folder, and crowded buckets are joined by name, however many they are.
     """
-    checkpoints(corpus.sparkSession)
     rows = suffix_rows(corpus, prefix, most)
     out, depth = None, prefix
     while True:
         # Buckets with fewer suffixes than sequences asked for hold no repeat: most buckets of a large alphabet.
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("c")).filter(F.col("c") >= least)
-        rows = rows.join(sizes, "bucket").checkpoint()
+        rows = kept(rows.join(sizes, "bucket"))
         crowd = F.col("c") > bucket_limit
         again = depth < most and not rows.filter(crowd).isEmpty()
         fits = (rows.filter(~crowd) if again else rows).select("id", "entity", "bucket", "prev", "suffix")

@@ -12,7 +12,7 @@ from pathloom.plans import oracle as O
 from pathloom.plans.registry import _PARSED, _cells, _repeat_sql, query, rounded
 from pathloom.sources import derived as D
 from pathloom.sources import trips as T
-from pathloom.sources.store import Store, scratch
+from pathloom.sources.store import Store, kept, scratch
 
 
 def _segments(spark, sf):
@@ -191,7 +191,7 @@ def sketch_km_top(spark, sf):
 @query(f"WITH {O.KMWINDOWS} SELECT key, support, rank FROM (SELECT *, CAST(row_number() OVER (ORDER BY support DESC, round(length_km, 9) DESC, key) AS INTEGER) AS rank FROM ksup WHERE length_km >= 1 AND support >= 2 AND NOT truncated) WHERE rank <= 100")
 def exact_top_guarded(spark, sf):
     """Exhaustive windows behind their guard: refused where there are more trips than they are meant for."""
-    seg = _segments(spark, sf).checkpoint() if spark.sparkContext.getCheckpointDir() else _segments(spark, sf)
+    seg = kept(_segments(spark, sf))
     top = mining.exact_top(seg, seg.select("id").distinct().count())
     return top.filter("band = 1.0").select("key", "support", "rank")
 
@@ -221,7 +221,7 @@ def corridors(spark, sf):
 @query()
 def cap_experiment(spark, sf):
     """Corridors of smaller samples against those of all trips: partners by tokens, the same key, and supports that differ (none may)."""
-    enc = encoding.encode(D.trips(spark, sf)).select("id", "entity", "cells").checkpoint() if spark.sparkContext.getCheckpointDir() else encoding.encode(D.trips(spark, sf)).select("id", "entity", "cells")
+    enc = kept(encoding.encode(D.trips(spark, sf)).select("id", "entity", "cells"))
     n = enc.count()
     caps = sorted({max(1, n // 4), max(1, n // 2), n})
     found = {cap: similarity.corridors(enc, cap) for cap in caps}

@@ -5,6 +5,7 @@ A Store is a folder, local or remote, whose small files are read and written who
 
 from __future__ import annotations
 
+import atexit
 import json
 import uuid
 
@@ -32,6 +33,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table beside the checkpoints: its lineage ends there, as with checkpoint(), but it is worked out
+    once, not once to count and once to write.  Tables go when the interpreter ends."""
+    spark = df.sparkSession
+    path = scratch(spark, "kept")
+    df.write.parquet(path)
+    atexit.register(_forget, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session has ended: the folder's owner clears it
+        pass
+
+
 class Store:
     """The small files below one folder.  Names may hold slashes; folders on the way are made."""
 

@@ -384,3 +384,82 @@ def test_miners_are_compared_over_all_sequences(spark):
     got = registry.QUERIES["exact_recall_miners"](spark, sf).first()
     assert (got["total"], got["found"], got["mismatched"]) == (40, len(set(mined) & {k for _, k in best}), 0)
     assert registry.QUERIES["method_overlap_miners"](spark, sf).first()["total"] == 40
+
+
+def _line(q, r, n, dq=1, dr=0):
+    return [f"{q + i * dq}_{r + i * dr}" for i in range(n)]
+
+
+def test_planted_corridors_are_found_once_and_without_gaps(spark):
+    """Twenty and twelve trips over two corridors of their own, and a trip whose cells jump over a gap in the first one."""
+    a, b = _line(0, 0, 12), _line(0, 40, 9)
+    seqs = [[f"{100 + i}_{200 + i}"] + a + [f"{300 + i}_{i}"] for i in range(20)]
+    seqs = [x[1:-1] if i % 2 else x for i, x in enumerate(seqs)] + [list(b) for _ in range(12)] + [a[:5] + _line(60, 0, 5) + a[5:]]
+    rows = spark.createDataFrame([(i, i % 7, s) for i, s in enumerate(seqs)], "id long, entity long, cells array<string>")
+    got = {r["key"]: r for r in similarity.corridors(rows).collect()}
+    assert set(got) == {">".join(a), ">".join(b)}
+    assert got[">".join(a)]["support"] == 20 and got[">".join(b)]["support"] == got[">".join(b)]["members"] == 12
+    assert got[">".join(a)]["n"] == 12 and got[">".join(a)]["length_km"] == pytest.approx(11 * 3**0.5 * C.HEX_EDGE_KM, rel=0.01)
+    assert similarity.corridors(rows.filter("id in (0, 30)")).count() == 0
+    # A smaller sample counts support over all trips.
+    some = similarity.corridors(rows, cap=16).collect()
+    assert all(r["support"] == got[r["key"]]["support"] for r in some if r["key"] in got)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_trip_repeats_keep_length_and_revisits(spark, seed):
+    r = random.Random(seed)
+    seqs = []
+    for _ in range(25):
+        at = [0, 0]
+        s = ["0_0"]
+        for _ in range(r.randint(2, 14)):
+            at[r.randint(0, 1)] += r.choice((-1, 1))
+            s.append(f"{at[0]}_{at[1]}")
+        seqs.append(s)
+    keep = repeats.trip_guard()
+    every = repeats.mine(corpus(spark, seqs), 2).collect()
+    want = {x["key"]: (x["support"], x["best_left"]) for x in every if keep(x["key"].split(">"))}
+    for limit in (200_000, 5):
+        got = repeats.mine(corpus(spark, seqs), 2, trips=True, bucket_limit=limit).collect()
+        assert {x["key"]: (x["support"], x["best_left"]) for x in got} == want and want
+        if limit > 5:
+            assert all(x["best_right"] == max((s for k, (s, _) in want.items() if k.startswith(x["key"] + ">")), default=0) for x in got)
+
+
+def test_run_tiers(spark):
+    cols = "key string, support long, n int, length_km double"
+    base = spark.createDataFrame([("a>b", 100, 2, 1.0), ("b>c", 50, 2, 1.0), ("x>y", 10, 2, 1.0)], cols)
+    run = spark.createDataFrame([("a>b", 100, 2, 1.0), ("b>c", 49, 2, 5.0), ("p>q", 10, 2, None)], cols)
+    got = {(r["tier"], r["name"]): (r["ok"], r["differing"]) for r in compare.run_tiers(run, base).collect()}
+    assert got == {("exact", "keys"): (False, 2), ("exact", "support"): (False, 1), ("close", "support"): (False, 1), ("loose", "partners"): (True, 1), ("sane", "lengths"): (False, 1), ("sane", "hops"): (False, 1)}
+    assert all(r["ok"] for r in compare.run_tiers(base, base).collect())
+
+
+def test_null_walks_follow_observed_steps(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "f string, t string")
+    got = compare.null_walks(e, [3, 5, 2, 4]).collect()
+    steps = {("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")}
+    assert len(got) == 4 and all(set(zip(r["tokens"], r["tokens"][1:])) <= steps for r in got)
+    assert all(len(r["tokens"]) == n or r["tokens"][-1] == "d" for r, n in zip(sorted(got, key=lambda r: int(r["pattern_id"])), [3, 5, 2, 4]))
+    assert sorted(map(str, compare.null_walks(e.repartition(5), [3, 5, 2, 4]).collect())) == sorted(map(str, got))
+
+
+def test_geohash_centres_lie_in_their_cells(spark):
+    df = spark.createDataFrame([(-8.62, 41.15), (10.4, 57.6), (-179.9, -89.9), (0.0, 0.0)], "lon double, lat double")
+    from pathloom.functions import geo
+
+    for p in (1, 5, 6, 9):
+        cell = geo.geohash(F.col("lon"), F.col("lat"), p)
+        c = geo.geohash_centre(cell)
+        for r in df.select("lon", "lat", cell.alias("c"), c["lon"].alias("x"), c["lat"].alias("y"), geo.geohash(c["lon"], c["lat"], p).alias("again")).collect():
+            assert r["again"] == r["c"] and abs(r["x"] - r["lon"]) <= 360 / 2 ** ((5 * p + 1) // 2) and abs(r["y"] - r["lat"]) <= 180 / 2 ** (5 * p // 2)
+
+
+def test_leaks_and_drops(spark):
+    from pathloom.operators import encoding
+
+    feats = spark.createDataFrame([(1, True, False), (2, False, False), (3, None, None), (4, False, True)], "id long, is_teleport boolean, is_idle boolean")
+    feats = feats.selectExpr("*", "false AS is_too_fast", "false AS is_too_short", "false AS is_offgrid").withColumn("is_anomalous", F.col("is_teleport") | F.col("is_idle"))
+    assert encoding.drops(feats).first().asDict() == {"trips": 4, "is_teleport": 1, "is_idle": 1, "is_too_fast": 0, "is_too_short": 0, "is_offgrid": 0, "encoded": 2}
+    assert encoding.leaked(feats.select("id").filter("id < 4"), feats).first().asDict() == {"encoded": 3, "leaked": 1}
