@@ -243,7 +243,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     order = W.partitionBy("_l").orderBy(F.xxhash64("_id"), "_id")
     few = known.select("_id", "_l").distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= DOCS)
     few = docs.sparkSession.createDataFrame(few.collect(), few.schema)
-    rows = known.select("_id", "_l", passages(F.col("_t"), LONGEST).alias("t")).join(F.broadcast(few), ["_id", "_l"]).groupBy("_l", "_r").agg(F.min("t").alias("t"))
+    rows = known.join(F.broadcast(few), ["_id", "_l"]).select("_l", "_r", passages(F.col("_t"), LONGEST).alias("t")).groupBy("_l", "_r").agg(F.min("t").alias("t"))
     rows = rows.orderBy("_l", "_r").collect()
     room = max(LEAST, min(EACH, TOTAL // max(1, len({r["_l"] for r in rows}))))
     out: dict[str, list[str]] = {}
