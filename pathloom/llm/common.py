@@ -9,6 +9,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ BROADCAST_BYTES = 8 << 20
 #: Rows of one key up to which no join deals them out.
 LEAST_HOT = 64
 _own_dir: list[str] = []
-_scopes: list[list[str]] = []
+_scopes: list[list[str | DataFrame]] = []
 
 
 def lower_ascii(c: Column) -> Column:
@@ -81,15 +82,28 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """The frame kept on the executors' disks until its scope ends, for tables that several plans read and that follow from saved
+    ones by few steps: what a lost executor held is worked out again from those.  Its rows must not depend on their order, and
+    held tables should not stand on many others: plans hold all that they stand on."""
+    out = df.persist(StorageLevel.DISK_ONLY)
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
+
+
 @contextlib.contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """Saved tables made inside are deleted at its end.  What is to outlive it must be saved after it, or written elsewhere."""
+    """Saved and held tables made inside go at its end.  What is to outlive it must be saved after it, or written elsewhere."""
     _scopes.append([])
     try:
         yield
     finally:
-        for path in _scopes.pop():
-            _forget(spark, path)
+        for made in _scopes.pop():
+            if isinstance(made, str):
+                _forget(spark, made)
+            else:
+                made.unpersist()
 
 
 def settled(df: DataFrame, make) -> DataFrame:
@@ -116,7 +130,7 @@ def is_small(df: DataFrame) -> bool:
 
 
 def with_ids(rows: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi") -> DataFrame:
-    """rows that are (left_semi) or are not (left_anti) among ids, which must be saved and distinct.  The ids are
+    """rows that are (left_semi) or are not (left_anti) among ids, which must be saved or held, and distinct.  The ids are
     broadcast only if they are measured to be small; else both sides are shuffled."""
     return rows.join(F.broadcast(ids) if is_small(ids) else ids, id_col, how)
 
@@ -124,7 +138,7 @@ def with_ids(rows: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi
 def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame | None:
     """(keys, _k) of the keys that hold more than half of what one task gets on average, and how many parts to deal each into.
 
-    counts: saved, one row a key with its number of rows.  There can be at most two such keys a shuffle partition, so that
+    counts: saved or held, one row a key with its number of rows.  There can be at most two such keys a shuffle partition, so that
     the result may be broadcast whatever the size of the data.  None: there is none.
     """
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -143,7 +157,7 @@ def dealt(rows: DataFrame, hot: DataFrame | None, keys: list[str], by: str) -> D
 
 
 def spread_join(rows: DataFrame, by: DataFrame, keys: list[str], spread: str, n: str = "n", how: str = "inner") -> DataFrame:
-    """rows joined with `by` (saved, one row a key, n: the rows of that key) on keys that are not null.
+    """rows joined with `by` (saved or held, one row a key, n: the rows of that key) on keys that are not null.
 
     Rows of a hot key are dealt over several tasks by `spread`, and by's row for it is repeated in each: one key, however
     large its group, never meets in one task.

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import column, components, is_small, saved, spread_join
+from pathloom.llm.common import column, components, held, is_small, saved, spread_join
 
 SAMPLE = 20_000
 ITERATIONS = 30
@@ -259,9 +259,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = saved(base.mapInArrow(_digests, "id long, label string, dim int, digest binary, vec binary"))
     named = rows.filter("digest is not null and id is not null")
     cls = named.groupBy("digest").agg(F.min("id").alias("cid"), F.count("*").alias("m"), F.any_value("label").alias("label"), F.any_value("dim").alias("dim"), F.any_value("vec").alias("vec"))
-    cls = saved(cls)
+    cls = held(cls)
     # Vectors of one label and length are a group, named by its smallest class: only they are ever compared.
-    groups = saved(cls.groupBy("label", "dim").agg(F.min("cid").alias("gid"), F.count("*").alias("n")))
+    groups = held(cls.groupBy("label", "dim").agg(F.min("cid").alias("gid"), F.count("*").alias("n")))
     sizes = groups.groupBy("dim").agg(F.max("n").alias("most"), F.sum("n").alias("n")).filter("most > 1")
     indexed = sizes.filter(F.col("most") > FEW).orderBy(F.desc("n"), "dim").limit(INDEXES).collect()
     found = None
@@ -277,14 +277,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         coded = saved(own.mapInArrow(_coder(indexes), "cid long, m long, gid long, label string, dim int, vec binary, codes array<int>"))
         key = (F.shiftleft(F.col("t").cast("long"), 32) + F.col("code")).alias("key")
         slim = coded.select("gid", F.posexplode("codes").alias("t", "code")).filter("code >= 0").select("gid", key)
-        crowded = saved(slim.groupBy("gid", "key").agg(F.count("*").alias("n")).filter(f"n > {TILE}").select("gid", "key", F.ceil(F.col("n") / TILE).cast("int").alias("k")))
+        crowded = held(slim.groupBy("gid", "key").agg(F.count("*").alias("n")).filter(f"n > {TILE}").select("gid", "key", F.ceil(F.col("n") / TILE).cast("int").alias("k")))
         dealt = coded.select("cid", "m", "gid", "dim", "vec", "codes", F.posexplode("codes").alias("t", "code")).filter("code >= 0").withColumn("key", key)
         dealt = dealt.join(F.broadcast(crowded) if is_small(crowded) else crowded, ["gid", "key"], "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("c", F.expr("int(pmod(xxhash64(cid), k))"))
         dealt = dealt.select("*", F.explode(F.expr("sequence(0, k - 1)")).alias("o"))
         tiles = dealt.select("gid", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.expr("if(c <= o, 0, 1)").alias("side"), "cid", "m", "dim", "vec", "codes")
         tiles = tiles.repartition("gid", "key", "i", "j").sortWithinPartitions("gid", "key", "i", "j", "side")
         found = saved(tiles.mapInArrow(_linker(threshold), "cid long, links long, root long"))
-    classes = saved(cls.select("digest", "cid", F.col("m").alias("copies"), F.col("m").alias("n")))
+    classes = held(cls.select("digest", "cid", F.col("m").alias("copies"), F.col("m").alias("n")))
     out = spread_join(named.select("id", "digest"), classes, ["digest"], "id")
     if found is not None:
         links = found.groupBy("cid").agg(F.sum("links").alias("links"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import column, lower_ascii, saved, spread_join, with_ids
+from pathloom.llm.common import column, held, lower_ascii, saved, spread_join, with_ids
 
 BLOCK = 4096
 
@@ -42,10 +42,10 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if twice.isEmpty():
         flat = spread_join(slim, named, ["h"], "rid").select("rid", "pos", "blocks", "id", "sha", "name")
     else:
-        twice = saved(twice)
+        twice = held(twice)
         again = _names(rows.join(twice, "h"), ["h", "block"]).withColumn("name", -1 - F.col("name"))
         two = spread_join(rows.join(twice, "h"), saved(again), ["h", "block"], "rid").select(*cols)
-        once = spread_join(slim, saved(named.join(twice, "h", "left_anti")), ["h"], "rid")
+        once = spread_join(slim, held(named.join(twice, "h", "left_anti")), ["h"], "rid")
         flat = once.select("rid", "pos", "blocks", "id", "sha", "name").unionByName(two)
     flat = saved(flat)
 
@@ -55,7 +55,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while longest > 1:
         odd = F.col("pos") % 2 == 1
         pairs = left.groupBy("rid", F.shiftright("pos", 1).alias("pos")).agg(F.max(F.when(~odd, F.col("name"))).alias("l"), F.max(F.when(odd, F.col("name"))).alias("r"))
-        pairs = saved(pairs.withColumn("r", F.coalesce("r", F.lit(-(2**63)))))
+        pairs = held(pairs.withColumn("r", F.coalesce("r", F.lit(-(2**63)))))
         left = saved(spread_join(pairs, saved(_names(pairs, ["l", "r"])), ["l", "r"], "rid").select("rid", "pos", "name"))
         longest = (longest + 1) // 2
     if longest:
@@ -76,7 +76,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = saved(identities(docs, id_col, text_col))
     best = rows.groupBy("blocks", "name").agg(F.max(F.struct("id", "rid")).alias("best"), F.count("*").alias("n"))
-    best = saved(best.select("blocks", "name", F.col("best.id").alias("keep"), F.col("best.rid").alias("first"), F.col("n").alias("size"), "n"))
+    best = held(best.select("blocks", "name", F.col("best.id").alias("keep"), F.col("best.rid").alias("first"), F.col("n").alias("size"), "n"))
     out = spread_join(rows, best, ["blocks", "name"], "rid")
     return out.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), (F.col("rid") == F.col("first")).alias("kept"), F.col("sha").alias("text_sha256"))
 
@@ -91,10 +91,10 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     name = lambda i, sha: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), sha)
     seen = exact_duplicates(docs.select(column(id_col).alias("id"), text.alias("text")), "id", "text").select(name(F.col("id"), F.col("text_sha256")).alias("key"), F.col("kept"))
     by = seen.groupBy("key").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
-    by = saved(by.filter("not stays or n > 1"))
+    by = held(by.filter("not stays or n > 1"))
     full = docs.select(F.struct("*").alias("row"), name(column(id_col), F.sha2(lower_ascii(text).cast("binary"), 256)).alias("key"))
     out = with_ids(full, by.select("key"), "key", "left_anti").select("row.*")
     again = by.filter("stays and n > 1").select("key")
     if not again.isEmpty():  # each task hands on one row a key
-        out = out.unionByName(with_ids(full, saved(again), "key").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))
+        out = out.unionByName(with_ids(full, held(again), "key").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))
     return out

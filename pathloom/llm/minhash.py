@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pathloom.llm.common import column, components, dealt, hot_keys, saved, spread_join, with_ids
+from pathloom.llm.common import column, components, dealt, held, hot_keys, saved, spread_join, with_ids
 from pathloom.llm.shingles import sets
 
 SKETCH = 64
@@ -97,8 +97,8 @@ def _verifier(percent: int):
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are alike.  A set travels once for each pair in which it stands second, and once as first; the
     partners of a class that has very many are dealt over several tasks, each with its set."""
-    pairs = saved(pairs)
-    hot = hot_keys(saved(pairs.groupBy("a").agg(F.count("*").alias("n"))), ["a"])
+    pairs = held(pairs)
+    hot = hot_keys(held(pairs.groupBy("a").agg(F.count("*").alias("n"))), ["a"])
     pairs = dealt(pairs.select("a", "b"), hot, ["a"], "b").withColumnRenamed("_s", "s")
     second = pairs.join(full, pairs.b == full.id).select("a", "b", "s", "set")
     first = pairs.select("a", "s").distinct().join(full, F.col("a") == full.id).select("a", F.lit(None).cast("long").alias("b"), "s", "set")
@@ -183,13 +183,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
     rows = saved(base.mapInArrow(_sketches, "id long, n long, digest binary, sketch array<long>"))
     named = rows.filter("id is not null and digest is not null")
-    firsts = saved(named.groupBy("digest").agg(F.min("id").alias("cid"), F.count("*").alias("copies")))
+    firsts = held(named.groupBy("digest").agg(F.min("id").alias("cid"), F.count("*").alias("copies")))
     member = spread_join(named, firsts, ["digest"], "id", n="copies")
     cls = saved(member.filter("id = cid").select("cid", "n", "sketch", F.expr(_LEAST).alias("least")))
 
     value = cls.select(F.explode("sketch").alias("v"), "cid")
     lists = value.groupBy("v").agg(F.count("*").alias("df"), F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("df > 1")
-    lists = saved(lists)
+    lists = held(lists)
     in_lists = saved(value.join(lists.filter("df > 2").select("v", "df"), "v"))
     two = lists.filter("df = 2 and lo < hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
 
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return c.select("a", F.explode(F.expr("slice(c, i + 2, size(c))")).alias("b"))
 
     long_lists = in_lists.filter(F.col("df") > LIST)
-    n_long = saved(long_lists.groupBy("cid").agg(F.count("*").alias("h")))
+    n_long = held(long_lists.groupBy("cid").agg(F.count("*").alias("h")))
     info = cls.select("cid", "n", "least").join(n_long, "cid", "left").na.fill(0, ["h"])
     shared = two.unionByName(pairs_of(in_lists.filter(F.col("df") <= LIST))).groupBy("a", "b").agg(F.count("*").alias("m"))
     ia, ib = (info.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("least").alias(f"l{k}"), F.col("h").alias(f"h{k}")) for k in "ab")
@@ -212,22 +212,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = rare.join(rare.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "v")
     close = saved(close.unionByName(pairs_of(again.filter(F.col("df") <= LIST)).distinct().withColumn("m", F.lit(0).cast("long"))))
     crowd = again.filter(F.col("df") > LIST).select("v", "cid")
-    stars = saved(crowd.join(crowd.groupBy("v").agg(F.min("cid").alias("lo")), "v").select(F.col("cid").alias("a"), F.col("lo").alias("b")).distinct())
-    group = saved(components(stars)) if not stars.isEmpty() else None
+    stars = held(crowd.join(crowd.groupBy("v").agg(F.min("cid").alias("lo")), "v").select(F.col("cid").alias("a"), F.col("lo").alias("b")).distinct())
+    group = held(components(stars)) if not stars.isEmpty() else None
 
     ids = close.select(F.explode(F.array("a", "b")).alias("id"))
     if group is not None:
         ids = ids.unionByName(group.select(F.col("node").alias("id")))
-    ids = saved(ids.distinct())
+    ids = held(ids.distinct())
     full = saved(with_ids(base, ids, "id").mapInArrow(_full_sets, "id long, set binary"))
 
     # Best pairs of each class first: what they join need not be verified pair by pair.
     best = close.select("a", "b", "m").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "m"))
     best = best.groupBy("a").agg(F.max_by("b", F.struct("m", -F.col("b"))).alias("b"), F.min("b").alias("b2"))
     best = best.select("a", F.explode(F.array("b", "b2")).alias("b"))
-    best = saved(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    best = held(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = saved(_verified(best, full, percent))
-    root = saved(components(links))
+    root = held(components(links))
     ra, rb = (root.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
     rest = close.join(best, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
     rest = rest.filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")

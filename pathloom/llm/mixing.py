@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import WORD, column, is_small, saved
+from pathloom.llm.common import WORD, column, held, is_small, saved
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
@@ -159,7 +159,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     as often as all of them together.  Nulls, empty and long texts and an empty table: as in mix.
     """
     plan = mix(docs, id_col, text_col, source_col).select(F.col(id_col).alias("id"), "k", "copies")
-    by = saved(plan.groupBy("id", "k").agg(F.min("copies").alias("low"), F.count("*").alias("n"), F.sum("copies").alias("all")))
+    by = held(plan.groupBy("id", "k").agg(F.min("copies").alias("low"), F.count("*").alias("n"), F.sum("copies").alias("all")))
     twice = not by.filter("n > 1").isEmpty()
     by = F.broadcast(by) if is_small(by) else by
     full = docs.select(F.struct("*").alias("row"), column(id_col).cast("long").alias("own"), row_key(docs).alias("key"))
