@@ -295,15 +295,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(column(id_col).alias("_id"), column(label_col).cast("int").alias("_y")).filter(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id")))
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    text = passages(F.coalesce(column(text_col).cast("string"), F.lit("")), LONGEST)
-    rows = docs.select(column(id_col).alias("_id"), text.alias("_t")).join(F.broadcast(known), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t"))
+    texts = docs.select(column(id_col).alias("_id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("_w"))
+    rows = texts.join(F.broadcast(known), "_id").select("_id", "_y", passages(F.col("_w"), LONGEST).alias("_t")).groupBy("_id", "_y").agg(F.min("_t").alias("_t"))
     return fit([(r["_t"], r["_y"]) for r in rows.orderBy(F.xxhash64("_id"), "_id").collect()])
 
 
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _chunks(whole, 1 << 23):
+            for b in _chunks(whole, 1 << 21):
                 scores = [model.score(t) for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["id", "score"])
 
@@ -325,15 +325,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows whose score stays below the threshold, whole, with all columns whatever their names and types.
 
-    Null texts score as empty ones, and repeated rows each for itself.
+    Only texts go to Python and only marks come back; rows stay where they are.  Null texts score as empty ones, and repeated
+    rows each for itself.
     """
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in _chunks(whole, 1 << 23, at):
-                keep = [model.score(t) < THRESHOLD for t in b.column(at).to_pylist()]
-                yield b.filter(pa.array(keep, pa.bool_()))
+    def clean(texts: pa.Array) -> pa.Array:
+        out: list[bool] = []
+        for b in _chunks(pa.RecordBatch.from_arrays([texts], ["text"]), 1 << 21, 0):
+            out += [model.score(t) < THRESHOLD for t in b.column(0).to_pylist()]
+        return pa.array(out, pa.bool_())
 
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names of ours: theirs may hold dots
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return docs.filter(F.arrow_udf(clean, "boolean")(column(text_col).cast("string")))
