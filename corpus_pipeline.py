@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import column, saved, settled, with_ids
+from pathloom.llm.common import column, held, settled, with_ids
 from pathloom.llm.exact import without_duplicates
 from pathloom.llm.minhash import near_duplicates
 from pathloom.llm.mixing import mixed
@@ -43,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("id")).distinct()
     rows = docs.select(F.struct("*").alias("row"), column("doc_id").cast("long").alias("id"))
-    return with_ids(rows, saved(gone), "id", "left_anti").select("row.*")
+    return with_ids(rows, held(gone), "id", "left_anti").select("row.*")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
