@@ -24,7 +24,8 @@ _scopes: list[list[str | DataFrame]] = []
 
 
 def lower_ascii(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+    """A-Z lower-cased and nothing else.  Where all is ASCII, lower() says the same in a fraction of the time."""
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def column(name: str) -> Column:
