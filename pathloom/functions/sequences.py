@@ -79,17 +79,14 @@ def windows_km(cells: Column, cum: Column, least_km: float, most_km: float, revi
         ends = F.filter(F.sequence(i + 1, n - 1), lambda j: (span(i, j) >= least_km) & (span(i, j) <= most_km))
         return F.transform(
             ends,
-            lambda j: F.struct(
-                F.slice(cells, i + 1, j - i + 1).alias("cells"),
-                span(i, j).alias("length_km"),
-                (j - i + 1).alias("n"),
-                F.coalesce(span(i, j + 1) > most_km, F.lit(False)).alias("truncated"),
-            ),
+            lambda j: F.struct(i.alias("i"), (j - i + 1).alias("n"), span(i, j).alias("length_km"), F.coalesce(span(i, j + 1) > most_km, F.lit(False)).alias("truncated")),
         )
 
+    # Places first, then the guard, and cells of the windows that are left: no array of all windows' cells.
     every = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), at))
-    kept = F.filter(every, lambda w: revisits_ok(w["cells"], revisits))
-    out = F.transform(kept, lambda w: F.struct(F.array_join(w["cells"], SEP).alias("key"), w["length_km"].alias("length_km"), w["n"].alias("n"), w["truncated"].alias("truncated")))
+    own = lambda w: F.slice(cells, w["i"] + 1, w["n"])
+    good = F.filter(every, lambda w: revisits_ok(own(w), revisits))
+    out = F.transform(good, lambda w: F.struct(F.array_join(own(w), SEP).alias("key"), w["length_km"].alias("length_km"), w["n"].alias("n"), w["truncated"].alias("truncated")))
     return F.when(n < 2, F.array().cast("array<struct<key:string,length_km:double,n:int,truncated:boolean>>")).otherwise(out)
 
 

@@ -145,3 +145,9 @@ def grid_turns(name: str, cell: str, lon: str, lat: str) -> str:
 #: The tokens of a document: lower-cased, cut at ASCII white space.
 WORDS = """docw AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)
 , shs AS (SELECT id, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || '>' || w[i + 1])) AS sh FROM docw WHERE len(w) >= 2)"""
+
+#: Whole histories in longer steps without jumps; each stands for two trips.
+LONG_PTS = f"""ev AS (SELECT event_id, user_id AS entity, user_id AS wid, ts, event_type FROM events), step AS (SELECT *, CASE WHEN event_id % 13 = 0 THEN 0 WHEN event_type IN ('view', 'purchase') THEN 1 WHEN event_type = 'signup' THEN -1 ELSE 0 END AS dx,
+ CASE WHEN event_id % 13 = 0 THEN 0 WHEN event_type IN ('click', 'purchase') THEN 1 WHEN event_type = 'error' THEN -1 ELSE 0 END AS dy FROM ev)
+, pts AS (SELECT wid AS id, entity, ts, row_number() OVER w AS pos, CAST(sum(dx) OVER w AS DOUBLE) * {num(0.0025 * 2.5)} + {num(-8.62)} AS lon, CAST(sum(dy) OVER w AS DOUBLE) * {num(0.002 * 2.5)} + {num(41.15)} AS lat FROM step WINDOW w AS (PARTITION BY wid ORDER BY ts, event_id))"""
+LONG_WINDOWS = KMWINDOWS.replace(PTS, LONG_PTS).replace("count(DISTINCT id) AS support", "2 * count(DISTINCT id) AS support")

@@ -180,6 +180,17 @@ def trip_repeat_top(spark, sf):
     return top.select("band", "key", "support", "n", "rank")
 
 
+@query(
+    f"""WITH {O.LONG_WINDOWS} SELECT CAST(band AS DOUBLE) AS band, key, support, support_entities, CAST(n AS INTEGER) AS n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY band ORDER BY support DESC, round(length_km, 6) DESC, key) AS INTEGER) AS rank
+ FROM ksup, (VALUES (1), (3), (5), (10), (20), (40)) b(band) WHERE length_km >= band AND support >= 2 AND NOT truncated) WHERE rank <= 100"""
+)
+def long_trip_top(spark, sf):
+    """The best windows of every length band, up to 40 km, over trips that are long enough to fill them."""
+    seg = encoding.segments(encoding.encode(D.long_trips(spark, sf)))
+    table = mining.support(mining.km_windows(seg)).filter("not truncated").withColumn("length_km", F.round("length_km", 6))
+    return mining.banded_top(table).select("band", "key", "support", "support_entities", "n", "rank")
+
+
 @query(f"WITH {O.KMWINDOWS} SELECT key, support FROM ksup WHERE NOT truncated AND support >= 2 ORDER BY support DESC, key LIMIT 50")
 def sketch_km_top(spark, sf):
     """Sketched windows of 1 to 60 km, those cut off at the cap left out on both sides, recounted exactly."""

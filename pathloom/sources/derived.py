@@ -41,6 +41,20 @@ def trip_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_trips(spark: SparkSession, sf_dir: str, stretch: float = 2.5) -> DataFrame:
+    """(id, entity, start_ts, points): a user's whole history walked over the map in longer steps and without jumps, each walk
+    driven twice, so that sub-routes of every length band repeat."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("entity"), "ts", "event_type")
+    still = F.col("event_id") % 13 == 0
+    dx = F.when(still, 0).when(F.col("event_type").isin("view", "purchase"), 1).when(F.col("event_type") == "signup", -1).otherwise(0)
+    dy = F.when(still, 0).when(F.col("event_type").isin("click", "purchase"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
+    w = W.partitionBy("entity").orderBy("ts", "event_id")
+    at = e.select("entity", "ts", F.row_number().over(w).alias("pos"), (F.sum(dx).over(w) * (0.0025 * stretch) + F.lit(-8.62)).alias("lon"), (F.sum(dy).over(w) * (0.002 * stretch) + F.lit(41.15)).alias("lat"))
+    p = F.array_sort(F.collect_list(F.struct("pos", "lon", "lat")))
+    one = at.groupBy("entity").agg(F.min("ts").alias("start_ts"), F.transform(p, lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"))).alias("points"))
+    return one.select(F.explode(F.array(F.col("entity"), F.col("entity") + 1_000_000)).alias("id"), "entity", "start_ts", "points")
+
+
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, entity, start_ts, points): one row a trip, points in order."""
     p = F.array_sort(F.collect_list(F.struct("pos", "lon", "lat")))
