@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 
 import numpy as np
 
@@ -27,8 +28,8 @@ for _b in range(33, 127):
 _KIND[ord("'")] = 4
 for _b in (32, 9, 10, 11, 12, 13):
     _KIND[_b] = 0
-#: Stretches kept between batches at most, and the longest that is kept.
-CACHE, LONG = 300_000, 64
+#: Stretches of a generation kept between batches, and the longest that is kept.
+CACHE, LONG = 150_000, 64
 
 
 def splits_so(path: str) -> bool:
@@ -51,23 +52,45 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.splits = splits_so(path)
-        self.known: dict[bytes, bytes] = {}  # ids as bytes: a fifth of what arrays take
+        marks = [(i, t.content) for i, t in sorted(self.tok.get_added_tokens_decoder().items()) if t.content.startswith("<|") and not t.normalized]
+        self.splits = splits_so(path) and bool(marks)
+        self.mark = marks[0] if marks else None  # a special token, which no stretch holds, parts stretches in one call
+        # Ids as bytes: a fifth of what arrays take.  When a generation is full, the one before it goes; what was used in
+        # the meantime has moved on, so that frequent stretches stay and the many rare ones leave.
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _plain(self, texts: list[str], step: int = 2000) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for i in range(0, len(texts), step) for e in self.tok.encode_batch_fast(texts[i : i + step], add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for i in range(0, len(texts), step) for e in self.tok.encode_batch_fast(texts[i : i + step], add_special_tokens=False)]
+
+    def _short(self, stretches: list[str], step: int = 4000) -> list[bytes]:
+        """Ids of each stretch, many to a call: the tokenizer cuts a text at special tokens before all else."""
+        number, mark = self.mark
+        out: list[bytes] = []
+        for i in range(0, len(stretches), step):
+            ids = np.array(self.tok.encode_batch_fast([mark.join(stretches[i : i + step])], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(ids == number)
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)])]
+        return out
 
     def _ids(self, stretches: list[bytes]) -> list[bytes]:
-        new = [s for s in stretches if s not in self.known]
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known, new = {}, stretches
-            for s, ids in zip(new, self._plain([s.decode("utf-8", "surrogatepass") for s in new])):
-                self.known[s] = ids
-        out = [self.known[s] for s in stretches]
-        for s in new:
-            if len(s) > LONG:
-                del self.known[s]
+        out = list(map(self.known.get, stretches))
+        todo = []
+        for i, x in enumerate(out):
+            if x is None:
+                s = stretches[i]
+                x = out[i] = self.before.get(s)
+                if x is None:
+                    todo.append(i)
+                else:
+                    self.known[s] = x
+        for i, ids in zip(todo, self._short([stretches[i].decode("utf-8", "surrogatepass") for i in todo])):
+            out[i] = ids
+            if len(stretches[i]) <= LONG:
+                self.known[stretches[i]] = ids
+        if len(self.known) > CACHE:
+            self.before, self.known = self.known, {}
         return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
