@@ -29,7 +29,7 @@ _KIND[ord("'")] = 4
 for _b in (32, 9, 10, 11, 12, 13):
     _KIND[_b] = 0
 #: Stretches of a generation kept between batches, and the longest that is kept.
-CACHE, LONG = 150_000, 64
+CACHE, LONG = 220_000, 64
 
 
 def splits_so(path: str) -> bool:
