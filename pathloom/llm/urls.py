@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import column, held, lower_ascii, saved, spread_join
+from pathloom.llm.common import column, lower_ascii, saved, spread_join
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with the rule's; the longest wins.
 RULES = (
@@ -71,7 +71,7 @@ def _probabilities(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     out = wanted.select("gram", *[F.lit(1.0 / ALPHABET).alias(f"p{m}") for m in (0, 1)])
     for k in range(ORDER + 1):
         gram = counts.groupBy(F.expr(f"substring(gram, {ORDER - k + 1}, {k + 1})").alias(f"g{k}")).agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-        gram = held(gram)
+        gram = saved(gram)
         context = gram.groupBy(F.expr(f"substring(g{k}, 1, {k})").alias("h")).agg(*[F.sum(f"c{m}").alias(f"n{m}") for m in (0, 1)], *[F.count_if(F.col(f"c{m}") > 0).alias(f"t{m}") for m in (0, 1)])
         out = out.withColumn(f"g{k}", F.expr(f"substring(gram, {ORDER - k + 1}, {k + 1})")).withColumn("h", F.expr(f"substring(gram, {ORDER - k + 1}, {k})"))
         out = out.join(gram, f"g{k}", "left").join(context, "h", "left")
@@ -98,11 +98,11 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     grams = _grams(texts, ["tid", "y", "w"])
     train = grams.filter("y is not null")
     counts = saved(train.groupBy("gram").agg(F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("c0"), F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("c1")))
-    uses = held(grams.groupBy("gram").agg(F.count("*").alias("n")))
+    uses = saved(grams.groupBy("gram").agg(F.count("*").alias("n")))
     diff = _probabilities(uses.select("gram"), counts).select("gram", F.round(F.col("diff") * 2.0**UNIT).cast("long").alias("d"))
     diff = saved(diff.join(uses, "gram"))
     term = spread_join(grams, diff, ["gram"], "tid").groupBy("tid", "y", "w").agg(F.sum("d").alias("d"), F.count("*").alias("c"))
-    evidence = held(term.select("tid", "y", "w", (F.col("d") / F.col("c") / 2.0**UNIT).alias("e")))
+    evidence = saved(term.select("tid", "y", "w", (F.col("d") / F.col("c") / 2.0**UNIT).alias("e")))
     step = SPAN * 2 / BINS
     bins = evidence.filter("y is not null").groupBy(F.greatest(F.lit(0), F.least(F.lit(BINS), F.floor((F.col("e") + SPAN) / step))).alias("b"))
     rows = {r["b"]: (r["n0"], r["n1"]) for r in bins.agg(F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("n1")).collect()}  # BINS rows
