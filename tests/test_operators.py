@@ -463,3 +463,37 @@ def test_leaks_and_drops(spark):
     feats = feats.selectExpr("*", "false AS is_too_fast", "false AS is_too_short", "false AS is_offgrid").withColumn("is_anomalous", F.col("is_teleport") | F.col("is_idle"))
     assert encoding.drops(feats).first().asDict() == {"trips": 4, "is_teleport": 1, "is_idle": 1, "is_too_fast": 0, "is_too_short": 0, "is_offgrid": 0, "encoded": 2}
     assert encoding.leaked(feats.select("id").filter("id < 4"), feats).first().asDict() == {"encoded": 3, "leaked": 1}
+
+
+def _sets_with_copies(seed, letters):
+    r = random.Random(seed)
+    sets = {i: {r.choice(letters) for _ in range(r.randint(1, 9))} for i in range(40)}
+    return sets | {100 + i: set(sets[r.randrange(8)]) for i in range(20)} | {200 + i: {"only", "copies"} for i in range(4)}
+
+
+def _jaccard_edges(sets, least):
+    return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_clusters_of_classes_are_those_of_all_members(spark, seed):
+    """Without a pair of copies: sets meet by prefixes, equal ones as one class, four copies alone are a cluster."""
+    sets = _sets_with_copies(seed, "abcdefghijkl")
+    pairs, member = similarity.jaccard_classes(spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, sh array<string>"), 0.6)
+    cid = {x["id"]: x["cid"] for x in member.collect()}
+    assert cid == {i: min(k for k in sets if sets[k] == sets[i]) for i in sets}
+    assert {(x["a"], x["b"]) for x in pairs.collect()} == {(a, b) for a, b in _jaccard_edges(sets, 0.6) if cid[a] == a and cid[b] == b and sets[a] != sets[b]}
+    got = defaultdict(set)
+    for x in similarity.class_clusters(pairs, member).collect():
+        got[x["cid"]].add(x["node"])
+    assert got == brute_stars(_jaccard_edges(sets, 0.6), 3) and got[200] == {200, 201, 202, 203}
+
+
+def test_candidate_pairs_move_each_set_once(spark):
+    """Sixty sets that are all alike: 1,770 pairs, verified in one tile that has each set once."""
+    sets = {i: {f"w{k}" for k in range(40)} | {f"x{i}"} for i in range(60)}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "cid long, sh array<string>")
+    pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a long, b long")
+    got = similarity._similar(pairs, df, 0.9)
+    assert got.count() == 1770 and got.filter("abs(jaccard - 40 / 42d) > 1e-12").count() == 0
+    assert "CoGroup" in got._jdf.queryExecution().executedPlan().toString() and got.select("a").distinct().count() == 59
