@@ -497,3 +497,13 @@ def test_candidate_pairs_move_each_set_once(spark):
     got = similarity._similar(pairs, df, 0.9)
     assert got.count() == 1770 and got.filter("abs(jaccard - 40 / 42d) > 1e-12").count() == 0
     assert "CoGroup" in got._jdf.queryExecution().executedPlan().toString() and got.select("a").distinct().count() == 59
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_bits_tell_the_same_pairs_as_prefixes(spark, seed):
+    """Few shingles: sets are compared as bits, copies as one class, without a join on shingles that all share."""
+    sets = _sets_with_copies(seed, "abcdefgh")
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, sh array<string>")
+    got = similarity.jaccard_pairs(df, 0.6)
+    assert {(x["a"], x["b"]) for x in got.collect()} == _jaccard_edges(sets, 0.6)
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
