@@ -507,3 +507,12 @@ def test_bits_tell_the_same_pairs_as_prefixes(spark, seed):
     got = similarity.jaccard_pairs(df, 0.6)
     assert {(x["a"], x["b"]) for x in got.collect()} == _jaccard_edges(sets, 0.6)
     assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_top_beyond_its_guard_is_whole(spark, monkeypatch):
+    from pathloom.plans.registry import QUERIES
+
+    want = sorted(map(tuple, QUERIES["exact_top_guarded"](spark, "/root/testdata/sf0.001").collect()))
+    guarded = mining.exact_top
+    monkeypatch.setattr(mining, "exact_top", lambda seg, n: guarded(seg, n, limit=5))
+    assert want and sorted(map(tuple, QUERIES["exact_top_guarded"](spark, "/root/testdata/sf0.001").collect())) == want
