@@ -187,8 +187,7 @@ def trip_repeat_top(spark, sf):
 def long_trip_top(spark, sf):
     """The best windows of every length band, up to 40 km, over trips that are long enough to fill them."""
     seg = encoding.segments(encoding.encode(D.long_trips(spark, sf)))
-    table = mining.support(mining.km_windows(seg)).filter("not truncated").withColumn("length_km", F.round("length_km", 6))
-    return mining.banded_top(table).select("band", "key", "support", "support_entities", "n", "rank")
+    return mining.top_windows(seg, digits=6).select("band", "key", "support", "support_entities", "n", "rank")
 
 
 @query(f"WITH {O.KMWINDOWS} SELECT key, support FROM ksup WHERE NOT truncated AND support >= 2 ORDER BY support DESC, key LIMIT 50")

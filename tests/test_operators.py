@@ -516,3 +516,16 @@ def test_exact_top_beyond_its_guard_is_whole(spark, monkeypatch):
     guarded = mining.exact_top
     monkeypatch.setattr(mining, "exact_top", lambda seg, n: guarded(seg, n, limit=5))
     assert want and sorted(map(tuple, QUERIES["exact_top_guarded"](spark, "/root/testdata/sf0.001").collect())) == want
+
+
+def test_top_windows_are_those_of_all_windows(spark):
+    """Two segments an id, copies, cells entered too often, and windows cut off in one trip and not in another."""
+    r = random.Random(9)
+    walk = lambda n: [f"{q}_{r.randint(0, 1)}" for q in (r.randint(0, 3) for _ in range(n))]
+    rows = [(i, i % 5, k, w, [1.5 * x for x in range(len(w))]) for i in range(12) for k in range(2) for w in [walk(r.randint(2, 60))]]
+    rows += [(i + 100, e + 3, k, w, c) for i, e, k, w, c in rows if i < 6]
+    seg = spark.createDataFrame(rows, "id long, entity long, seg int, cells array<string>, cum array<double>")
+    cols = ["band", "key", "support", "support_entities", "n", "rank"]
+    want = mining.banded_top(mining.support(mining.km_windows(seg)).filter("not truncated").withColumn("length_km", F.round("length_km", 6))).select(cols)
+    got = mining.top_windows(seg, digits=6).select(cols)
+    assert want.count() > 100 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
