@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pathloom.llm.common import column, components, dealt, held, hot_keys, saved, spread_join, with_ids
+from pathloom.llm.common import column, components, dealt, held, hot_keys, saved, spread_join, text_batches, thrifty, with_ids
 from pathloom.llm.shingles import sets
 
 SKETCH = 64
@@ -50,6 +50,7 @@ def _chunks(batch: pa.RecordBatch, most: int = 1 << 22, text: int = 1) -> Iterat
         at = end
 
 
+@thrifty
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in _chunks(whole):
@@ -65,6 +66,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@thrifty
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in _chunks(whole):
@@ -91,7 +93,7 @@ def _verifier(percent: int):
                     got.append((a[i], b[i]))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return run
+    return thrifty(run)
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -169,7 +171,7 @@ def _tiler(percent: int):
         if tile:
             yield made(links(tile, now[1] == now[2]))
 
-    return run
+    return thrifty(run)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -181,7 +183,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read nor returned.
     """
     base = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text"))
-    rows = saved(base.mapInArrow(_sketches, "id long, n long, digest binary, sketch array<long>"))
+    with text_batches(docs.sparkSession):
+        rows = saved(base.mapInArrow(_sketches, "id long, n long, digest binary, sketch array<long>"))
     named = rows.filter("id is not null and digest is not null")
     firsts = held(named.groupBy("digest").agg(F.min("id").alias("cid"), F.count("*").alias("copies")))
     member = spread_join(named, firsts, ["digest"], "id", n="copies")
@@ -219,7 +222,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if group is not None:
         ids = ids.unionByName(group.select(F.col("node").alias("id")))
     ids = held(ids.distinct())
-    full = saved(with_ids(base, ids, "id").mapInArrow(_full_sets, "id long, set binary"))
+    with text_batches(docs.sparkSession):
+        full = saved(with_ids(base, ids, "id").mapInArrow(_full_sets, "id long, set binary"))
 
     # Best pairs of each class first: what they join need not be verified pair by pair.
     best = close.select("a", "b", "m").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "m"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import WORD, column, held, is_small, saved
+from pathloom.llm.common import WORD, column, held, is_small, saved, thrifty
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
@@ -107,7 +107,7 @@ def _pivot(seed: int, level: int):
                 now.append(list(row))
         yield settled(now)
 
-    return run
+    return thrifty(run)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 10) -> DataFrame:
@@ -125,7 +125,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     per = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row a source: the mix names each
     goal = targets([(r["source"], r["size"]) for r in per])
     table = [(i, r["source"], r["size"], float(goal[r["source"]]), max(1, -(-r["n"] // LEAF))) for i, r in enumerate(sorted(per, key=lambda r: (r["source"] is None, r["source"] or "")))]
-    source = spark.createDataFrame(table, "si int, s string, source_size long, target double, buckets long")
+    # From Arrow: a list would go through Python workers of its own, which then stand idle beside the others.
+    kinds = {"si": pa.int32(), "s": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "buckets": pa.int64()}
+    source = spark.createDataFrame(pa.table({c: pa.array([t[i] for t in table], k) for i, (c, k) in enumerate(kinds.items())}))
     source = F.broadcast(source) if len(table) <= FEW_SOURCES else source
     rows = base.join(source, base.source.eqNullSafe(source.s))
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import column, saved
+from pathloom.llm.common import column, saved, text_batches, thrifty
 from pathloom.llm.minhash import _chunks
 from pathloom.llm.tokens import encoder, ids_of_long
 
@@ -163,7 +163,7 @@ def _cutter(path: str, capacity: int):
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return run
+    return thrifty(run)
 
 
 def _placer(table, first_of: dict[int, int], start_of: np.ndarray, capacity: int, n_packed: int):
@@ -184,7 +184,7 @@ def _placer(table, first_of: dict[int, int], start_of: np.ndarray, capacity: int
             seq, off = np.where(full, n_packed + rank, seq), np.where(full, 0, off)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq, pa.int64()), pa.array(off, pa.int64())], [*b.schema.names[:5], "sequence_id", "offset"])
 
-    return run
+    return thrifty(run)
 
 
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -202,7 +202,8 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     base = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
     cut = base.mapInArrow(_cutter(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    cut = saved(cut)
+    with text_batches(spark):
+        cut = saved(cut)
     order = ["length", F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = cut.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())

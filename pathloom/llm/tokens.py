@@ -45,6 +45,52 @@ def splits_so(path: str) -> bool:
     return norm == ["NFC", "Replace", "Lowercase"] and pre[0].get("type") == "Split" and all(c in rule for c in classes) and all(t.startswith("<|") for t in special)
 
 
+def ragged(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1 and so on, length of them, one run after the other."""
+    ends = np.cumsum(length)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - length - begin, length)
+
+
+class Known:
+    """Ids of stretches by their 64-bit hashes (which tell stretches of a batch apart, too): some 20 bytes a stretch."""
+
+    def __init__(self) -> None:
+        self.keys, self.ids = np.empty(0, np.uint64), np.empty(0, np.uint32)
+        self.begin, self.length = np.empty(0, np.uint32), np.empty(0, np.uint16)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes that are here, and which ones are."""
+        k = np.searchsorted(self.keys, h)
+        there = np.zeros(len(h), bool)
+        inside = k < len(self.keys)
+        there[inside] = self.keys[k[inside]] == h[inside]
+        return k[there], there
+
+    def add(self, h: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """Ascending hashes that are not here."""
+        at = np.searchsorted(self.keys, h)
+        begin = len(self.ids) + np.cumsum(length) - length
+        self.keys, self.begin, self.length = (np.insert(x, at, y.astype(x.dtype)) for x, y in ((self.keys, h), (self.begin, begin), (self.length, length)))
+        self.ids = np.concatenate((self.ids, ids))
+
+
+def stretch_hashes(a: np.ndarray, kind: np.ndarray, starts: np.ndarray, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and number of bytes of each stretch; so many bytes at once, since each takes some 60 on its way."""
+    ends = np.append(starts[1:], len(a))
+    hashes, counts, i = [], [], 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + most, "right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        inside = np.flatnonzero(kind[lo:hi])
+        first = np.searchsorted(inside, starts[i:j] - lo)
+        n = np.diff(np.append(first, len(inside)))
+        within = np.arange(len(inside)) - np.repeat(first, n)
+        hashes.append(mix(np.add.reduceat(_BYTE[a[lo:hi][inside]] * _powers(int(n.max()))[within], first) + n.astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
+        counts.append(n)
+        i = j
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
 class Encoder:
     """encode(texts) gives all ids in one array and the bounds of each text's."""
 
@@ -55,43 +101,45 @@ class Encoder:
         marks = [(i, t.content) for i, t in sorted(self.tok.get_added_tokens_decoder().items()) if t.content.startswith("<|") and not t.normalized]
         self.splits = splits_so(path) and bool(marks)
         self.mark = marks[0] if marks else None  # a special token, which no stretch holds, parts stretches in one call
-        # Ids as bytes: a fifth of what arrays take.  When a generation is full, the one before it goes; what was used in
-        # the meantime has moved on, so that frequent stretches stay and the many rare ones leave.
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
+        # When a generation is full, the one before it goes; what was used in the meantime has moved on, so that frequent
+        # stretches stay and the many rare ones leave.
+        self.known, self.before = Known(), Known()
 
     def _plain(self, texts: list[str], step: int = 2000) -> list[bytes]:
         return [array("I", e.ids).tobytes() for i in range(0, len(texts), step) for e in self.tok.encode_batch_fast(texts[i : i + step], add_special_tokens=False)]
 
-    def _short(self, stretches: list[str], step: int = 4000) -> list[bytes]:
-        """Ids of each stretch, many to a call: the tokenizer cuts a text at special tokens before all else."""
+    def _short(self, stretches: list[str], step: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all stretches in a row and the number of each one's, many to a call: the tokenizer cuts a text at special
+        tokens before all else."""
         number, mark = self.mark
-        out: list[bytes] = []
+        flat, length = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         for i in range(0, len(stretches), step):
             ids = np.array(self.tok.encode_batch_fast([mark.join(stretches[i : i + step])], add_special_tokens=False)[0].ids, np.uint32)
-            cut = np.flatnonzero(ids == number)
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)])]
-        return out
-
-    def _ids(self, stretches: list[bytes]) -> list[bytes]:
-        out = list(map(self.known.get, stretches))
-        todo = []
-        for i, x in enumerate(out):
-            if x is None:
-                s = stretches[i]
-                x = out[i] = self.before.get(s)
-                if x is None:
-                    todo.append(i)
-                else:
-                    self.known[s] = x
-        for i, ids in zip(todo, self._short([stretches[i].decode("utf-8", "surrogatepass") for i in todo])):
-            out[i] = ids
-            if len(stretches[i]) <= LONG:
-                self.known[stretches[i]] = ids
-        if len(self.known) > CACHE:
-            self.before, self.known = self.known, {}
-        return out
+            cut = np.concatenate(([-1], np.flatnonzero(ids == number), [len(ids)]))
+            flat.append(ids[ids != number])
+            length.append(np.diff(cut) - 1)
+        return np.concatenate(flat), np.concatenate(length)
+
+    def _ids(self, h: np.ndarray, n: np.ndarray, stretches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, length) for distinct stretches by ascending hashes h and lengths n in bytes; stretches(i) gives some as text."""
+        known, before = self.known, self.before
+        begin, length = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        k, there = known.find(h)
+        begin[there], length[there] = known.begin[k], known.length[k]
+        rest = np.flatnonzero(~there)
+        k, there = before.find(h[rest])
+        moved, todo = rest[there], rest[~there]
+        begin[moved], length[moved] = before.begin[k], before.length[k]
+        begin[moved] += len(known.ids)
+        new, length[todo] = self._short(stretches(todo))
+        begin[todo] = len(known.ids) + len(before.ids) + np.cumsum(length[todo]) - length[todo]
+        ids = np.concatenate((known.ids, before.ids, new))
+        keep = np.sort(np.concatenate((moved, todo[n[todo] <= LONG])))
+        if len(keep):
+            known.add(h[keep], ids[ragged(begin[keep], length[keep])], length[keep])
+        if len(known.keys) > CACHE:
+            self.before, self.known = known, Known()
+        return ids, begin, length
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         special = [i for i, t in enumerate(texts) if t and (not self.splits or "<|" in t)]
@@ -103,19 +151,14 @@ class Encoder:
         before = np.concatenate((np.zeros(1, np.uint8), kind[:-1]))
         starts = np.flatnonzero((kind > 0) & ((before == 0) | ((kind != before) & (kind < 4) & (before < 4))))
         if len(starts):
-            inside = np.flatnonzero(kind)
-            first = np.searchsorted(inside, starts)
-            n = np.diff(np.append(first, len(inside)))
-            within = np.arange(len(inside)) - np.repeat(first, n)
-            h = mix(np.add.reduceat(_BYTE[a[inside]] * _powers(int(n.max()))[within], first) + n.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-            _, at, unit = np.unique(h, return_index=True, return_inverse=True)
-            ids = self._ids([joined[s : s + k] for s, k in zip(starts[at].tolist(), n[at].tolist())])
-            length = np.array([len(x) // 4 for x in ids])
-            begin = np.cumsum(length) - length
-            flat = np.frombuffer(b"".join(ids), np.uint32)
+            h, n = stretch_hashes(a, kind, starts)
+            h, at, unit = np.unique(h, return_index=True, return_inverse=True)
+            s, k = starts[at], n[at]
+            cut = lambda i: [joined[x : x + y].decode("utf-8", "surrogatepass") for x, y in zip(s[i].tolist(), k[i].tolist())]
+            flat, begin, length = self._ids(h, k, cut)
             per = length[unit]
             ends = np.cumsum(per)
-            out = flat[np.arange(int(ends[-1])) - np.repeat(ends - per - begin[unit], per)]
+            out = flat[ragged(begin[unit], per)]
             doc = np.searchsorted(starts, np.cumsum([0] + [len(r) + 1 for r in raws]))
             bounds = np.concatenate(([0], ends))[doc]
         else:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import column, held_out, passages
+from pathloom.llm.common import column, give_back, held_out, passages
 from pathloom.llm.minhash import _chunks
 
 THRESHOLD = 0.7
@@ -297,7 +297,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(column(id_col).alias("_id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("_w"))
     rows = texts.join(F.broadcast(known), "_id").select("_id", "_y", passages(F.col("_w"), LONGEST).alias("_t")).groupBy("_id", "_y").agg(F.min("_t").alias("_t"))
-    return fit([(r["_t"], r["_y"]) for r in rows.orderBy(F.xxhash64("_id"), "_id").collect()])
+    model = fit([(r["_t"], r["_y"]) for r in rows.orderBy(F.xxhash64("_id"), "_id").collect()])
+    give_back()  # the driver's memory is bounded, too
+    return model
 
 
 def _scorer(model: Model):
