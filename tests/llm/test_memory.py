@@ -16,7 +16,7 @@ def test_known_stretches_take_few_bytes_each():
     tracemalloc.start()
     try:
         for i in range(6):
-            e.encode([" ".join(f"{chr(97 + i)}{chr(97 + j % 26)}{j // 26:x}q" for j in range(20_000))])
+            e.encode([" ".join("".join(chr(97 + j // 26**k % 26) for k in range(4)) + chr(97 + i) for j in range(20_000))])
         held = tracemalloc.get_traced_memory()[0]
     finally:
         tracemalloc.stop()
