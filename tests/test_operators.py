@@ -529,3 +529,51 @@ def test_top_windows_are_those_of_all_windows(spark):
     want = mining.banded_top(mining.support(mining.km_windows(seg)).filter("not truncated").withColumn("length_km", F.round("length_km", 6))).select(cols)
     got = mining.top_windows(seg, digits=6).select(cols)
     assert want.count() > 100 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_star_rounds_and_the_last_edges_give_the_same_clusters(spark, seed, monkeypatch):
+    """All turns in one task, all in rounds, and some of both; nodes with members of their own, named by structs."""
+    sets = _sets_with_copies(seed, "abcdefghijkl")
+    want = brute_stars(_jaccard_edges(sets, 0.6), 3)
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, sh array<string>")
+    pairs, member = similarity.jaccard_classes(df, 0.6)
+    name = lambda c: F.struct(F.lit(7).alias("cap"), F.col(c).alias("id"))
+    named = pairs.select(name("a").alias("a"), name("b").alias("b")), member.select(name("cid").alias("cid"), "id")
+    for last in (0, 12, 200_000):
+        monkeypatch.setattr(similarity, "LAST", last)
+        for p, m in ((pairs, member), named):
+            got = defaultdict(set)
+            for x in similarity.class_clusters(p, m).collect():
+                got[x["cid"]["id"] if p is not pairs else x["cid"]].add(x["node"])
+            assert got == want
+
+
+def test_crowded_buckets_make_no_pairs_of_unlike_sets(spark, monkeypatch):
+    """All sets share the least hash, so that each pair has a bucket in common: bits leave those few that may be alike."""
+    import hashlib
+
+    monkeypatch.setattr(similarity, "BLOCK", 16)  # buckets are compared as tiles
+    least = min((f"w{k}" for k in range(5000)), key=lambda w: hashlib.sha256(w.encode()).hexdigest())
+    r = random.Random(3)
+    sets = {i: {least} | {f"w{r.randrange(5000)}" for _ in range(r.choice((3, 9, 70, 300)))} for i in range(90)}
+    sets |= {100 + i: sets[i] | {f"new{i}"} for i in range(60)}
+    jac = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = {(a, b): 1 - jac(a, b) for a in sets for b in sets if a < b and jac(a, b) >= 0.7}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "cid long, sh array<string>")
+    near = {(x["a"], x["b"]) for x in similarity._bucket_pairs(similarity.sketches(df), 0.7).collect()}
+    assert set(want) <= near and len(near) < 2 * len(want)
+    got = {(x["a"], x["b"]): x["distance"] for x in similarity.lsh_pairs(df.withColumnRenamed("cid", "id")).collect()}
+    assert set(got) == set(want) and got == pytest.approx(want)
+
+
+def test_corridors_of_several_caps_are_those_of_each(spark):
+    from pathloom.operators import encoding
+    from pathloom.sources import derived as D
+
+    rows = encoding.encode(D.trips(spark, "/root/testdata/sf0.01")).select("id", "entity", "cells")
+    caps = [300, 10_000]
+    both = similarity.corridors_by_cap(rows, caps).collect()
+    for cap in caps:
+        assert sorted(tuple(x)[1:] for x in both if x["cap"] == cap) == sorted(map(tuple, similarity.corridors(rows, cap).collect()))
+    assert {x["cap"] for x in both} >= {10_000}
